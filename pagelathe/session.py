@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,16 @@ def spread(df: DataFrame, bytes_a_task: int = 4 << 20) -> DataFrame:
 def public_path(name: str) -> str:
     """A file of the installed public tokenizer vocabularies; ``PAGELATHE_TOKENIZERS`` names another folder."""
     return os.path.join(os.environ.get("PAGELATHE_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: lineage is cut, columns stay prunable.
+
+    The files go when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
