@@ -103,3 +103,15 @@ sample page, this is where your story begins|placeholder copy, replace before la
 def phrases(table: dict[str, str]) -> list[tuple[str, str]]:
     """(language, phrase) of a table."""
     return [(lang, p.strip()) for lang, text in table.items() for p in text.replace("\n", "|").split("|") if p.strip()]
+
+# Words of the usual Latin filler text, and keyboard fillers.
+FILLER = """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum eu fugiat nulla pariatur
+excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae praesent vitae nibh mauris ornare leo
+pellentesque urna donec gravida ac turpis egestas nulla faucibus erat in porta magna vel sollicitudin dapibus quis lacus et malesuada
+neque porro quisquam est qui dolorem ipsum quia dolor sit amet consectetur adipisci velit nunc sed tempor arcu
+foo bar baz|foo bar|asdf asdf|qwer asdf|hello world hello|bla bla bla|blah blah|dummy text|dummy dummy text|text text text|test test test|test test|xxxx xxxx|aaaa bbbb cccc|tbd tbd|tbd|todo|todo write this
+"""

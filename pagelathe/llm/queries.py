@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pagelathe.llm import bpe, mixing
+from pagelathe.llm import boilerplate, bpe, mixing, residue
 from pagelathe.session import table
 
 
 def queries() -> dict:
     return {
+        "p2_found": lambda s, d: boilerplate.p2_found(table(s, d, "pages")),
+        "p3_found": lambda s, d: residue.p3_found(table(s, d, "pages"), table(s, d, "crawl_records")),
         "p6_ids": lambda s, d: bpe.p6_ids(table(s, d, "documents")),
         "p7_shares": lambda s, d: mixing.p7_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares_full": lambda s, d: mixing.p7_shares_full(table(s, d, "documents"), table(s, d, "mix_targets")),
