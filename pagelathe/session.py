@@ -39,7 +39,7 @@ def spread(df: DataFrame, bytes_a_task: int = 4 << 20) -> DataFrame:
 
     The estimate comes from the optimizer's size of the scan; nothing is read for it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     tasks = max(df.sparkSession.sparkContext.defaultParallelism * 2, min(200_000, size // bytes_a_task))
     return df.repartition(int(tasks))
 
