@@ -31,9 +31,11 @@ from pagelathe.llm.mixing import source_name
 from pagelathe.session import spread
 
 FIT_CLEAN, FIT_ABUSIVE = 3_000, 2_000
-NEGATIVES, LANDMARKS, ROUNDS = 9_000, 300, 4
+NEGATIVES, LANDMARKS, ROUNDS = 6_000, 280, 4
 #: A document's worst sentence joins the positives from FLOOR on, unless OFTEN clean documents hold it; one of a clean document is dropped from SUSPECT on.
 FLOOR, OFTEN, SUSPECT = -0.15, 3, 0.6
+#: Without such a sentence, those join of whose words this share is new to clean documents.
+NOVEL = 0.4
 DECAY, BITS = 0.55, 20
 #: Subsequence lengths and the window each lies in.
 SHAPES = ((2, 3), (3, 5), (4, 6))
@@ -216,6 +218,11 @@ class AbuseModel:
         return out
 
 
+def _pieces(row: str) -> list[str]:
+    """Words; of text without spaces, pairs of characters."""
+    return [x for w in row.split() for x in ([w[i : i + 2] for i in range(len(w) - 1)] if w[0] > "⿿" else [w])]
+
+
 def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel:
     """The model of (text, labelled abusive) documents; of none, that of the authored sentences."""
     draw = np.random.default_rng(seed)
@@ -228,6 +235,14 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
     if len(pool) > NEGATIVES:  # the commonest, and a draw of the rest
         rest = pool[NEGATIVES // 2 :]
         pool = pool[: NEGATIVES // 2] + [rest[i] for i in draw.permutation(len(rest))[: NEGATIVES - NEGATIVES // 2]]
+    common = Counter(w for rows in good for w in {w for r in rows for w in _pieces(r)})
+
+    def novelty(row: str) -> float:
+        words = _pieces(row)
+        if len(words) < 4 or len(row) > LONG or any(len(w) > 16 or "0" in w for w in words):
+            return 0.0
+        return sum(common[w] < OFTEN for w in words) / len(words)
+
     positives = list(authored)
     model = None
     for step in range(ROUNDS):
@@ -249,6 +264,8 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
             found = list(authored)
             for own in bad:
                 s = model.sentence_scores(own)
+                if step and s.max() <= FLOOR:  # no sentence is near what is known: those in words that clean documents lack
+                    found += [r for r in own if novelty(r) >= NOVEL]
                 found += [own[i] for i in np.flatnonzero((s > 0.3) | ((s == s.max()) & (s > FLOOR))) if seen[own[i]] < OFTEN]
             positives = sorted(set(found))
             # a rare sentence of documents labelled clean that looks abusive is taken for a wrong label

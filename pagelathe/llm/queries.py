@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelathe.llm import boilerplate, bpe, language, mixing, residue
+from pagelathe.llm import abuse, boilerplate, bpe, language, mixing, residue
 from pagelathe.session import table
 
 
@@ -15,6 +15,9 @@ def queries() -> dict:
         "p7_shares": lambda s, d: mixing.p7_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares_full": lambda s, d: mixing.p7_shares_full(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_plan": lambda s, d: mixing.p7_plan(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_found": lambda s, d: abuse.p8_found(table(s, d, "documents"), table(s, d, "labels")),
+        "p8_scores": lambda s, d: abuse.p8_scores(table(s, d, "documents"), table(s, d, "labels")),
+        "p8_rates": lambda s, d: abuse.p8_rates(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
