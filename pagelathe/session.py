@@ -35,13 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, bytes_a_task: int = 4 << 20) -> DataFrame:
-    """``df`` with its files split finely enough that Python-heavy work uses every core.
+    """``df`` in enough partitions that Python-heavy work uses every core.
 
-    The estimate comes from the optimizer's size of the scan; nothing is read for it.
+    A scan that is split finely enough already stays as it is, without a shuffle.  The number otherwise
+    comes from the optimizer's size of the scan; nothing is read for it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism * 2, min(200_000, size // bytes_a_task))
-    return df.repartition(int(tasks))
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if plan.toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(int(max(cores * 2, min(200_000, size // bytes_a_task))))
 
 
 def public_path(name: str) -> str:
