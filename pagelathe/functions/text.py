@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
-EAST = r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]"
+EAST = r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]"
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]{2,})+"
 PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]\d{2,4}){1,4}"
 # Signs and codes of currencies.
@@ -23,7 +23,7 @@ STOPWORDS = {
     "it": "il la di che e per con non una del",
 }
 # Scripts that give a language away, in this order.
-SCRIPTS = (("ja", "[぀-ゟ゠-ヿ]"), ("ko", "[가-힯]"), ("zh", "[一-鿿]"), ("ru", "[Ѐ-ӿ]"), ("ar", "[؀-ۿ]"), ("hi", "[ऀ-ॿ]"), ("he", "[֐-׿]"), ("el", "[Ͱ-Ͽ]"), ("th", "[฀-๿]"))
+SCRIPTS = (("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]"), ("zh", r"[一-鿿]"), ("ru", r"[Ѐ-ӿ]"), ("ar", r"[؀-ۿ]"), ("hi", r"[ऀ-ॿ]"), ("he", r"[֐-׿]"), ("el", r"[Ͱ-Ͽ]"), ("th", r"[฀-๿]"))
 SCRIPT_HITS, WORD_HITS, WORDS_A_MINUTE = 4, 3, 200
 
 

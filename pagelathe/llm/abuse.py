@@ -139,16 +139,15 @@ def _entries(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.tile(row, len(shapes)), np.concatenate([h for h, _ in shapes]), np.concatenate([norm * np.float32(d) for _, d in shapes])
 
 
-def kernel(rows: list[str], landmarks: list[str], chunk: int = 200) -> np.ndarray:
+def kernel(rows: list[str], landmarks: list[str], chunk: int = 40) -> np.ndarray:
     """The length-normalised subsequence kernel of each row with each landmark, a chunk of rows at a time."""
     out = np.zeros((len(rows), len(landmarks)))
     if not rows or not landmarks:
         return out
     owner, hashes, weights = _entries(landmarks)
     used, place = np.unique(hashes, return_inverse=True)
-    of = np.zeros(len(used) * len(landmarks), dtype=np.float32)
-    of += np.bincount(place * len(landmarks) + owner, weights, minlength=len(of)).astype(np.float32)
-    of = of.reshape(len(used), len(landmarks))
+    of = np.zeros((len(used), len(landmarks)), dtype=np.float32)
+    np.add.at(of, (place, owner), weights)
     index = np.full(1 << BITS, -1, dtype=np.int32)
     index[used] = np.arange(len(used))
     for at in range(0, len(rows), chunk):

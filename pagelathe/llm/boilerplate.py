@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.page_blocks import RECORD, Block, blocks_of, html_lang, pack, unpack
+from pagelathe.llm.page_blocks import RECORD, Block, blocks_of, html_lang, pack, pack_body, unpack
 from pagelathe.llm.phrases import AROUND, RESIDUE, phrases
 from pagelathe.session import spread, stored
 
 #: Bound of the labelled pages fitted on, taken in the order of a hash of their id.
-LABELLED_PAGES = 3_000
+LABELLED_PAGES = 1_500
 #: A block is part of a site's frame from this share and number of the site's pages on.
 FRAME_SHARE, FRAME_PAGES = 0.06, 3
 #: A heading amid the main body is dropped only below this score, other blocks below 0.
@@ -47,18 +47,33 @@ _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _DIGITS = re.compile(r"\d+")
 
 
+def tokens_of(word: str) -> list[str]:
+    """The tokens of one lower-case match of ``_WORD``: 0 for a number, pairs of characters where words have no spaces."""
+    if word[0].isdigit():
+        return ["0"]
+    if len(word) > 1 and word[0] > "⿿" and _EAST.match(word):
+        return [word[i : i + 2] for i in range(len(word) - 1)]
+    return [word]
+
+
+def _begins(words: list[str]) -> str | None:
+    """A token for how a text begins: its first two tokens; None if it has fewer."""
+    if not words:
+        return None
+    first = tokens_of(words[0])[:2]
+    if len(first) < 2:
+        if len(words) < 2:
+            return None
+        first += tokens_of(words[1])[:1]
+    return f"^{first[0]} {first[1]}"
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-case words, single marks, 0 for numbers; pairs of characters where words have no spaces; last, how it begins."""
-    found = []
-    for w in _WORD.findall(text.lower()):
-        if w[0].isdigit():
-            found.append("0")
-        elif len(w) > 1 and w[0] > "⿿" and _EAST.match(w):
-            found += [w[i : i + 2] for i in range(len(w) - 1)]
-        else:
-            found.append(w)
-    if len(found) > 1:
-        found.append(f"^{found[0]} {found[1]}")
+    """The tokens of a text, last how it begins."""
+    words = _WORD.findall(text.lower())
+    found = [t for w in words for t in tokens_of(w)]
+    if (begins := _begins(words)) is not None:
+        found.append(begins)
     return found
 
 
@@ -68,68 +83,86 @@ def frame_key(text: str) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-def _gathered(blocks: list[Block], scores: list[float], shares) -> tuple[dict, dict, set]:
-    """Sums by zone and by list, and the lists that are menus: most of the site shows most of their items."""
-    lists: dict[int, list[float]] = {}
-    for b, s, f in zip(blocks, scores, shares):
-        if b.items:
-            v = lists.setdefault(b.items, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
-            n = len(b.text) + 1
-            v[0] += n
-            v[1] += b.linked
-            v[2] += f
-            v[3] += s
-            v[4] += 1
-    menus = {k for k, v in lists.items() if v[2] / v[4] > MENU_SHARE}
-    zones: dict[int, list[float]] = {}
-    for apart in (True, False):  # a zone's menus count only where it holds nothing else
-        for b, s, f in zip(blocks, scores, shares):
-            v = zones.get(b.zone)
-            if apart and b.items in menus or not apart and v is not None and not v[5]:
-                continue
-            if v is None:
-                v = zones[b.zone] = [0.0, 0.0, 0.0, 0.0, 0.0, 0.0 if apart else 1.0]
-            n = len(b.text) + 1
-            v[0] += n
-            v[1] += b.linked
-            v[2] += n * f
-            v[3] += s
-            if b.tag == "h1":
-                v[4] = 1.0
-    return zones, lists, menus
+class WordSums(dict):
+    """Text word -> (sum of the weights of its tokens) + 1j * (number of tokens), found on first use."""
+
+    def __init__(self, weights: dict[str, float], most: int = 300_000):
+        super().__init__()
+        self.weights, self.most = weights, most
+
+    def __missing__(self, word: str) -> complex:
+        if len(self) > self.most:
+            self.clear()
+        parts = tokens_of(word)
+        v = self[word] = complex(sum(self.weights.get(w, 0.0) for w in parts), len(parts))
+        return v
+
+    def text(self, text: str) -> tuple[float, float]:
+        """(sum, mean) of the weights of a text's tokens, how it begins included."""
+        words = _WORD.findall(text.lower())
+        t = sum(map(self.__getitem__, words), 0j)
+        begins = _begins(words)
+        if begins is not None:
+            t += complex(self.weights.get(begins, 0.0), 1)
+        return t.real, t.real / (t.imag + 1)
 
 
 TRAITS = """bias words mean linked length share framed zone_linked zone_length zone_share zone_words zone_h1 zone_part
 list_linked list_share list_words before_h1 repeated_p list_linked_h1 menu zone_linked_h1""".split()
 
 
-def features(blocks: list[Block], shares, weights: dict[str, float]) -> np.ndarray:
-    """A row a block, its columns ``TRAITS`` and then ``KINDS``; none of them looks at landmarks."""
-    get = weights.get
-    scores, means = [], []
-    for b in blocks:
-        ws = [get(w, 0.0) for w in words_of(b.text)]
-        t = sum(ws)
-        scores.append(max(-15.0, min(15.0, t)))
-        means.append(t / (len(ws) + 1))
-    zones, lists, menus = _gathered(blocks, scores, shares)
-    free = sum(len(b.text) - b.linked for b, f in zip(blocks, shares) if f < MENU_SHARE) + 1
-    main_at = next((i for i, b in enumerate(blocks) if b.tag == "h1"), None)
-    rows = []
-    for i, b in enumerate(blocks):
-        n = len(b.text) + 1
-        z, it = zones[b.zone], lists.get(b.items) if b.items else None
-        f = shares[i]
-        zone_linked, zone_share = z[1] / z[0], z[2] / z[0]
-        row = [
-            1.0, scores[i] / 5, means[i], b.linked / n, math.log(n) / 3, f, min(1.0, max(0.0, f - 0.3) / 0.3), zone_linked, math.log(z[0]) / 3,
-            min(1.0, max(0.0, zone_share - 0.2) / 0.3), max(-20.0, min(20.0, z[3])) / 5, z[4], max(0.0, z[0] - z[1]) / free if zone_share < 0.4 else 0.0,
-            it[1] / it[0] if it else 0.0, it[2] / it[4] if it else 0.0, max(-20.0, min(20.0, it[3])) / 5 if it else 0.0,
-            float(main_at is not None and i < main_at), float(b.tag == "p" and f >= FRAME_SHARE / 3), it[1] / it[0] * z[4] if it else 0.0, float(b.items in menus), zone_linked * z[4],
-        ]
-        tag = "h2" if b.tag[0] == "h" and b.tag != "h1" else b.tag
-        rows.append(row + [float(tag == k) for k in KINDS])
-    return np.array(rows).reshape(len(blocks), len(TRAITS) + len(KINDS))
+def features(pages: list[tuple[list[Block], list[float]]], sums: WordSums) -> np.ndarray:
+    """A row a block of all pages, its columns ``TRAITS`` and then ``KINDS``; none of them looks at landmarks.
+
+    Sums by zone and by list leave out menus: lists of whose items most of the site shows most.
+    """
+    rows = [(p, b.zone, b.items, b.linked, len(b.text) + 1, f, b.tag) for p, (blocks, shares) in enumerate(pages) for b, f in zip(blocks, shares)]
+    k = len(rows)
+    out = np.zeros((k, len(TRAITS) + len(KINDS)))
+    if not k:
+        return out
+    page, zone, items, linked, n, f, tags = zip(*rows)
+    scored = np.array([sums.text(b.text) for blocks, _ in pages for b in blocks])
+    score, mean = np.clip(scored[:, 0], -15, 15), scored[:, 1]
+    page, linked, n, f = np.array(page), np.array(linked, float), np.array(n, float), np.array(f, float)
+    _, zone = np.unique(page * 1_000_003 + np.array(zone), return_inverse=True)
+    items = np.array(items)
+    listed = items > 0
+    _, lists = np.unique(np.where(listed, page * 1_000_003 + items, -1), return_inverse=True)
+    h1 = np.array([t == "h1" for t in tags], float)
+
+    def by(key, value, where=None):
+        return np.bincount(key, value if where is None else value * where, minlength=int(key.max()) + 1)
+
+    list_n, list_count = by(lists, n), by(lists, np.ones(k))
+    list_linked, list_share, list_score = by(lists, linked) / list_n, by(lists, f) / list_count, np.clip(by(lists, score), -20, 20)
+    menu = listed & (list_share[lists] > MENU_SHARE)
+    apart = (~menu).astype(float)
+    has = by(zone, apart) > 0
+    kept = np.where(has[zone], apart, 1.0)  # a zone's menus count only where it holds nothing else
+    zone_n = by(zone, n, kept)
+    zone_linked, zone_share = by(zone, linked, kept) / zone_n, by(zone, n * f, kept) / zone_n
+    zone_score, zone_h1 = np.clip(by(zone, score, kept), -20, 20), (by(zone, h1, kept) > 0).astype(float)
+    free = by(page, n - 1 - linked, (f < MENU_SHARE).astype(float)) + 1
+    order = np.arange(k)
+    first_h1 = np.full(int(page.max()) + 1, k)
+    np.minimum.at(first_h1, page[h1 > 0], order[h1 > 0])
+    before = (order < first_h1[page]) & (first_h1[page] < k)
+    paragraph = np.array([t == "p" for t in tags])
+    zl, zs, zh = zone_linked[zone], zone_share[zone], zone_h1[zone]
+    columns = [
+        np.ones(k), score / 5, mean, linked / n, np.log(n) / 3, f, np.clip((f - 0.3) / 0.3, 0, 1), zl, np.log(zone_n[zone]) / 3,
+        np.clip((zs - 0.2) / 0.3, 0, 1), zone_score[zone] / 5, zh, np.where(zs < 0.4, np.maximum(0, zone_n[zone] * (1 - zl)) / free[page], 0.0),
+        list_linked[lists] * listed, list_share[lists] * listed, list_score[lists] / 5 * listed,
+        before, paragraph & (f >= FRAME_SHARE / 3), list_linked[lists] * listed * zh, menu, zl * zh,
+    ]
+    for j, c in enumerate(columns):
+        out[:, j] = c
+    kinds = {t: j for j, t in enumerate(KINDS, len(TRAITS))} | {f"h{i}": len(TRAITS) + KINDS.index("h2") for i in range(3, 7)}
+    for i, t in enumerate(tags):
+        if t in kinds:
+            out[i, kinds[t]] = 1.0
+    return out
 
 
 def markup_label(marks: str) -> int | None:
@@ -181,32 +214,35 @@ class PageModel:
     def __init__(self, weights: dict[str, float], traits: np.ndarray, alone: np.ndarray):
         self.weights, self.traits, self.alone = weights, traits, alone
 
-    def scores(self, blocks: list[Block], shares) -> list[float]:
-        framed = any(f >= FRAME_SHARE for f in shares)
-        raw = features(blocks, shares, self.weights) @ (self.traits if framed else self.alone)
-        return [float(s) + MARK_SCORES[b.marks[-1:]] for s, b in zip(raw, blocks)]
-
-    def main_blocks(self, blocks: list[Block], shares) -> list[Block]:
-        """The blocks of the main body, by the best contiguous run; [] of a page without blocks."""
-        if not blocks:
-            return []
-        scores = self.scores(blocks, shares)
-        best, first, last = -math.inf, 0, -1
-        total, start = 0.0, 0
-        for i, (b, s) in enumerate(zip(blocks, scores)):
-            step = -TAG_COST * min(b.gap, 6)
-            if total + step <= 0:
-                total, start = s, i
-            else:
-                total += step + s
-            if total > best:
-                best, first, last = total, start, i
-        run = range(first, last + 1)
-        if best <= 0:  # nothing speaks for any block: the zone that is least like a frame
-            zone = blocks[first].zone
-            run = [i for i, b in enumerate(blocks) if b.zone == zone]
-            return [blocks[i] for i in run if scores[i] > -4.0 and shares[i] < 0.3]
-        return [blocks[i] for i in run if scores[i] > (HEADING_FLOOR if blocks[i].tag[0] == "h" else 0.0)]
+    def main_blocks(self, pages: list[tuple[list[Block], list[float]]], sums: WordSums | None = None) -> list[list[Block]]:
+        """The blocks of each page's main body, by the best contiguous run; [] of a page without blocks."""
+        x = features(pages, sums if sums is not None else WordSums(self.weights))
+        both = x @ np.stack([self.traits, self.alone], axis=1)
+        out, at = [], 0
+        for blocks, shares in pages:
+            raw = both[at : at + len(blocks), 0 if any(f >= FRAME_SHARE for f in shares) else 1].tolist()
+            at += len(blocks)
+            out.append(_best_run(blocks, shares, [s + MARK_SCORES[b.marks[-1:]] for s, b in zip(raw, blocks)]))
+        return out
+
+
+def _best_run(blocks: list[Block], shares, scores: list[float]) -> list[Block]:
+    if not blocks:
+        return []
+    best, first, last = -math.inf, 0, -1
+    total, start = 0.0, 0
+    for i, (b, s) in enumerate(zip(blocks, scores)):
+        step = -TAG_COST * min(b.gap, 6)
+        if total + step <= 0:
+            total, start = s, i
+        else:
+            total += step + s
+        if total > best:
+            best, first, last = total, start, i
+    if best <= 0:  # nothing speaks for any block: the zone that is least like a frame
+        zone = blocks[first].zone
+        return [b for b, s, f in zip(blocks, scores, shares) if b.zone == zone and s > -4.0 and f < 0.3]
+    return [blocks[i] for i in range(first, last + 1) if scores[i] > (HEADING_FLOOR if blocks[i].tag[0] == "h" else 0.0)]
 
 
 def _word_weights(pages: list[tuple[list[Block], list[float]]], labels: list[list[int | None]]) -> dict[str, float]:
@@ -236,23 +272,20 @@ def fit_pages(pages: list[tuple[list[Block], list[float]]]) -> PageModel:
     labels = [page_labels(blocks, shares) for blocks, shares in pages]
     model = PageModel(_word_weights(pages, labels), PRIOR, PRIOR)
     for _ in range(2):
-        xs, alone, ys = [], [], []
-        for (blocks, shares), own in zip(pages, labels):
-            if any(y == 1 for y in own) and any(y == 0 for y in own):
-                kept = [i for i, y in enumerate(own) if y is not None]
-                xs.append(features(blocks, shares, model.weights)[kept])
-                alone.append(features(blocks, [0.0] * len(blocks), model.weights)[kept])
-                ys.append(np.array([own[i] for i in kept], dtype=float))
-        if not xs:
+        both = [any(y == 1 for y in own) and any(y == 0 for y in own) for own in labels]
+        y = np.array([-1 if v is None or not fit else v for own, fit in zip(labels, both) for v in own], dtype=float)
+        if not (y >= 0).any():
             return model
-        y = np.concatenate(ys)
-        traits = _logistic(np.vstack(xs), y)
+        sums = WordSums(model.weights)
+        x = features(pages, sums)
+        traits = _logistic(x[y >= 0], y[y >= 0])
+        alone = _logistic(features([(blocks, [0.0] * len(blocks)) for blocks, _ in pages], sums)[y >= 0], y[y >= 0])
         # the markup's labels are corrected where the fit is sure of the contrary, then words are weighed anew
-        labels = []
+        raw, at, labels = x @ traits, 0, []
         for blocks, shares in pages:
-            raw = features(blocks, shares, model.weights) @ traits if blocks else []
-            labels.append([0 if y == 1 and s < -2 else 1 if y == 0 and s > 4 else y for y, s in zip(page_labels(blocks, shares), raw)])
-        model = PageModel(_word_weights(pages, labels), traits, _logistic(np.vstack(alone), y))
+            labels.append([0 if v == 1 and s < -2 else 1 if v == 0 and s > 4 else v for v, s in zip(page_labels(blocks, shares), raw[at : at + len(blocks)])])
+            at += len(blocks)
+        model = PageModel(_word_weights(pages, labels), traits, alone)
     return model
 
 
@@ -332,11 +365,13 @@ def main_bodies(pages: DataFrame) -> DataFrame:
     model = fit_on(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = []
-            for packed, shares in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                bodies.append(pack(model.main_blocks(unpack(packed), shares)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bodies, pa.string())], ["page_id", "site_id", "lang", "body"])
+        sums = WordSums(model.weights)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                pages = [(unpack(p), s) for p, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+                bodies = [pack_body(found) for found in model.main_blocks(pages, sums)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bodies, pa.string())], ["page_id", "site_id", "lang", "body"])
 
     return shared.mapInArrow(run, "page_id long, site_id long, lang string, body string")
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.boilerplate import main_bodies
-from pagelathe.llm.page_blocks import unpack
-from pagelathe.llm.residue import residue_scores
+from pagelathe.llm.page_blocks import unpack_body
+from pagelathe.llm.residue import page_scores
 from pagelathe.llm.tongues import EVERYDAY, ISO_639_1, SPELLINGS, table
 from pagelathe.session import spread, stored
 
-FIT_TEXTS = 4_000
+FIT_TEXTS = 2_000
 LANGUAGES = [lang for lang, _ in table(EVERYDAY)]
 BUCKETS = 1 << 15
 #: Words whose emissions a worker remembers.
@@ -61,15 +62,15 @@ def label_of(written: str | None) -> str | None:
     return first if first in ISO_639_1 else _ALIASES.get(first)
 
 
+def parts_of(word: str) -> list[str]:
+    """The parts of one lower-case word: text without spaces in pairs of characters, endless words by their beginning."""
+    if word[0] > "⿿":
+        return [word[i : i + 2] for i in range(0, len(word), 2)]
+    return [word[:40]]
+
+
 def words_in(line: str) -> list[str]:
-    """Lower-case words; text without spaces in pairs of characters."""
-    out = []
-    for w in _WORD.findall(line):
-        if w[0] > "⿿" or len(w) > 40:
-            out += [w[i : i + 2] for i in range(0, len(w), 2)] if w[0] > "⿿" else [w[:40].lower()]
-        else:
-            out.append(w.lower())
-    return out
+    return [p for w in _WORD.findall(line.lower()) for p in parts_of(w)]
 
 
 def _traits(word: str) -> list[str]:
@@ -87,10 +88,7 @@ def _traits(word: str) -> list[str]:
 
 
 def _bucket(trait: str) -> int:
-    h = 2166136261
-    for b in trait.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h % BUCKETS
+    return zlib.crc32(trait.encode()) % BUCKETS
 
 
 class LanguageModel:
@@ -98,6 +96,7 @@ class LanguageModel:
 
     def __init__(self, weights: np.ndarray, words: np.ndarray, lines: np.ndarray):
         self.weights, self.words, self.lines = weights, words, lines
+        self.key = zlib.crc32(weights.tobytes() + words.tobytes() + lines.tobytes())
 
     def emissions(self, word: str) -> np.ndarray:
         """Log scores of a word, one a language; none of them certain."""
@@ -106,54 +105,89 @@ class LanguageModel:
         return np.maximum(s - math.log(np.exp(s).sum()), -7.0)
 
 
-class Labeller:
-    """A worker's view of a model: emissions of known words are kept."""
+class Labeller(dict):
+    """A worker's view of a model: text word -> row of its emissions; below zero, ~index of a list of rows."""
 
     def __init__(self, model: LanguageModel):
+        super().__init__()
         self.model = model
-        self.ids: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.lists: list[list[int]] = []
         self.rows = np.zeros((4096, len(LANGUAGES)), dtype=np.float32)
+        self.lengths = np.zeros(4096, dtype=np.float32)
+        self.used = 0
+        self.parts: dict[str, int] = {}
 
-    def id_of(self, word: str) -> int:
-        k = self.ids.get(word)
+    def _row(self, part: str) -> int:
+        k = self.parts.get(part)
         if k is None:
-            k = self.ids[word] = len(self.ids)
+            k = self.parts[part] = self.used
+            self.used += 1
             if k >= len(self.rows):
                 self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[k] = np.exp(self.model.emissions(word))
+                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.rows[k] = np.exp(self.model.emissions(part))
+            self.lengths[k] = len(part)
         return k
 
-    def texts(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text, given as its segments: (language index, confidence, expected characters by language) a segment."""
-        if len(self.ids) > CACHE:
-            self.ids, self.rows = {}, np.zeros((4096, len(LANGUAGES)), dtype=np.float32)
-        flat, sizes, ids, get = [], [], [], self.ids.get
-        lengths: list[int] = []
+    def __missing__(self, word: str) -> int:
+        parts = parts_of(word)
+        if len(parts) == 1:
+            v = self._row(parts[0])
+        else:
+            self.lists.append([self._row(p) for p in parts])
+            v = ~(len(self.lists) - 1)
+        self[word] = v
+        return v
+
+    def line(self, line: str) -> list[int]:
+        """Rows of the words of a line."""
+        found = list(map(self.__getitem__, _WORD.findall(line.lower())))
+        if found and min(found) < 0:
+            found = [k for f in found for k in ((f,) if f >= 0 else self.lists[~f])]
+        return found
+
+    def texts(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, given as its segments: (language index, confidence, expected characters by language, words) a segment."""
+        if len(self) > CACHE:
+            self.forget()
+        flat, sizes = [], []
+        ids: list[int] = []
         for segments in texts:
             for line in segments:
-                ws = words_in(line)
-                found = [get(w) for w in ws]
-                if None in found:
-                    found = [self.id_of(w) for w in ws]
+                found = self.line(line)
                 ids += found
-                lengths += map(len, ws)
-                sizes.append(len(ws))
+                sizes.append(len(found))
             flat.append(len(segments))
-        sizes_a = np.array(sizes, dtype=np.int64)
-        chars = chain(self.rows, np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.float32), sizes_a, self.model.words)
+        sizes_a, ids_a = np.array(sizes, dtype=np.int64), np.array(ids, dtype=np.int64)
+        chars = chain(self.rows, ids_a, self.lengths[ids_a] if ids else np.zeros(0, dtype=np.float32), sizes_a, self.model.words)
         # evidence of a line: its share of each language, the stronger the more words it has
         total = chars.sum(axis=1, keepdims=True)
         strength = np.minimum(sizes_a, 12)[:, None] * 0.7
         evidence = np.exp(strength * np.log((chars + 0.02 * total + 1e-3) / (total * (1 + 0.02 * len(LANGUAGES)) + 1e-3 * len(LANGUAGES)))).astype(np.float32)
         posterior = chain_posteriors(evidence, np.array(flat, dtype=np.int64), self.model.lines)
+        best, sure = (posterior.argmax(axis=1), posterior.max(axis=1)) if len(posterior) else (np.zeros(0, dtype=np.int64), np.zeros(0))
         out, at = [], 0
         for n in flat:
-            p = posterior[at : at + n]
-            out.append((p.argmax(axis=1) if n else np.zeros(0, dtype=np.int64), p.max(axis=1) if n else np.zeros(0), chars[at : at + n]))
+            out.append((best[at : at + n], sure[at : at + n], chars[at : at + n], sizes_a[at : at + n]))
             at += n
         return out
 
 
+_LABELLERS: dict[int, Labeller] = {}
+
+
+def labeller_of(model: LanguageModel) -> Labeller:
+    """The labeller a Python worker keeps from task to task."""
+    if model.key not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[model.key] = Labeller(model)
+    return _LABELLERS[model.key]
+
+
 def _by_length(sizes: np.ndarray, cells: int = 200_000) -> Iterator[tuple[np.ndarray, int]]:
     """Sequences of like length together, so that padding stays small: (their indexes, the longest)."""
     order = np.argsort(sizes, kind="stable")
@@ -287,7 +321,7 @@ def fit_languages(texts: list[tuple[str, str | None]]) -> LanguageModel:
         counts = {w: c * np.maximum(scale, 0.02) for w, c in counts.items()}
         model = LanguageModel(_fit_emissions(counts), _sticky(0.97), _sticky(0.8))
     if labelled:
-        model.words, model.lines = _transitions(model, [lines for lines, _ in labelled])
+        model = LanguageModel(model.weights, *_transitions(model, [lines for lines, _ in labelled]))
     return model
 
 
@@ -296,44 +330,50 @@ def _transitions(model: LanguageModel, texts: list[list[str]]) -> tuple[np.ndarr
     k = len(LANGUAGES)
     labeller = Labeller(model)
     of_lines, of_words = np.full((k, k), 0.2) + np.eye(k) * 20, np.full((k, k), 0.2) + np.eye(k) * 40
-    for found, confidence, _ in labeller.texts(texts):
+    for found, confidence, _, _ in labeller.texts(texts):
         for a, b, c, d in zip(found[:-1], found[1:], confidence[:-1], confidence[1:]):
             of_lines[a, b] += c * d
     flat = [line for lines in texts for line in lines][:20_000]
     for line in flat:
-        ws = words_in(line)
-        if len(ws) > 1:
-            e = labeller.rows[[labeller.id_of(w) for w in ws]][:, None, :]
-            p = _forward_backward(e, np.array([len(ws)]), model.words.astype(np.float32))[:, 0, :]
+        rows = labeller.line(line)
+        if len(rows) > 1:
+            e = labeller.rows[rows][:, None, :]
+            p = _forward_backward(e, np.array([len(rows)]), model.words.astype(np.float32))[:, 0, :]
             of_words += p[:-1].T @ p[1:]
     return of_words / of_words.sum(axis=1, keepdims=True), of_lines / of_lines.sum(axis=1, keepdims=True)
 
 
-def _is_code(line: str, inside: bool) -> bool:
-    return inside or bool(_CODE.search(line))
-
-
-def verdicts(segments: list[str], code: list[bool], found, confidence, chars) -> tuple[str | None, float, list[str] | None]:
+def verdicts(segments: list[str], code, found, confidence, chars, words) -> tuple[str | None, float, list[str] | None]:
     """(main language, its confidence, languages of the segments if the text is mixed) of one text.
 
-    None without words.  A segment makes a text mixed only with enough prose of its own language.
+    None without words.  ``code`` tells which segments are code; it is asked only where languages differ.
+    A segment makes a text mixed only with enough prose of its own language.
     """
-    total = np.zeros(len(LANGUAGES))
-    own = set()
-    weight = 0.0
-    for i, line in enumerate(segments):
-        n = float(chars[i].sum())
-        if n <= 0:
-            continue
-        part = n * (0.05 if code[i] else 1.0)
-        total[found[i]] += part * len(line) / n if not code[i] else part
-        weight += part
-        if not code[i] and confidence[i] >= SURE and chars[i][found[i]] >= OWN_PART * n and len(words_in(line)) >= OWN_WORDS:
-            own.add(int(found[i]))
-    if not total.any():
+    n = chars.sum(axis=1)
+    spoken = n > 0
+    if not spoken.any():
         return None, 0.0, None
+    first = found[spoken][0]
+    if (found[spoken] == first).all():
+        return LANGUAGES[first], float((n * confidence)[spoken].sum() / n[spoken].sum()), None
+    prose = spoken & ~np.array(code(), dtype=bool)
+    sizes = np.array([len(line) for line in segments], dtype=float)
+    total = np.bincount(found, np.where(prose, sizes, np.where(spoken, 0.05 * n, 0.0)), minlength=len(LANGUAGES))
     main = int(total.argmax())
-    return LANGUAGES[main], float(total[main] / total.sum()), [LANGUAGES[i] for i in found] if len(own) > 1 else None
+    own = prose & (confidence >= SURE) & (chars[np.arange(len(found)), found] >= OWN_PART * n) & (words >= OWN_WORDS)
+    mixed = len(set(found[own].tolist())) > 1
+    return LANGUAGES[main], float(total[main] / total.sum()), [LANGUAGES[i] for i in found] if mixed else None
+
+
+def _code_lines(text: str) -> list[bool]:
+    """For each non-blank line, whether it is code: fenced, indented or of its shape."""
+    out, inside = [], False
+    for line in text.split("\n"):
+        if line.strip():
+            fence = bool(_FENCE.match(line))
+            out.append(inside or fence or bool(_CODE.search(line)))
+            inside ^= fence
+    return out
 
 
 def segment_languages(texts: DataFrame, model: LanguageModel, *, packed: bool = False) -> DataFrame:
@@ -345,43 +385,32 @@ def segment_languages(texts: DataFrame, model: LanguageModel, *, packed: bool =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
-        for batch in batches:
-            lists, numbers, codes = [], [], []
-            for text in batch.column(1).to_pylist():
-                segments, nos, code, inside = [], [], [], False
-                if packed:
-                    for b in unpack(text):
-                        if b.text.strip():
-                            segments.append(b.text)
-                            nos.append(b.no)
-                            code.append(b.tag == "pre")
-                else:
-                    for i, line in enumerate((text or "").split("\n")):
-                        if line.strip():
-                            fence = bool(_FENCE.match(line))
-                            segments.append(line)
-                            nos.append(i)
-                            code.append(_is_code(line, inside or fence))
-                            inside ^= fence
-                lists.append(segments)
-                numbers.append(nos)
-                codes.append(code)
-            langs, sure, mixed, seg_langs, seg_sure = [], [], [], [], []
-            for segments, code, (found, confidence, chars) in zip(lists, codes, labeller.texts(lists)):
-                lang, c, parts = verdicts(segments, code, found, confidence, chars)
-                langs.append(lang)
-                sure.append(c)
-                mixed.append(parts is not None)
-                seg_langs.append(parts or [])
-                seg_sure.append([float(x) for x in confidence] if parts else [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(mixed, pa.bool_()),
-                    pa.array([n if m else [] for n, m in zip(numbers, mixed)], pa.list_(pa.int64())), pa.array(seg_langs, pa.list_(pa.string())), pa.array(seg_sure, pa.list_(pa.float64())),
-                ],
-                ["row_id", "lang", "confidence", "mixed", "segment_nos", "segment_langs", "segment_confidences"],
-            )
+        labeller = labeller_of(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                yield label(labeller, whole.slice(at, 2000))
+
+    def label(labeller: Labeller, batch: pa.RecordBatch) -> pa.RecordBatch:
+        given = batch.column(1).to_pylist()
+        if packed:
+            blocks = [[b for b in unpack_body(body) if b.text.strip()] for body in given]
+            lists = [[b.text for b in own] for own in blocks]
+        else:
+            lists = [[line for line in (text or "").split("\n") if line.strip()] for text in given]
+        langs, sure, mixed, nos, seg_langs, seg_sure = [], [], [], [], [], []
+        for i, (segments, found) in enumerate(zip(lists, labeller.texts(lists))):
+            lang, c, parts = verdicts(segments, lambda i=i: [b.tag == "pre" for b in blocks[i]] if packed else _code_lines(given[i]), *found)
+            langs.append(lang)
+            sure.append(c)
+            mixed.append(parts is not None)
+            seg_langs.append(parts or [])
+            seg_sure.append(found[1].tolist() if parts else [])
+            nos.append([] if not parts else [b.no for b in blocks[i]] if packed else [k for k, line in enumerate(given[i].split("\n")) if line.strip()])
+        columns = [
+            batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(mixed, pa.bool_()),
+            pa.array(nos, pa.list_(pa.int64())), pa.array(seg_langs, pa.list_(pa.string())), pa.array(seg_sure, pa.list_(pa.float64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["row_id", "lang", "confidence", "mixed", "segment_nos", "segment_langs", "segment_confidences"])
 
     return texts.mapInArrow(run, "row_id long, lang string, confidence double, mixed boolean, segment_nos array<long>, segment_langs array<string>, segment_confidences array<double>")
 
@@ -403,12 +432,12 @@ def labels(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("written")).where(F.col("written").isNotNull()).distinct().mapInArrow(run, "written string, code string")
 
 
-def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame, crawl_records: DataFrame) -> DataFrame:
+def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame) -> DataFrame:
     """``origin, row_id, segment_no, lang``: labels that are missing or untrue, and the segments of mixed texts."""
     model = fit_on(documents)
     texts = documents.select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("written"))
     bodies = stored(main_bodies(pages))
-    residue = residue_scores(bodies, crawl_records.limit(0)).where((F.col("origin") == "page") & (F.col("score") > 0)).select(F.col("row_id").alias("page_id"))
+    residue = stored(page_scores(bodies).where(F.col("score") > 0).select(F.col("row_id").alias("page_id")))
     kept = bodies.join(residue, "page_id", "left_anti")
     of_documents = stored(segment_languages(spread(texts.select("row_id", "text")), model).where(F.col("lang").isNotNull()))
     of_pages = stored(segment_languages(kept.select(F.col("page_id").alias("row_id"), "body"), model, packed=True).where(F.col("lang").isNotNull()))

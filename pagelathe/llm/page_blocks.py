@@ -15,7 +15,7 @@ CONTAINERS = frozenset("html body div section article main aside nav header foot
 #: Raw text elements: nothing inside them is a tag.
 RAW = frozenset("script style textarea title template noframes".split())
 FIELD, RECORD = "\x1f", "\x1e"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _LANG = re.compile(r"(?<![\w:-])lang\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -38,7 +38,7 @@ def html_lang(source: str | None) -> str | None:
     """The lang attribute of the html tag as written; None without one."""
     if not source:
         return None
-    m = re.search(r"<html\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", source, re.I)
+    m = re.search(r"<html\b([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", source, re.I)
     found = _LANG.search(m.group(1)) if m else None
     return next((g for g in found.groups() if g is not None), None) if found else None
 
@@ -163,3 +163,21 @@ def unpack(packed: str | None) -> list[Block]:
         no, tag, zone, items, marks, gap, linked, text = record.split(FIELD)
         out.append(Block(int(no), tag, int(zone), int(items), marks, int(gap), int(linked), text))
     return out
+
+
+class BodyBlock(NamedTuple):
+    no: int
+    tag: str
+    text: str
+
+
+def pack_body(blocks: list[Block]) -> str:
+    """The main blocks of a page as one string."""
+    return RECORD.join(f"{b.no}{FIELD}{b.tag}{FIELD}{b.text}" for b in blocks)
+
+
+def unpack_body(body: str | None) -> list[BodyBlock]:
+    if not body:
+        return []
+    parts = (r.split(FIELD, 2) for r in body.split(RECORD))
+    return [BodyBlock(int(no), tag, text) for no, tag, text in parts]

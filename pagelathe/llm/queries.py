@@ -10,7 +10,7 @@ def queries() -> dict:
     return {
         "p2_found": lambda s, d: boilerplate.p2_found(table(s, d, "pages")),
         "p3_found": lambda s, d: residue.p3_found(table(s, d, "pages"), table(s, d, "crawl_records")),
-        "p4_found": lambda s, d: language.p4_found(*(table(s, d, t) for t in ("documents", "pages", "content_reports", "crawl_records"))),
+        "p4_found": lambda s, d: language.p4_found(*(table(s, d, t) for t in ("documents", "pages", "content_reports"))),
         "p6_ids": lambda s, d: bpe.p6_ids(table(s, d, "documents")),
         "p7_shares": lambda s, d: mixing.p7_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares_full": lambda s, d: mixing.p7_shares_full(table(s, d, "documents"), table(s, d, "mix_targets")),

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.boilerplate import main_bodies, words_of
-from pagelathe.llm.page_blocks import unpack
+from pagelathe.llm.boilerplate import _WORD, _begins, main_bodies, tokens_of
+from pagelathe.llm.page_blocks import unpack_body
 from pagelathe.llm.phrases import FILLER, RESIDUE, phrases
 from pagelathe.session import stored
 
-FIT_PAGES, FIT_REASONS = 2_500, 20_000
+FIT_PAGES, FIT_REASONS = 1_500, 10_000
 ROUNDS = 4
 PRIOR = 0.1
 #: Bounds of a word's weight against and for residue; for a trait, above.
@@ -45,30 +45,43 @@ _TEMPLATE = re.compile(
 )
 _NOTHING = re.compile(r"(?:error:?\s*)?(?:undefined|null|nan|none|nil|todo|tbd|n/?a|\[object \w+\]|void 0|true|false)[.!]?\Z", re.I)
 _NO_VALUE = re.compile(r"\bundefined\b|\bNaN\b|\bnull\b|\[object |\bXXX+\b")
+_SIGN = re.compile(r"[{}\[%<«@*_$#]")
 _KEY = re.compile(r"[a-z][\w-]*(?:\.[a-z][\w-]*)+\Z")
 _MARKUP = re.compile(r"<(?:!doctype|/?[a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.I)
 _RUN = re.compile(r"(.)\1{2,}\Z")
 
 
+def _traits(text: str) -> tuple[list[str], str | None]:
+    """(traits of residue in a passage, the rest of it); the rest is None where a trait is all there is."""
+    found: list[str] = []
+    if len(text) < 60:
+        if _NOTHING.match(text):
+            return ["§nothing"], None
+        if _KEY.match(text):
+            return ["§key"], None
+        if len(text) < 30 and _NO_VALUE.search(text):
+            found.append("§nothing")
+    if _SIGN.search(text):
+        text, n = _TEMPLATE.subn(" ", text)
+        found += ["§template"] * min(n, 6)
+        if "<" in text:
+            text, n = _MARKUP.subn(" ", text)
+            found += ["§markup"] * min(n, 4)
+    return found, text
+
+
 def tokens(text: str) -> list[str]:
     """Words of a passage, with template variables and other traits of residue as tokens of their own."""
-    text = text.strip()
-    found: list[str] = []
-    if _NOTHING.match(text):
-        return ["§nothing"]
-    if len(text) < 30 and _NO_VALUE.search(text):
-        found.append("§nothing")
-    elif _KEY.match(text):
-        return ["§key"]
-    rest, n = _TEMPLATE.subn(" ", text)
-    found += ["§template"] * min(n, 6)
-    rest, n = _MARKUP.subn(" ", rest)
-    found += ["§markup"] * min(n, 4)
-    words = words_of(rest)
+    found, rest = _traits(text.strip())
+    if rest is None:
+        return found
+    words = _WORD.findall(rest.lower())
     if len(words) > 3 and len(set(words)) * 2 <= len(words) + 1:
         found.append("§repeated")
     for w in words:
-        found.append("§run" if len(w) > 2 and _RUN.match(w) else w)
+        found += ["§run"] if len(w) > 2 and _RUN.match(w) else tokens_of(w)
+    if (begins := _begins(words)) is not None:
+        found.append(begins)
     return found
 
 
@@ -96,6 +109,34 @@ class Residue:
         return self.bias + sum(get(t, unseen) for t in passage)
 
 
+class Scorer(dict):
+    """A worker's view of a model: the weight of each text word is found once."""
+
+    def __init__(self, model: Residue, most: int = 300_000):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > self.most:
+            self.clear()
+        get, unseen = self.model.weights.get, self.model.unseen
+        v = self[word] = sum(get(t, unseen) for t in (["§run"] if len(word) > 2 and _RUN.match(word) else tokens_of(word)))
+        return v
+
+    def text(self, text: str) -> float:
+        """``model.score(tokens(text))``."""
+        found, rest = _traits(text.strip())
+        get, unseen = self.model.weights.get, self.model.unseen
+        words = _WORD.findall(rest.lower()) if rest is not None else []
+        if len(words) > 3 and len(set(words)) * 2 <= len(words) + 1:
+            found.append("§repeated")
+        if (begins := _begins(words)) is not None:
+            found.append(begins)
+        if not found and not words:
+            return -math.inf
+        return self.model.bias + sum(get(t, unseen) for t in found) + sum(map(self.__getitem__, words))
+
+
 def fit(passages: Iterable[tuple[list[str], float]]) -> Residue:
     """The model of unlabelled passages with weights; none at all leaves the trusted ones alone."""
     unlabelled = [(Counter(p), w) for p, w in passages if p]
@@ -130,48 +171,50 @@ def _weigh(positive: Counter, negative: Counter) -> Residue:
     return Residue(weights, math.log(PRIOR / (1 - PRIOR)), -0.3)
 
 
-def page_passages(body: str | None) -> list[list[str]]:
+def page_passages(body: str | None) -> list[str]:
     """Passages of a packed main body; code counts only where it is all there is."""
-    blocks = [b for b in unpack(body) if b.text]
-    prose = [b for b in blocks if b.tag != "pre"]
-    return [tokens(b.text) for b in (prose or blocks)]
+    blocks = [b for b in unpack_body(body) if b.text]
+    return [b.text for b in blocks if b.tag != "pre"] or [b.text for b in blocks]
 
 
-def residue_scores(bodies: DataFrame, crawl_records: DataFrame) -> DataFrame:
-    """``origin, row_id, score``: the highest log odds among a page's passages, and those of a record's reason.
+def page_scores(bodies: DataFrame) -> DataFrame:
+    """``origin, row_id, score``: the highest log odds among a page's passages.
 
-    Pages without a main body, and null and blank reasons, have no passage and no row; other columns are
-    ignored; rows that repeat are scored each.
+    Pages without a main body have no passage and no row; rows that repeat are scored each.
     """
     sample = bodies.where(F.length("body") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).select("body").toPandas()["body"]  # bounded
-    page_model = fit((p, 1.0) for body in sample for p in page_passages(body))
-    reasons = crawl_records.select(F.col("record_id").cast("long").alias("row_id"), F.trim(F.col("outcome.reason")).alias("reason")).where(F.length("reason") > 0)
-    kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason")).agg(F.count("*").alias("n"))
-    kinds = kinds.orderBy(F.xxhash64("reason"), "reason").limit(FIT_REASONS).toPandas()  # bounded
-    reason_model = fit((tokens(r), float(n)) for r, n in zip(kinds["reason"], kinds["n"]))
+    model = fit((tokens(p), 1.0) for body in sample for p in page_passages(body))
 
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
-            best = [max(map(page_model.score, page_passages(body)), default=None) for body in batch.column(1).to_pylist()]
+            best = [max(map(scorer.text, page_passages(body)), default=None) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.float64())], ["row_id", "score"])
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+    return bodies.select("page_id", "body").mapInArrow(run, "row_id long, score double").where(F.col("score").isNotNull()).select(F.lit("page").alias("origin"), "row_id", "score")
+
+
+def reason_scores(crawl_records: DataFrame) -> DataFrame:
+    """``origin, row_id, score``: the log odds of each record's reason.
+
+    Null and blank reasons have no row; other columns are ignored; rows that repeat are scored each.
+    """
+    reasons = crawl_records.select(F.col("record_id").cast("long").alias("row_id"), F.trim(F.col("outcome.reason")).alias("reason")).where(F.length("reason") > 0)
+    kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason")).agg(F.count("*").alias("n"))
+    kinds = kinds.orderBy(F.xxhash64("reason"), "reason").limit(FIT_REASONS).toPandas()  # bounded
+    model = fit((tokens(r), float(n)) for r, n in zip(kinds["reason"], kinds["n"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
-            out = []
-            for r in batch.column(1).to_pylist():
-                if r not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[r] = reason_model.score(tokens(r))
-                out.append(known[r])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row_id", "score"])
+            different = batch.column(1).dictionary_encode()
+            scores = pa.array([scorer.text(r) for r in different.dictionary.to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores.take(different.indices)], ["row_id", "score"])
 
-    shape = "row_id long, score double"
-    of_pages = bodies.select("page_id", "body").mapInArrow(pages, shape).select(F.lit("page").alias("origin"), "row_id", "score")
-    of_records = reasons.mapInArrow(records, shape).select(F.lit("record").alias("origin"), "row_id", "score")
-    return of_pages.unionByName(of_records).where(F.col("score").isNotNull())
+    return reasons.mapInArrow(run, "row_id long, score double").select(F.lit("record").alias("origin"), "row_id", "score")
 
 
 def p3_found(pages: DataFrame, crawl_records: DataFrame) -> DataFrame:
-    return residue_scores(stored(main_bodies(pages)), crawl_records).where(F.col("score") > 0).select("origin", "row_id")
+    """``origin, row_id`` of pages and records that hold residue in place of content."""
+    scores = page_scores(stored(main_bodies(pages))).unionByName(reason_scores(crawl_records))
+    return scores.where(F.col("score") > 0).select("origin", "row_id")
