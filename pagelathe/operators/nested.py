@@ -10,7 +10,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +126,8 @@ def flatten_records(records: DataFrame, *, payload: bool = True) -> DataFrame:
     )
     slim = slim.where(F.col("data").isNotNull() | F.col("warnings").isNotNull())
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             tags, ids, paths, parents, payloads = [], [], [], [], []
 
             def add(tag, record, path, parent, value):
@@ -137,8 +137,8 @@ def flatten_records(records: DataFrame, *, payload: bool = True) -> DataFrame:
                 parents.append(parent)
                 payloads.append(own_part(value) if payload else None)
 
-            for record, data, warnings in zip(pdf["record_id"], pdf["data"], pdf["warnings"]):
-                if isinstance(data, str) and '"structured"' in data or isinstance(data, str) and "\\u" in data:
+            for record, data, warnings in zip(*(c.to_pylist() for c in batch.columns)):
+                if data is not None and ('"structured"' in data or "\\u" in data):  # else it has no such part
                     try:
                         top = parse_json(data)
                     except NotJson:
@@ -149,13 +149,14 @@ def flatten_records(records: DataFrame, *, payload: bool = True) -> DataFrame:
                             here = here.get(key) if isinstance(here, dict) else None
                         for path, parent, value in visit(here, "data." + ".".join(place), "$"):
                             add(tag, record, path, parent, value)
-                if isinstance(warnings, str):
+                if warnings is not None:
                     for i, value in enumerate(json.loads(warnings)):
                         if value is not None:
                             add("warnings", record, f"warnings[{i}]", "$", value)
-            yield pd.DataFrame({"tag": tags, "record_id": pd.Series(ids, dtype="int64"), "path": paths, "parent_path": parents, "payload": pd.Series(payloads, dtype=object)})
+            columns = [pa.array(tags, pa.string()), pa.array(ids, pa.int64()), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(payloads, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["tag", "record_id", "path", "parent_path", "payload"])
 
-    return slim.mapInPandas(emit, ROW)
+    return slim.mapInArrow(emit, ROW)
 
 
 #: Schemas put on the payloads of each tag when its table is read.

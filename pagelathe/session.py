@@ -41,7 +41,7 @@ def spread(df: DataFrame, bytes_a_task: int = 4 << 20) -> DataFrame:
     comes from the optimizer's size of the scan; nothing is read for it.
     """
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
-    if plan.toRdd().getNumPartitions() >= 2 * cores:
+    if plan.toRdd().getNumPartitions() >= cores:
         return df
     size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
     return df.repartition(int(max(cores * 2, min(200_000, size // bytes_a_task))))
