@@ -34,8 +34,9 @@ FIT_CLEAN, FIT_ABUSIVE = 3_000, 2_000
 NEGATIVES, LANDMARKS, ROUNDS = 6_000, 280, 4
 #: A document's worst sentence joins the positives from FLOOR on, unless OFTEN clean documents hold it; one of a clean document is dropped from SUSPECT on.
 FLOOR, OFTEN, SUSPECT = -0.15, 3, 0.6
-#: Without such a sentence, those join of whose words this share is new to clean documents.
-NOVEL = 0.4
+#: It must hold this share of words that clean documents hardly have (fewer than COMMON of them), since many a label is
+#: wrong; where no sentence scores so, those join of which NOVEL is new.
+NEW, NOVEL, COMMON = 0.2, 0.4, 0.004
 DECAY, BITS = 0.55, 20
 #: Subsequence lengths and the window each lies in.
 SHAPES = ((2, 3), (3, 5), (4, 6))
@@ -235,12 +236,14 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
         rest = pool[NEGATIVES // 2 :]
         pool = pool[: NEGATIVES // 2] + [rest[i] for i in draw.permutation(len(rest))[: NEGATIVES - NEGATIVES // 2]]
     common = Counter(w for rows in good for w in {w for r in rows for w in _pieces(r)})
+    usual = max(OFTEN, COMMON * len(good))
 
     def novelty(row: str) -> float:
+        """The share of a sentence's words that few clean documents have; 0 of code and of single words."""
         words = _pieces(row)
-        if len(words) < 4 or len(row) > LONG or any(len(w) > 16 or "0" in w for w in words):
+        if len(words) < 2 or any(len(w) > 16 or "0" in w and len(w) > 3 for w in words):
             return 0.0
-        return sum(common[w] < OFTEN for w in words) / len(words)
+        return sum(common[w] < usual for w in words) / len(words)
 
     positives = list(authored)
     model = None
@@ -264,8 +267,8 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
             for own in bad:
                 s = model.sentence_scores(own)
                 if step and s.max() <= FLOOR:  # no sentence is near what is known: those in words that clean documents lack
-                    found += [r for r in own if novelty(r) >= NOVEL]
-                found += [own[i] for i in np.flatnonzero((s > 0.3) | ((s == s.max()) & (s > FLOOR))) if seen[own[i]] < OFTEN]
+                    found += [r for r in own if len(r) <= LONG and novelty(r) >= NOVEL]
+                found += [own[i] for i in np.flatnonzero((s > 0.3) | ((s == s.max()) & (s > FLOOR))) if seen[own[i]] < OFTEN and novelty(own[i]) >= NEW]
             positives = sorted(set(found))
             # a rare sentence of documents labelled clean that looks abusive is taken for a wrong label
             s = model.sentence_scores(pool)
