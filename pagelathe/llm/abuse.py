@@ -31,16 +31,16 @@ from pagelathe.llm.mixing import source_name
 from pagelathe.session import spread
 
 FIT_CLEAN, FIT_ABUSIVE = 3_000, 2_000
-NEGATIVES, LANDMARKS, ROUNDS = 6_000, 280, 4
+NEGATIVES, LANDMARKS, ROUNDS = 8_000, 320, 4
 #: A document's worst sentence joins the positives from FLOOR on, unless OFTEN clean documents hold it; one of a clean document is dropped from SUSPECT on.
 FLOOR, OFTEN, SUSPECT = -0.15, 3, 0.6
-#: It must hold this share of words that clean documents hardly have (fewer than COMMON of them), since many a label is
-#: wrong; where no sentence scores so, those join of which NOVEL is new.
-NEW, NOVEL, COMMON = 0.2, 0.4, 0.004
+#: It must hold this share of words that documents labelled abusive have MORE_OFTEN times as often as clean ones, since
+#: many a label is wrong; where no sentence scores so, those join of whose words NOVEL are such.
+NEW, NOVEL, MORE_OFTEN = 0.2, 0.5, 4.0
 DECAY, BITS = 0.55, 20
 #: Subsequence lengths and the window each lies in.
 SHAPES = ((2, 3), (3, 5), (4, 6))
-PAD, LONG, WINDOW, STRIDE = 6, 110, 64, 16
+PAD, LONG, WINDOW, STRIDE = 6, 76, 64, 16
 
 _SPLIT = re.compile(r"[.!?。！？\n\r]+(?=\s|$|[^\x00-⿿])|\n+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ ]){2,}\w(?!\w)")
@@ -164,7 +164,7 @@ def kernel(rows: list[str], landmarks: list[str], chunk: int = 40) -> np.ndarray
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
     """Squared-hinge linear support vector machine with an intercept, by Newton steps on the support vectors."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -195,7 +195,7 @@ class AbuseModel:
         self.table, self.bias, self.threshold = table, bias, threshold
 
     def sentence_scores(self, rows: list[str]) -> np.ndarray:
-        """Decision values; of a long sentence that of its worst window, if worse."""
+        """Decision values; of a long sentence that of its worst window."""
         if not rows:
             return np.zeros(0)
         codes, starts, lengths = _coded(rows)
@@ -204,7 +204,7 @@ class AbuseModel:
         for i in np.flatnonzero(lengths > LONG):
             at = starts[i] + np.arange(0, lengths[i] - WINDOW + STRIDE, STRIDE)
             end = np.minimum(at + WINDOW, starts[i] + lengths[i])
-            out[i] = max(out[i], ((sums[end] - sums[at]) / np.sqrt(WINDOW + 8.0)).max())
+            out[i] = ((sums[end] - sums[at]) / np.sqrt(WINDOW + 8.0)).max()
         return out + self.bias
 
     def texts(self, texts: list[str | None]) -> list[float | None]:
@@ -218,6 +218,11 @@ class AbuseModel:
         return out
 
 
+def passages(rows: list[str]) -> list[str]:
+    """Sentences as they are learned from: long ones in windows."""
+    return [p for r in rows for p in ([r] if len(r) <= LONG else [r[i : i + WINDOW] for i in range(0, len(r) - WINDOW + 2 * STRIDE, 2 * STRIDE)])]
+
+
 def _pieces(row: str) -> list[str]:
     """Words; of text without spaces, pairs of characters."""
     return [x for w in row.split() for x in ([w[i : i + 2] for i in range(len(w) - 1)] if w[0] > "⿿" else [w])]
@@ -228,22 +233,22 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
     draw = np.random.default_rng(seed)
     authored = [x for s in sentences(ABUSIVE) for x in normal_sentences(s)]
     harmless = [x for s in sentences(CLEAN) for x in normal_sentences(s)]
-    bad = [rows for t, y in texts if y and (rows := normal_sentences(t))]
-    good = [rows for t, y in texts if not y and (rows := normal_sentences(t))]
+    bad = [rows for t, y in texts if y and (rows := passages(normal_sentences(t)))]
+    good = [rows for t, y in texts if not y and (rows := passages(normal_sentences(t)))]
     seen = Counter(s for rows in good for s in set(rows))
     pool = sorted(seen, key=lambda r: (-seen[r], r))
     if len(pool) > NEGATIVES:  # the commonest, and a draw of the rest
         rest = pool[NEGATIVES // 2 :]
         pool = pool[: NEGATIVES // 2] + [rest[i] for i in draw.permutation(len(rest))[: NEGATIVES - NEGATIVES // 2]]
-    common = Counter(w for rows in good for w in {w for r in rows for w in _pieces(r)})
-    usual = max(OFTEN, COMMON * len(good))
+    in_good, in_bad = (Counter(w for rows in docs for w in {w for r in rows for w in _pieces(r)}) for docs in (good, bad))
+    least = MORE_OFTEN * len(bad) / max(1, len(good))
 
     def novelty(row: str) -> float:
-        """The share of a sentence's words that few clean documents have; 0 of code and of single words."""
+        """The share of a sentence's words that abusive documents have much more often; 0 of code and of single words."""
         words = _pieces(row)
         if len(words) < 2 or any(len(w) > 16 or "0" in w and len(w) > 3 for w in words):
             return 0.0
-        return sum(common[w] < usual for w in words) / len(words)
+        return sum(in_bad[w] > least * in_good[w] for w in words) / len(words)
 
     positives = list(authored)
     model = None
@@ -252,7 +257,8 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
         y = np.array([1.0] * len(positives) + [-1.0] * (len(harmless) + len(pool)))
         half = min(LANDMARKS // 2, len(positives))
         marks = [positives[i] for i in draw.permutation(len(positives))[:half]] + harmless[: LANDMARKS // 12]
-        others = [r for r in pool if len(r) < 160]
+        marks += pool[: LANDMARKS // 4]  # the commonest clean ones
+        others = pool[LANDMARKS // 4 :]
         marks += [others[i] for i in draw.permutation(len(others))[: LANDMARKS - len(marks)]]
         k_mm = kernel(marks, marks)
         values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)

@@ -7,7 +7,7 @@ are left out.
 
 The weights come from labelled pages: pages whose own markup labels their blocks (inside main or
 article, or inside nav, aside, header, footer or a dialog), together with authored phrases.  At most
-``LABELLED_PAGES`` of them are fitted on.  The markup itself is no feature of the fit, so that what is
+``SAMPLE_PAGES`` pages are drawn for it.  The markup itself is no feature of the fit, so that what is
 learned holds for pages of plain divs as well.  How much of its site shows the same block, the sign of
 a frame, is counted over all pages.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.page_blocks import RECORD, Block, blocks_of, html_lang, pack, pack_body, unpack
+from pagelathe.llm.page_blocks import Block, blocks_of, html_lang, pack, pack_body, unpack
 from pagelathe.llm.phrases import AROUND, RESIDUE, phrases
 from pagelathe.session import spread, stored
 
-#: Bound of the labelled pages fitted on, taken in the order of a hash of their id.
-LABELLED_PAGES = 1_500
+#: Bound of the pages drawn for fitting, in the order of a hash of their id; those with labelling markup are fitted on.
+SAMPLE_PAGES = 2_500
 #: A block is part of a site's frame from this share and number of the site's pages on.
 FRAME_SHARE, FRAME_PAGES = 0.06, 3
 #: A heading amid the main body is dropped only below this score, other blocks below 0.
@@ -264,7 +264,7 @@ def _word_weights(pages: list[tuple[list[Block], list[float]]], labels: list[lis
 
 
 #: Traits to begin with, before labelled pages correct them.
-PRIOR = np.array([-0.5, 1.0, 0.8, -1.0, 0.5, -1.0, -3.0, -2.0, 0.5, -2.0, 0.5, 1.0, 1.5, -1.5, -2.0, 0.3, -0.5, -2.0, 1.5, -3.0, 1.5] + [0.0] * len(KINDS))
+PRIOR = np.array([-0.5, 1.0, 0.8, -1.0, 0.5, -1.0, -3.0, -2.0, 0.5, -2.0, 0.5, 1.0, 1.5, -1.5, -2.0, 0.3, -0.5, -2.0, 1.5, -3.0, 1.5] + [{"pre": 3.0, "blockquote": 1.0, "figcaption": 0.5}.get(k, 0.0) for k in KINDS])
 
 
 def fit_pages(pages: list[tuple[list[Block], list[float]]]) -> PageModel:
@@ -332,12 +332,13 @@ def with_frame_shares(parsed: DataFrame) -> DataFrame:
     """``parsed`` with ``shares``: for each block, the share of its site's pages that show it (0 below the bounds).
 
     Counts are pre-aggregated before the shuffle; a site keeps only the keys above ``FRAME_SHARE / 3``,
-    at most 3 / FRAME_SHARE times the blocks of a page, however many pages it has.
+    at most 3 / FRAME_SHARE times the blocks of a page, however many pages it has.  They are stored, so
+    that later passes only join them.
     """
     seen = parsed.where(F.size("keys") > 0)
     of_site = seen.groupBy("site_id").agg(F.count("*").alias("site_pages"))
     counted = seen.select("site_id", F.explode(F.array_distinct("keys")).alias("key")).groupBy("site_id", "key").agg(F.count("*").alias("n")).where(F.col("n") >= FRAME_PAGES)
-    frames = (
+    frames = stored(
         counted.join(of_site, "site_id")
         .withColumn("share", (F.col("n") / F.col("site_pages")).cast("float"))
         .where(F.col("share") >= FRAME_SHARE / 3)
@@ -348,35 +349,62 @@ def with_frame_shares(parsed: DataFrame) -> DataFrame:
     return parsed.join(frames, "site_id", "left").select("page_id", "site_id", "lang", "packed", shares.alias("shares"))
 
 
-def fit_on(shared: DataFrame, bound: int = LABELLED_PAGES) -> PageModel:
-    """The page model fitted on at most ``bound`` pages whose markup labels their blocks."""
-    labelled = shared.where(F.col("packed").rlike("\x1f[a-z]*[mr]\x1f")).orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
-    rows = labelled.select("packed", "shares").toPandas()  # bounded
-    return fit_pages([(unpack(p), [float(x) for x in s]) for p, s in zip(rows["packed"], rows["shares"])])
+def prepared(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[DataFrame, PageModel, list[list[Block]]]:
+    """(pages parsed with their frame shares, the page model, main bodies of the sample it was fitted on).
+
+    The sample is at most ``bound`` pages in the order of a hash of their id; those whose markup labels
+    their blocks fit the model.
+    """
+    shared = with_frame_shares(parsed_pages(pages))
+    sample = shared.where(F.length("packed") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
+    rows = sample.select("packed", "shares").toPandas()  # bounded
+    drawn = [(unpack(p), [float(x) for x in s]) for p, s in zip(rows["packed"], rows["shares"])]
+    model = fit_pages([(blocks, s) for blocks, s in drawn if any(markup_label(b.marks) for b in blocks)])
+    return shared, model, model.main_blocks(drawn)
+
+
+Page = tuple[int, str | None, list[Block]]
+
+
+def over_bodies(shared: DataFrame, model: PageModel, make: Callable[[], Callable[[list[Page]], pa.RecordBatch]], schema: str) -> DataFrame:
+    """One pass over all pages: ``make()``, once a task, gives what turns (page_id, lang, main blocks) of some pages into rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, turn = WordSums(model.weights), make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                ids, langs, packed, shares = (c.to_pylist() for c in whole.slice(at, 500).columns)
+                bodies = model.main_blocks(list(zip(map(unpack, packed), shares)), sums)
+                yield turn(list(zip(ids, langs, bodies)))
+
+    return shared.select("page_id", "lang", "packed", "shares").mapInArrow(run, schema)
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
-    """``page_id, site_id, lang, body``: the packed main blocks of every page.
+    """``page_id, lang, body``: the packed main blocks of every page.
 
     Null and empty pages and pages without blocks have an empty body; a page captured twice comes out
     under each of its ids; a null site has no frame; other columns are ignored.
     """
-    shared = with_frame_shares(parsed_pages(pages))
-    model = fit_on(shared)
+    shared, model, _ = prepared(pages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = WordSums(model.weights)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                pages = [(unpack(p), s) for p, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-                bodies = [pack_body(found) for found in model.main_blocks(pages, sums)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(bodies, pa.string())], ["page_id", "site_id", "lang", "body"])
+    def make():
+        return lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([pack_body(r[2]) for r in rows], pa.string())], ["page_id", "lang", "body"]
+        )
 
-    return shared.mapInArrow(run, "page_id long, site_id long, lang string, body string")
+    return over_bodies(shared, model, make, "page_id long, lang string, body string")
 
 
 def p2_found(pages: DataFrame) -> DataFrame:
     """``page_id, block_no`` of the blocks of each main body."""
-    numbers = F.transform(F.filter(F.split("body", RECORD), lambda r: r != ""), lambda r: F.substring_index(r, "\x1f", 1).cast("long"))
-    return main_bodies(pages).select("page_id", F.explode(numbers).alias("block_no"))
+    shared, model, _ = prepared(pages)
+
+    def make():
+        def turn(rows: list[Page]) -> pa.RecordBatch:
+            ids = [i for i, _, body in rows for _ in body]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b.no for _, _, body in rows for b in body], pa.int64())], ["page_id", "block_no"])
+
+        return turn
+
+    return over_bodies(shared, model, make, "page_id long, block_no long")

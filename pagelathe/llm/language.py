@@ -17,16 +17,15 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.boilerplate import main_bodies
-from pagelathe.llm.page_blocks import unpack_body
-from pagelathe.llm.residue import page_scores
+from pagelathe.llm.boilerplate import over_bodies, prepared
+from pagelathe.llm.residue import Scorer, fit_bodies, page_passages
 from pagelathe.llm.tongues import EVERYDAY, ISO_639_1, SPELLINGS, table
 from pagelathe.session import spread, stored
 
@@ -362,7 +361,13 @@ def verdicts(segments: list[str], code, found, confidence, chars, words) -> tupl
     main = int(total.argmax())
     own = prose & (confidence >= SURE) & (chars[np.arange(len(found)), found] >= OWN_PART * n) & (words >= OWN_WORDS)
     mixed = len(set(found[own].tolist())) > 1
-    return LANGUAGES[main], float(total[main] / total.sum()), [LANGUAGES[i] for i in found] if mixed else None
+    if not mixed:
+        return LANGUAGES[main], float(total[main] / total.sum()), None
+    parts, last = [], int(found[prose][0])
+    for i, own_language in enumerate(found.tolist()):
+        last = own_language if prose[i] else last  # code and lines without words go with the text before them
+        parts.append(LANGUAGES[last])
+    return LANGUAGES[main], float(total[main] / total.sum()), parts
 
 
 def _code_lines(text: str) -> list[bool]:
@@ -376,43 +381,69 @@ def _code_lines(text: str) -> list[bool]:
     return out
 
 
-def segment_languages(texts: DataFrame, model: LanguageModel, *, packed: bool = False) -> DataFrame:
+FOUND = "row_id long, lang string, confidence double, mixed boolean, segment_nos array<long>, segment_langs array<string>, segment_confidences array<double>"
+
+
+def _found(labeller: Labeller, ids: list, lists: list[list[str]], numbers: Callable[[int], list[int]], code: Callable[[int], list[bool]]) -> list[pa.Array]:
+    """The columns of ``FOUND`` for texts given as segments; numbers and code of a text are asked only where they matter."""
+    langs, sure, mixed, nos, seg_langs, seg_sure = [], [], [], [], [], []
+    for i, (segments, found) in enumerate(zip(lists, labeller.texts(lists))):
+        lang, c, parts = verdicts(segments, lambda i=i: code(i), *found)
+        langs.append(lang)
+        sure.append(c)
+        mixed.append(parts is not None)
+        seg_langs.append(parts or [])
+        seg_sure.append(found[1].tolist() if parts else [])
+        nos.append(numbers(i) if parts else [])
+    return [
+        pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(mixed, pa.bool_()),
+        pa.array(nos, pa.list_(pa.int64())), pa.array(seg_langs, pa.list_(pa.string())), pa.array(seg_sure, pa.list_(pa.float64())),
+    ]
+
+
+def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """``row_id, lang, confidence, mixed, segment_nos, segment_langs, segment_confidences`` for ``row_id, text``.
 
-    ``packed`` texts are the main blocks of pages, others are split at line feeds; numbers are 0-based, and
-    blank segments have none.  Null, empty and wordless texts come out with lang null; rows that repeat
-    are labelled each.
+    Texts are split at line feeds; numbers are 0-based, and blank lines have none.  Null, empty and
+    wordless texts come out with lang null; rows that repeat are labelled each.
     """
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = labeller_of(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                yield label(labeller, whole.slice(at, 2000))
+                ids, given = (c.to_pylist() for c in whole.slice(at, 2000).columns)
+                lists = [[line for line in (text or "").split("\n") if line.strip()] for text in given]
+                numbers = lambda i, given=given: [k for k, line in enumerate(given[i].split("\n")) if line.strip()]
+                yield pa.RecordBatch.from_arrays(_found(labeller, ids, lists, numbers, lambda i, given=given: _code_lines(given[i])), names)
+
+    return texts.mapInArrow(run, FOUND)
+
+
+def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
+    """The same for the main bodies of pages, with ``written``, the lang attribute; pages that hold residue are left out.
 
-    def label(labeller: Labeller, batch: pa.RecordBatch) -> pa.RecordBatch:
-        given = batch.column(1).to_pylist()
-        if packed:
-            blocks = [[b for b in unpack_body(body) if b.text.strip()] for body in given]
+    Segments are main blocks under their numbers.  One pass: body, residue and language of a page are found together.
+    """
+    shared, page_model, bodies = prepared(pages)
+    residue = fit_bodies(bodies)
+    schema = f"{FOUND}, written string"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def make():
+        labeller, scorer = labeller_of(model), Scorer(residue)
+
+        def turn(rows: list) -> pa.RecordBatch:
+            rows = [r for r in rows if max(map(scorer.text, page_passages(r[2])), default=0.0) <= 0]
+            blocks = [[b for b in body if b.text.strip()] for _, _, body in rows]
             lists = [[b.text for b in own] for own in blocks]
-        else:
-            lists = [[line for line in (text or "").split("\n") if line.strip()] for text in given]
-        langs, sure, mixed, nos, seg_langs, seg_sure = [], [], [], [], [], []
-        for i, (segments, found) in enumerate(zip(lists, labeller.texts(lists))):
-            lang, c, parts = verdicts(segments, lambda i=i: [b.tag == "pre" for b in blocks[i]] if packed else _code_lines(given[i]), *found)
-            langs.append(lang)
-            sure.append(c)
-            mixed.append(parts is not None)
-            seg_langs.append(parts or [])
-            seg_sure.append(found[1].tolist() if parts else [])
-            nos.append([] if not parts else [b.no for b in blocks[i]] if packed else [k for k, line in enumerate(given[i].split("\n")) if line.strip()])
-        columns = [
-            batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(mixed, pa.bool_()),
-            pa.array(nos, pa.list_(pa.int64())), pa.array(seg_langs, pa.list_(pa.string())), pa.array(seg_sure, pa.list_(pa.float64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["row_id", "lang", "confidence", "mixed", "segment_nos", "segment_langs", "segment_confidences"])
-
-    return texts.mapInArrow(run, "row_id long, lang string, confidence double, mixed boolean, segment_nos array<long>, segment_langs array<string>, segment_confidences array<double>")
+            columns = _found(labeller, [r[0] for r in rows], lists, lambda i: [b.no for b in blocks[i]], lambda i: [b.tag == "pre" for b in blocks[i]])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.string())], names)
+
+        return turn
+
+    return over_bodies(shared, page_model, make, schema)
 
 
 def fit_on(documents: DataFrame, bound: int = FIT_TEXTS) -> LanguageModel:
@@ -436,14 +467,11 @@ def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame)
     """``origin, row_id, segment_no, lang``: labels that are missing or untrue, and the segments of mixed texts."""
     model = fit_on(documents)
     texts = documents.select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("written"))
-    bodies = stored(main_bodies(pages))
-    residue = stored(page_scores(bodies).where(F.col("score") > 0).select(F.col("row_id").alias("page_id")))
-    kept = bodies.join(residue, "page_id", "left_anti")
     of_documents = stored(segment_languages(spread(texts.select("row_id", "text")), model).where(F.col("lang").isNotNull()))
-    of_pages = stored(segment_languages(kept.select(F.col("page_id").alias("row_id"), "body"), model, packed=True).where(F.col("lang").isNotNull()))
+    of_pages = stored(page_languages(pages, model).where(F.col("lang").isNotNull()))
 
-    def untrue(origin: str, found: DataFrame, written: DataFrame) -> DataFrame:
-        both = found.select("row_id", "lang").join(written, "row_id").join(labels(written, "written"), "written", "left")
+    def untrue(origin: str, found: DataFrame) -> DataFrame:
+        both = found.select("row_id", "lang", "written").join(labels(found, "written"), "written", "left")
         return both.where(F.col("code").isNull() | (F.col("code") != F.col("lang"))).select(F.lit(origin).alias("origin"), "row_id", F.lit(-1).cast("long").alias("segment_no"), "lang")
 
     def parts(origin: str, found: DataFrame) -> DataFrame:
@@ -452,11 +480,10 @@ def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame)
 
     reports = content_reports.select(F.col("report_id").cast("long").alias("report_id"), F.col("page_id").cast("long").alias("row_id"), F.col("language").alias("written"))
     of_reports = of_pages.select("row_id", "lang").join(reports, "row_id").select(F.col("report_id").alias("row_id"), "lang", "written")
-    written_reports = of_reports.select("row_id", "written")
     return (
-        untrue("document", of_documents, texts.select("row_id", "written"))
-        .unionByName(untrue("page", of_pages, bodies.select(F.col("page_id").alias("row_id"), F.col("lang").alias("written"))))
-        .unionByName(untrue("report", of_reports.select("row_id", "lang"), written_reports))
+        untrue("document", of_documents.select("row_id", "lang").join(texts.select("row_id", "written"), "row_id"))
+        .unionByName(untrue("page", of_pages))
+        .unionByName(untrue("report", of_reports))
         .unionByName(parts("document", of_documents))
         .unionByName(parts("page", of_pages))
     )

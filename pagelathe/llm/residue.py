@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.boilerplate import _WORD, _begins, main_bodies, tokens_of
-from pagelathe.llm.page_blocks import unpack_body
+from pagelathe.llm.boilerplate import _WORD, _begins, over_bodies, prepared, tokens_of
 from pagelathe.llm.phrases import FILLER, RESIDUE, phrases
-from pagelathe.session import stored
 
 FIT_PAGES, FIT_REASONS = 1_500, 10_000
 ROUNDS = 4
 PRIOR = 0.1
 #: Bounds of a word's weight against and for residue; for a trait, above.
 AGAINST, CLIP, TRAIT_CLIP = 4.0, 5.0, 9.0
+#: The first of them for reasons, which are a few words each.
+REASON_AGAINST = 3.0
 #: Words of trusted passages count this often at least, and together this part of all unlabelled words.
 TRUST, TRUST_PART = 3.0, 0.15
 #: The first share of passages of whose words this part is trusted.
@@ -137,7 +137,7 @@ class Scorer(dict):
         return self.model.bias + sum(get(t, unseen) for t in found) + sum(map(self.__getitem__, words))
 
 
-def fit(passages: Iterable[tuple[list[str], float]]) -> Residue:
+def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST) -> Residue:
     """The model of unlabelled passages with weights; none at all leaves the trusted ones alone."""
     unlabelled = [(Counter(p), w) for p, w in passages if p]
     everything = sum(n * w for p, w in unlabelled for n in p.values())
@@ -158,40 +158,49 @@ def fit(passages: Iterable[tuple[list[str], float]]) -> Residue:
                     positive[t] += n * w * share
                 if share < 0.99:
                     negative[t] += n * w * (1 - share)
-        model = _weigh(positive, negative)
+        model = _weigh(positive, negative, against)
         odds = [model.bias + sum(n * model.weights.get(t, model.unseen) for t, n in p.items()) for p, _ in unlabelled]
         shares = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in odds]
     return model
 
 
-def _weigh(positive: Counter, negative: Counter) -> Residue:
+def _weigh(positive: Counter, negative: Counter, against: float) -> Residue:
     known = positive.keys() | negative.keys()
     a, b = sum(positive.values()) + 0.2 * len(known), sum(negative.values()) + 0.2 * len(known)
-    weights = {t: max(-AGAINST, min(TRAIT_CLIP if t[0] == "§" else CLIP, math.log((positive[t] + 0.2) / a) - math.log((negative[t] + 0.2) / b))) for t in known}
+    weights = {t: max(-against, min(TRAIT_CLIP if t[0] == "§" else CLIP, math.log((positive[t] + 0.2) / a) - math.log((negative[t] + 0.2) / b))) for t in known}
     return Residue(weights, math.log(PRIOR / (1 - PRIOR)), -0.3)
 
 
-def page_passages(body: str | None) -> list[str]:
-    """Passages of a packed main body; code counts only where it is all there is."""
-    blocks = [b for b in unpack_body(body) if b.text]
+def page_passages(blocks: list) -> list[str]:
+    """Passages of a main body; code counts only where it is all there is."""
+    blocks = [b for b in blocks if b.text]
     return [b.text for b in blocks if b.tag != "pre"] or [b.text for b in blocks]
 
 
-def page_scores(bodies: DataFrame) -> DataFrame:
+def fit_bodies(bodies: list[list]) -> Residue:
+    """The model of the main bodies of at most ``FIT_PAGES`` pages."""
+    return fit((tokens(p), 1.0) for body in bodies[:FIT_PAGES] for p in page_passages(body))
+
+
+def page_scores(pages: DataFrame) -> DataFrame:
     """``origin, row_id, score``: the highest log odds among a page's passages.
 
     Pages without a main body have no passage and no row; rows that repeat are scored each.
     """
-    sample = bodies.where(F.length("body") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).select("body").toPandas()["body"]  # bounded
-    model = fit((tokens(p), 1.0) for body in sample for p in page_passages(body))
+    shared, page_model, bodies = prepared(pages)
+    model = fit_bodies(bodies)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         scorer = Scorer(model)
-        for batch in batches:
-            best = [max(map(scorer.text, page_passages(body)), default=None) for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.float64())], ["row_id", "score"])
 
-    return bodies.select("page_id", "body").mapInArrow(run, "row_id long, score double").where(F.col("score").isNotNull()).select(F.lit("page").alias("origin"), "row_id", "score")
+        def turn(rows: list) -> pa.RecordBatch:
+            best = [max(map(scorer.text, page_passages(body)), default=None) for _, _, body in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(best, pa.float64())], ["row_id", "score"])
+
+        return turn
+
+    scored = over_bodies(shared, page_model, make, "row_id long, score double")
+    return scored.where(F.col("score").isNotNull()).select(F.lit("page").alias("origin"), "row_id", "score")
 
 
 def reason_scores(crawl_records: DataFrame) -> DataFrame:
@@ -202,7 +211,7 @@ def reason_scores(crawl_records: DataFrame) -> DataFrame:
     reasons = crawl_records.select(F.col("record_id").cast("long").alias("row_id"), F.trim(F.col("outcome.reason")).alias("reason")).where(F.length("reason") > 0)
     kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason")).agg(F.count("*").alias("n"))
     kinds = kinds.orderBy(F.xxhash64("reason"), "reason").limit(FIT_REASONS).toPandas()  # bounded
-    model = fit((tokens(r), float(n)) for r, n in zip(kinds["reason"], kinds["n"]))
+    model = fit(((tokens(r), float(n)) for r, n in zip(kinds["reason"], kinds["n"])), REASON_AGAINST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -216,5 +225,5 @@ def reason_scores(crawl_records: DataFrame) -> DataFrame:
 
 def p3_found(pages: DataFrame, crawl_records: DataFrame) -> DataFrame:
     """``origin, row_id`` of pages and records that hold residue in place of content."""
-    scores = page_scores(stored(main_bodies(pages))).unionByName(reason_scores(crawl_records))
+    scores = page_scores(pages).unionByName(reason_scores(crawl_records))
     return scores.where(F.col("score") > 0).select("origin", "row_id")
