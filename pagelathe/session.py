@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +64,15 @@ def stored(df: DataFrame) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sampled(df: DataFrame, key: str, bound: int, total: int) -> DataFrame:
+    """At most ``bound`` rows of ``df``, those with the lowest hash of ``key``; ``total`` is how many rows there are about.
+
+    Rows far above the hash that ``bound`` rows lie below are filtered where they are read, so that what
+    partitions send does not grow with their number.
+    """
+    share = min(1.0, 1.6 * bound / max(1, total) + 20 / max(1, total))
+    rank = F.xxhash64(key)
+    kept = df if share >= 1.0 else df.where(rank <= int(-(2**63) + share * (2**64 - 1)))
+    return kept.orderBy(rank, key).limit(bound)
