@@ -292,11 +292,10 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
 def fit_on(documents: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, abusive: int = FIT_ABUSIVE) -> AbuseModel:
     """The model fitted on bounded samples of the labelled documents; of contradicting labels the majority holds."""
     votes = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("toxic").alias("vote")).where(F.col("vote") != 0.5)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    both = votes.join(texts, "doc_id")
     order = (F.xxhash64("doc_id"), "doc_id")
-    sample = both.where(F.col("vote") > 0.5).orderBy(*order).limit(abusive).unionByName(both.where(F.col("vote") < 0.5).orderBy(*order).limit(clean))
-    rows = sample.select("text", (F.col("vote") > 0.5).alias("y")).toPandas()  # bounded
+    drawn = votes.where(F.col("vote") > 0.5).orderBy(*order).limit(abusive).unionByName(votes.where(F.col("vote") < 0.5).orderBy(*order).limit(clean))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    rows = drawn.join(texts, "doc_id").orderBy(*order).select("text", (F.col("vote") > 0.5).alias("y")).toPandas()  # bounded
     return fit_abuse([(t, bool(y)) for t, y in zip(rows["text"], rows["y"])])
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm.page_blocks import Block, blocks_of, html_lang, pack, pack_body, unpack
 from pagelathe.llm.phrases import AROUND, RESIDUE, phrases
-from pagelathe.session import spread, stored
+from pagelathe.session import sampled, spread, stored
 
 #: Bound of the pages drawn for fitting, in the order of a hash of their id; those with labelling markup are fitted on.
 SAMPLE_PAGES = 2_500
@@ -89,6 +89,7 @@ class WordSums(dict):
     def __init__(self, weights: dict[str, float], most: int = 300_000):
         super().__init__()
         self.weights, self.most = weights, most
+        self.memo: dict[str, list[str]] = {}  # the words of the texts at hand, for whoever looks at them next
 
     def __missing__(self, word: str) -> complex:
         if len(self) > self.most:
@@ -99,7 +100,7 @@ class WordSums(dict):
 
     def text(self, text: str) -> tuple[float, float]:
         """(sum, mean) of the weights of a text's tokens, how it begins included."""
-        words = _WORD.findall(text.lower())
+        words = self.memo[text] = _WORD.findall(text.lower())
         t = sum(map(self.__getitem__, words), 0j)
         begins = _begins(words)
         if begins is not None:
@@ -119,6 +120,7 @@ def features(pages: list[tuple[list[Block], list[float]]], sums: WordSums) -> np
     rows = [(p, b.zone, b.items, b.linked, len(b.text) + 1, f, b.tag) for p, (blocks, shares) in enumerate(pages) for b, f in zip(blocks, shares)]
     k = len(rows)
     out = np.zeros((k, len(TRAITS) + len(KINDS)))
+    sums.memo.clear()
     if not k:
         return out
     page, zone, items, linked, n, f, tags = zip(*rows)
@@ -355,8 +357,9 @@ def prepared(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[DataFrame, Pa
     The sample is at most ``bound`` pages in the order of a hash of their id; those whose markup labels
     their blocks fit the model.
     """
-    shared = with_frame_shares(parsed_pages(pages))
-    sample = shared.where(F.length("packed") > 0).orderBy(F.xxhash64("page_id"), "page_id").limit(bound)
+    parsed = parsed_pages(pages)
+    shared = with_frame_shares(parsed)
+    sample = sampled(shared.where(F.length("packed") > 0), "page_id", bound, parsed.count())
     rows = sample.select("packed", "shares").toPandas()  # bounded
     drawn = [(unpack(p), [float(x) for x in s]) for p, s in zip(rows["packed"], rows["shares"])]
     model = fit_pages([(blocks, s) for blocks, s in drawn if any(markup_label(b.marks) for b in blocks)])
@@ -366,8 +369,11 @@ def prepared(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[DataFrame, Pa
 Page = tuple[int, str | None, list[Block]]
 
 
-def over_bodies(shared: DataFrame, model: PageModel, make: Callable[[], Callable[[list[Page]], pa.RecordBatch]], schema: str) -> DataFrame:
-    """One pass over all pages: ``make()``, once a task, gives what turns (page_id, lang, main blocks) of some pages into rows."""
+def over_bodies(shared: DataFrame, model: PageModel, make: Callable[[], Callable[[list[Page], dict[str, list[str]]], pa.RecordBatch]], schema: str) -> DataFrame:
+    """One pass over all pages: ``make()``, once a task, gives what turns (page_id, lang, main blocks) of some pages into rows.
+
+    It is also given the words of their texts, found already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, turn = WordSums(model.weights), make()
@@ -375,7 +381,7 @@ def over_bodies(shared: DataFrame, model: PageModel, make: Callable[[], Callable
             for at in range(0, whole.num_rows, 500):
                 ids, langs, packed, shares = (c.to_pylist() for c in whole.slice(at, 500).columns)
                 bodies = model.main_blocks(list(zip(map(unpack, packed), shares)), sums)
-                yield turn(list(zip(ids, langs, bodies)))
+                yield turn(list(zip(ids, langs, bodies)), sums.memo)
 
     return shared.select("page_id", "lang", "packed", "shares").mapInArrow(run, schema)
 
@@ -389,7 +395,7 @@ def main_bodies(pages: DataFrame) -> DataFrame:
     shared, model, _ = prepared(pages)
 
     def make():
-        return lambda rows: pa.RecordBatch.from_arrays(
+        return lambda rows, _: pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([pack_body(r[2]) for r in rows], pa.string())], ["page_id", "lang", "body"]
         )
 
@@ -401,7 +407,7 @@ def p2_found(pages: DataFrame) -> DataFrame:
     shared, model, _ = prepared(pages)
 
     def make():
-        def turn(rows: list[Page]) -> pa.RecordBatch:
+        def turn(rows: list[Page], _) -> pa.RecordBatch:
             ids = [i for i, _, body in rows for _ in body]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b.no for _, _, body in rows for b in body], pa.int64())], ["page_id", "block_no"])
 

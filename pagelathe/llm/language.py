@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.boilerplate import over_bodies, prepared
-from pagelathe.llm.residue import Scorer, fit_bodies, page_passages
+from pagelathe.llm.residue import Scorer, fit_bodies
 from pagelathe.llm.tongues import EVERYDAY, ISO_639_1, SPELLINGS, table
-from pagelathe.session import spread, stored
+from pagelathe.session import sampled, spread, stored
 
 FIT_TEXTS = 2_000
 LANGUAGES = [lang for lang, _ in table(EVERYDAY)]
@@ -434,8 +434,8 @@ def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
     def make():
         labeller, scorer = labeller_of(model), Scorer(residue)
 
-        def turn(rows: list) -> pa.RecordBatch:
-            rows = [r for r in rows if max(map(scorer.text, page_passages(r[2])), default=0.0) <= 0]
+        def turn(rows: list, known: dict) -> pa.RecordBatch:
+            rows = [r for r in rows if (scorer.worst(r[2], known) or 0.0) <= 0]
             blocks = [[b for b in body if b.text.strip()] for _, _, body in rows]
             lists = [[b.text for b in own] for own in blocks]
             columns = _found(labeller, [r[0] for r in rows], lists, lambda i: [b.no for b in blocks[i]], lambda i: [b.tag == "pre" for b in blocks[i]])
@@ -448,7 +448,7 @@ def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
 
 def fit_on(documents: DataFrame, bound: int = FIT_TEXTS) -> LanguageModel:
     """The model fitted on at most ``bound`` labelled documents, in the order of a hash of their id."""
-    labelled = documents.where(F.col("lang").isNotNull() & (F.length("text") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    labelled = sampled(documents.where(F.col("lang").isNotNull() & (F.length("text") > 0)), "doc_id", bound, documents.count())
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).toPandas()  # bounded
     return fit_languages(list(zip(rows["text"], rows["lang"])))
 

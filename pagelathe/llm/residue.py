@@ -123,11 +123,16 @@ class Scorer(dict):
         v = self[word] = sum(get(t, unseen) for t in (["§run"] if len(word) > 2 and _RUN.match(word) else tokens_of(word)))
         return v
 
-    def text(self, text: str) -> float:
-        """``model.score(tokens(text))``."""
+    def worst(self, blocks: list, known: dict[str, list[str]]) -> float | None:
+        """The highest log odds among the passages of a main body; None without one."""
+        return max((self.text(p, known.get(p)) for p in page_passages(blocks)), default=None)
+
+    def text(self, text: str, words: list[str] | None = None) -> float:
+        """``model.score(tokens(text))``; ``words`` are those of the text if they are known."""
         found, rest = _traits(text.strip())
         get, unseen = self.model.weights.get, self.model.unseen
-        words = _WORD.findall(rest.lower()) if rest is not None else []
+        if words is None or rest != text:
+            words = _WORD.findall(rest.lower()) if rest is not None else []
         if len(words) > 3 and len(set(words)) * 2 <= len(words) + 1:
             found.append("§repeated")
         if (begins := _begins(words)) is not None:
@@ -193,8 +198,8 @@ def page_scores(pages: DataFrame) -> DataFrame:
     def make():
         scorer = Scorer(model)
 
-        def turn(rows: list) -> pa.RecordBatch:
-            best = [max(map(scorer.text, page_passages(body)), default=None) for _, _, body in rows]
+        def turn(rows: list, known: dict) -> pa.RecordBatch:
+            best = [scorer.worst(body, known) for _, _, body in rows]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(best, pa.float64())], ["row_id", "score"])
 
         return turn
