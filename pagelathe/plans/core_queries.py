@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions import text as T
 from pagelathe.functions import urls
-from pagelathe.operators import content, crawls, entities, links, nested, network, page_tree, timestamps
+from pagelathe.operators import archive, content, crawls, design, entities, links, nested, network, page_tree, timestamps
 from pagelathe.plans.core_sql import SQL
 from pagelathe.session import table
 from pagelathe.sources import dom
@@ -218,6 +218,8 @@ def queries() -> dict:
         "vitals_ratings": vitals, "events_tumbling": events_hourly, "events_session": events_sessions, "availability_summary": report_availability,
         "stack_signatures": lambda s, d: network.technologies(p(s, d)), "third_party_hosts": lambda s, d: network.third_party_hosts(p(s, d)),
         "css_declarations": lambda s, d: network.css_declarations(p(s, d)), "css_tokens_topk": lambda s, d: network.top_tokens(network.css_declarations(p(s, d))),
+        "css_breakpoints": lambda s, d: design.breakpoints(p(s, d)), "css_fonts": lambda s, d: design.fonts(p(s, d)), "css_grids": lambda s, d: design.grids(p(s, d)), "css_colors": lambda s, d: design.colors(p(s, d)),
+        "archive_pages": lambda s, d: archive.archives(p(s, d)).select("page_id", "name", F.length("content").alias("bytes")), "flat_records": lambda s, d: nested.flatten_records(r(s, d)),
         "robots_verdicts": robots_verdicts, "frontier_rounds": frontier,
         "content_split": lambda s, d: content.split_content(dom.dom_nodes(p(s, d))), "regions": lambda s, d: page_tree.region_rows(p(s, d)), "distill_pages": lambda s, d: page_tree.distilled(p(s, d)),
         "layout_pages": lambda s, d: page_tree.layouts(p(s, d)), "find_pages": lambda s, d: page_tree.find_regions(p(s, d), "calendar"), "scrape_fields": lambda s, d: page_tree.scrape(p(s, d), SHAPE),

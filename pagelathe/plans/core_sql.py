@@ -13,6 +13,7 @@ norm AS (SELECT pg.page_id, CASE WHEN scheme IN ('http', 'https') THEN scheme ||
 || CASE WHEN coalesce(search, '') = '' THEN '' ELSE '?' || search END END AS normalized FROM pg LEFT JOIN kept USING (page_id))"""
 _BARE = r"regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis')"
 _ANCHORS = rf"""an AS (SELECT page_id, url AS page_url, unnest(a) AS href, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all({_BARE}, '<a\s[^>]*href="([^"]*)"', 1, 'i') AS a FROM pages WHERE html IS NOT NULL))"""
+_RESOLVED = "rs AS (SELECT an.page_id, pos, CASE WHEN href LIKE '/%' THEN scheme || '://' || host || href ELSE href END AS target, CASE WHEN href LIKE '/%' THEN true ELSE lower(regexp_extract(href, '^[a-z]+://[^/?#]*')) = scheme || '://' || host END AS internal FROM an JOIN pg ON an.page_id = pg.page_id)"
 _HEADS = rf"""hd AS (SELECT page_id, unnest(h) AS raw, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all({_BARE}, '<h[1-6]\b[^>]*>.*?</h[1-6]>', 0, 'is') AS h FROM pages WHERE html IS NOT NULL)),
 ol AS (SELECT page_id, CAST(pos AS INT) AS pos, CAST(substr(raw, 3, 1) AS INT) AS level, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM hd)"""
 
@@ -119,4 +120,15 @@ WHEN regexp_matches(text, '\b(back-?order(ed)?)\b', 'i') THEN 'backorder' WHEN r
     "robots_verdicts": f"""WITH {_PAGES}, t AS (SELECT page_id, (CASE WHEN path = '' THEN '/' ELSE path END) || CASE WHEN query = '' THEN '' ELSE '?' || query END AS target FROM pg), ru(allow, path, pattern) AS (VALUES {_RULEVALUES}),
 m AS (SELECT page_id, allow, ru.path AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(ru.path) DESC, allow DESC, ru.path DESC) AS rn FROM t JOIN ru ON regexp_matches(target, pattern))
 SELECT page_id, coalesce(allow, true) AS allowed, CASE WHEN rule IS NULL THEN 'no-rule-matched' WHEN allow THEN 'allow-rule' ELSE 'disallow-rule' END AS reason, rule FROM t LEFT JOIN (SELECT * FROM m WHERE rn = 1) USING (page_id)""",
+    "page_word_count": rf"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages)
+SELECT page_id, n_words, round(n_words / 200, 1) AS minutes FROM (SELECT page_id, CAST({_words('plain')} AS BIGINT) AS n_words FROM t)""",
+    "links_internal_external": f"WITH {_PAGES}, {_ANCHORS}, {_RESOLVED} SELECT page_id, CAST(pos AS INT) AS pos, target AS url, internal FROM rs",
+    "links_totals": f"WITH {_PAGES}, {_ANCHORS}, {_RESOLVED} SELECT page_id, count(*) AS n_links, CAST(sum(CAST(internal AS INT)) AS BIGINT) AS n_internal, CAST(sum(1 - CAST(internal AS INT)) AS BIGINT) AS n_external FROM rs GROUP BY page_id",
+    "links_by_host": f"WITH {_PAGES}, {_ANCHORS}, {_RESOLVED} SELECT lower(regexp_extract(target, '^[a-z]+://([^/?#]*)', 1)) AS host, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM rs WHERE NOT internal GROUP BY 1",
+    "frontier_rounds": f"WITH RECURSIVE {_NORM}, {_ANCHORS}, {_RESOLVED}, e AS (SELECT DISTINCT normalized AS src, target AS dst FROM rs JOIN norm USING (page_id) WHERE internal AND normalized IS NOT NULL), fr(url, depth) AS (SELECT DISTINCT normalized, 0 FROM norm WHERE normalized IS NOT NULL UNION SELECT dst, depth + 1 FROM fr JOIN e ON url = src WHERE depth < 3) SELECT url, min(depth) AS depth FROM fr GROUP BY url",
+    "url_redact": rf"""WITH c AS (SELECT record_id, {_PARTS} FROM crawl_records WHERE url IS NOT NULL), x AS (SELECT record_id, list_filter(string_split(query, '&'), lambda p: p <> '') AS ps, * FROM c)
+SELECT record_id, scheme || '://' || host || path || CASE WHEN len(ps) = 0 THEN '' ELSE '?' || array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(regexp_replace(lower(split_part(p, '=', 1)), '[^a-z0-9]', '', 'g'), 'token|secret|password|passwd|apikey|accesskey|privatekey|credential|session|auth|signature|jwt|^(key|sig|sid|pwd|pass|pin|code|otp|csrf|xsrf)$') THEN split_part(p, '=', 1) || '=[redacted]' ELSE p END), '&') END AS redacted FROM x""",
+    "css_grids": f"WITH {_CSS} SELECT property, value, n FROM cs WHERE property IN ('grid-template-columns', 'gap', 'column-gap', 'row-gap', 'grid-gap', 'max-width')",
+    "css_colors": rf"""WITH {_CSS}, k AS (SELECT CASE WHEN regexp_matches(value, '^#[0-9a-f]{{3}}$') THEN regexp_replace(value, '^#(.)(.)(.)$', '#\1\1\2\2\3\3') WHEN regexp_matches(value, '^#[0-9a-f]{{6}}$') THEN value END AS color, n FROM cs WHERE regexp_matches(property, 'color$|^background$'))
+SELECT color, CAST(sum(n) AS BIGINT) AS n FROM k WHERE color IS NOT NULL GROUP BY color""",
 }
