@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,11 @@ def parts_of(word: str) -> list[str]:
     return [word[:40]]
 
 
+@lru_cache(maxsize=10_000)
+def _code_of(written: str | None) -> str | None:
+    return label_of(written)
+
+
 def words_in(line: str) -> list[str]:
     return [p for w in _WORD.findall(line.lower()) for p in parts_of(w)]
 
@@ -105,7 +111,7 @@ class LanguageModel:
 
 
 class Labeller(dict):
-    """A worker's view of a model: text word -> row of its emissions; below zero, ~index of a list of rows."""
+    """A worker's view of a model: text word -> row of its emissions; -1 for what is no word, below that -2 - index of a list of rows."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
@@ -133,31 +139,38 @@ class Labeller(dict):
         return k
 
     def __missing__(self, word: str) -> int:
+        if not word[0].isalpha():
+            self[word] = -1
+            return -1
         parts = parts_of(word)
         if len(parts) == 1:
             v = self._row(parts[0])
         else:
             self.lists.append([self._row(p) for p in parts])
-            v = ~(len(self.lists) - 1)
+            v = -1 - len(self.lists)
         self[word] = v
         return v
 
-    def line(self, line: str) -> list[int]:
-        """Rows of the words of a line."""
-        found = list(map(self.__getitem__, _WORD.findall(line.lower())))
-        if found and min(found) < 0:
-            found = [k for f in found for k in ((f,) if f >= 0 else self.lists[~f])]
+    def line(self, line: str, words: list[str] | None = None) -> list[int]:
+        """Rows of the words of a line; ``words`` are those in it, with its numbers and marks, if they are known."""
+        found = list(map(self.__getitem__, _WORD.findall(line.lower()) if words is None else words))
+        least = min(found, default=0)
+        if least == -1:
+            return [k for k in found if k >= 0]
+        if least < -1:
+            return [k for f in found if f != -1 for k in ((f,) if f >= 0 else self.lists[-2 - f])]
         return found
 
-    def texts(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def texts(self, texts: list[list[str]], known: dict[str, list[str]] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each text, given as its segments: (language index, confidence, expected characters by language, words) a segment."""
+        known = known or {}
         if len(self) > CACHE:
             self.forget()
         flat, sizes = [], []
         ids: list[int] = []
         for segments in texts:
             for line in segments:
-                found = self.line(line)
+                found = self.line(line, known.get(line))
                 ids += found
                 sizes.append(len(found))
             flat.append(len(segments))
@@ -381,13 +394,13 @@ def _code_lines(text: str) -> list[bool]:
     return out
 
 
-FOUND = "row_id long, lang string, confidence double, mixed boolean, segment_nos array<long>, segment_langs array<string>, segment_confidences array<double>"
+FOUND = "row_id long, code string, lang string, confidence double, mixed boolean, segment_nos array<long>, segment_langs array<string>, segment_confidences array<double>"
 
 
-def _found(labeller: Labeller, ids: list, lists: list[list[str]], numbers: Callable[[int], list[int]], code: Callable[[int], list[bool]]) -> list[pa.Array]:
-    """The columns of ``FOUND`` for texts given as segments; numbers and code of a text are asked only where they matter."""
+def _found(labeller: Labeller, ids: list, written: list, lists: list[list[str]], numbers: Callable[[int], list[int]], code: Callable[[int], list[bool]], known: dict[str, list[str]]) -> list[pa.Array]:
+    """The columns of ``FOUND`` for texts given as segments with their labels as written; numbers and code of a text are asked only where they matter."""
     langs, sure, mixed, nos, seg_langs, seg_sure = [], [], [], [], [], []
-    for i, (segments, found) in enumerate(zip(lists, labeller.texts(lists))):
+    for i, (segments, found) in enumerate(zip(lists, labeller.texts(lists, known))):
         lang, c, parts = verdicts(segments, lambda i=i: code(i), *found)
         langs.append(lang)
         sure.append(c)
@@ -396,15 +409,15 @@ def _found(labeller: Labeller, ids: list, lists: list[list[str]], numbers: Calla
         seg_sure.append(found[1].tolist() if parts else [])
         nos.append(numbers(i) if parts else [])
     return [
-        pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(mixed, pa.bool_()),
+        pa.array(ids, pa.int64()), pa.array(map(_code_of, written), pa.string()), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(mixed, pa.bool_()),
         pa.array(nos, pa.list_(pa.int64())), pa.array(seg_langs, pa.list_(pa.string())), pa.array(seg_sure, pa.list_(pa.float64())),
     ]
 
 
 def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
-    """``row_id, lang, confidence, mixed, segment_nos, segment_langs, segment_confidences`` for ``row_id, text``.
+    """``row_id, code, lang, confidence, mixed, segment_nos, segment_langs, segment_confidences`` for ``row_id, text, written``.
 
-    Texts are split at line feeds; numbers are 0-based, and blank lines have none.  Null, empty and
+    ``code`` is what the label as written names, ``lang`` what the text is in.  Texts are split at line feeds; numbers are 0-based, and blank lines have none.  Null, empty and
     wordless texts come out with lang null; rows that repeat are labelled each.
     """
     names = [f.split()[0] for f in FOUND.split(", ")]
@@ -413,23 +426,22 @@ def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
         labeller = labeller_of(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                ids, given = (c.to_pylist() for c in whole.slice(at, 2000).columns)
+                ids, given, written = (c.to_pylist() for c in whole.slice(at, 2000).columns)
                 lists = [[line for line in (text or "").split("\n") if line.strip()] for text in given]
                 numbers = lambda i, given=given: [k for k, line in enumerate(given[i].split("\n")) if line.strip()]
-                yield pa.RecordBatch.from_arrays(_found(labeller, ids, lists, numbers, lambda i, given=given: _code_lines(given[i])), names)
+                yield pa.RecordBatch.from_arrays(_found(labeller, ids, written, lists, numbers, lambda i, given=given: _code_lines(given[i]), {}), names)
 
-    return texts.mapInArrow(run, FOUND)
+    return texts.select("row_id", "text", "written").mapInArrow(run, FOUND)
 
 
 def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
-    """The same for the main bodies of pages, with ``written``, the lang attribute; pages that hold residue are left out.
+    """The same for the main bodies of pages and their lang attribute; pages that hold residue are left out.
 
     Segments are main blocks under their numbers.  One pass: body, residue and language of a page are found together.
     """
     shared, page_model, bodies = prepared(pages)
     residue = fit_bodies(bodies)
-    schema = f"{FOUND}, written string"
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
     def make():
         labeller, scorer = labeller_of(model), Scorer(residue)
@@ -438,12 +450,12 @@ def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
             rows = [r for r in rows if (scorer.worst(r[2], known) or 0.0) <= 0]
             blocks = [[b for b in body if b.text.strip()] for _, _, body in rows]
             lists = [[b.text for b in own] for own in blocks]
-            columns = _found(labeller, [r[0] for r in rows], lists, lambda i: [b.no for b in blocks[i]], lambda i: [b.tag == "pre" for b in blocks[i]])
-            return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.string())], names)
+            columns = _found(labeller, [r[0] for r in rows], [r[1] for r in rows], lists, lambda i: [b.no for b in blocks[i]], lambda i: [b.tag == "pre" for b in blocks[i]], known)
+            return pa.RecordBatch.from_arrays(columns, names)
 
         return turn
 
-    return over_bodies(shared, page_model, make, schema)
+    return over_bodies(shared, page_model, make, FOUND)
 
 
 def fit_on(documents: DataFrame, bound: int = FIT_TEXTS) -> LanguageModel:
@@ -453,37 +465,31 @@ def fit_on(documents: DataFrame, bound: int = FIT_TEXTS) -> LanguageModel:
     return fit_languages(list(zip(rows["text"], rows["lang"])))
 
 
-def labels(df: DataFrame, column: str) -> DataFrame:
-    """Each different spelling in ``column`` with its code: a Python call a spelling, not a row."""
+def coded(df: DataFrame) -> DataFrame:
+    """``df`` of ``row_id, lang, written`` with ``code``, what the label as written names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([label_of(w) for w in batch.column(0).to_pylist()], pa.string())], ["written", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_code_of, batch.column(2).to_pylist()), pa.string())], ["row_id", "lang", "code"])
 
-    return df.select(F.col(column).alias("written")).where(F.col("written").isNotNull()).distinct().mapInArrow(run, "written string, code string")
+    return df.select("row_id", "lang", "written").mapInArrow(run, "row_id long, lang string, code string")
 
 
 def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame) -> DataFrame:
     """``origin, row_id, segment_no, lang``: labels that are missing or untrue, and the segments of mixed texts."""
     model = fit_on(documents)
     texts = documents.select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("written"))
-    of_documents = stored(segment_languages(spread(texts.select("row_id", "text")), model).where(F.col("lang").isNotNull()))
     of_pages = stored(page_languages(pages, model).where(F.col("lang").isNotNull()))
-
-    def untrue(origin: str, found: DataFrame) -> DataFrame:
-        both = found.select("row_id", "lang", "written").join(labels(found, "written"), "written", "left")
-        return both.where(F.col("code").isNull() | (F.col("code") != F.col("lang"))).select(F.lit(origin).alias("origin"), "row_id", F.lit(-1).cast("long").alias("segment_no"), "lang")
-
-    def parts(origin: str, found: DataFrame) -> DataFrame:
-        pairs = F.explode(F.arrays_zip(F.col("segment_nos").alias("no"), F.col("segment_langs").alias("seg")))
-        return found.where("mixed").select("row_id", pairs.alias("s")).select(F.lit(origin).alias("origin"), "row_id", F.col("s.no").alias("segment_no"), F.col("s.seg").alias("lang"))
-
-    reports = content_reports.select(F.col("report_id").cast("long").alias("report_id"), F.col("page_id").cast("long").alias("row_id"), F.col("language").alias("written"))
-    of_reports = of_pages.select("row_id", "lang").join(reports, "row_id").select(F.col("report_id").alias("row_id"), "lang", "written")
-    return (
-        untrue("document", of_documents.select("row_id", "lang").join(texts.select("row_id", "written"), "row_id"))
-        .unionByName(untrue("page", of_pages))
-        .unionByName(untrue("report", of_reports))
-        .unionByName(parts("document", of_documents))
-        .unionByName(parts("page", of_pages))
-    )
+    reports = content_reports.select(F.col("report_id").cast("long").alias("report_id"), F.col("page_id").cast("long").alias("row_id"), F.col("language").cast("string").alias("written"))
+    of_reports = coded(of_pages.select("row_id", "lang").join(reports, "row_id").select(F.col("report_id").alias("row_id"), "lang", "written"))
+    untrue = F.col("code").isNull() | (F.col("code") != F.col("lang"))
+
+    def rows(origin: str, found: DataFrame) -> DataFrame:
+        """The row of an untrue label and those of segments, in one pass over what was found."""
+        segments = F.transform("segment_nos", lambda no, i: F.struct(no.alias("segment_no"), F.col("segment_langs")[i].alias("lang")))
+        label = F.when(untrue, F.array(F.struct(F.lit(-1).cast("long").alias("segment_no"), F.col("lang").alias("lang")))).otherwise(F.array().cast("array<struct<segment_no:bigint,lang:string>>"))
+        return found.where(F.col("lang").isNotNull() & (untrue | F.col("mixed"))).select(F.lit(origin).alias("origin"), "row_id", F.inline(F.concat(label, segments)))
+
+    of_documents = segment_languages(spread(texts), model)
+    report_rows = of_reports.where(untrue).select(F.lit("report").alias("origin"), "row_id", F.lit(-1).cast("long").alias("segment_no"), "lang")
+    return rows("document", of_documents).unionByName(rows("page", of_pages)).unionByName(report_rows)

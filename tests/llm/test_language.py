@@ -64,7 +64,7 @@ def test_padding_changes_nothing(model):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "row_id long, text string")
+    return spark.createDataFrame([(*r, "de-AT") for r in rows], "row_id long, text string, written string")
 
 
 def test_segments(spark, model):
@@ -77,6 +77,7 @@ def test_segments(spark, model):
     by = {r.row_id: r for r in got}
     assert [by[i].lang for i in range(1, 10)] == ["de", "en", "nl", "en", None, None, None, "ja", "ru"] and len(got) == 10
     assert [by[i].mixed for i in range(1, 10)] == [False, True] + [False] * 7
+    assert {r.code for r in got} == {"de"}
     assert by[2].segment_nos == [0, 2, 3] and by[2].segment_langs == ["en", "fr", "fr"]
 
 
