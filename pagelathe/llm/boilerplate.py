@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.page_blocks import Block, blocks_of, html_lang, pack, pack_body, unpack
-from pagelathe.llm.phrases import AROUND, RESIDUE, phrases
+from pagelathe.llm.phrases import AROUND, RESIDUE, UNFILLED, phrases
 from pagelathe.session import sampled, spread, stored
 
 #: Bound of the pages drawn for fitting, in the order of a hash of their id; those with labelling markup are fitted on.
@@ -37,12 +37,14 @@ FRAME_SHARE, FRAME_PAGES = 0.06, 3
 HEADING_FLOOR = -1.5
 MENU_SHARE = 0.45
 TAG_COST = 0.25
+#: No single block costs a run more, so that an insert below the heading does not cut the heading off.
+INSERT_COST = -4.5
 SEED_TIMES = 12
 # What landmarks add to a score, since sites misuse them at times.
 MARK_SCORES = {"n": -3.0, "f": -3.0, "h": -1.0, "d": -3.0, "a": -1.0, "m": 0.7, "r": 0.7, "": 0.0}
 KINDS = ("li", "p", "h1", "h2", "pre", "blockquote", "figcaption")
 
-_WORD = re.compile(r"[^\W\d_]+|[©·»›{}<>%$=]|\d+")
+_WORD = re.compile(r"[^\W\d_]+|[©·»›]|\d+")
 _EAST = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _DIGITS = re.compile(r"\d+")
 
@@ -184,6 +186,8 @@ def _authored() -> dict[str, float]:
 
 
 AUTHORED = _authored()
+#: How authored inserts of three words and more begin.
+LEADS = frozenset(ws[-1] for _, p in phrases(AROUND) if len(ws := words_of(p)) > 3 and AUTHORED.get(ws[-1], 0.0) > 0)
 
 
 def page_labels(blocks: list[Block], shares) -> list[int | None]:
@@ -203,8 +207,7 @@ def page_labels(blocks: list[Block], shares) -> list[int | None]:
             elif b.tag == "p" and len(b.text) < 110:
                 words = words_of(b.text)
                 known = [AUTHORED[w] for w in words if w in AUTHORED]
-                begins = AUTHORED.get(words[-1], 0.0) if words and words[-1][0] == "^" else 0.0
-                if begins > 0 or sum(known) > (0.3 if f >= FRAME_SHARE / 3 else 4.0) and 2 * len(known) >= len(words):
+                if words and words[-1] in LEADS or sum(known) > (0.3 if f >= FRAME_SHARE / 3 else 4.0) and 2 * len(known) >= len(words):
                     y = 0
         out.append(y)
     return out
@@ -234,7 +237,7 @@ def _best_run(blocks: list[Block], shares, scores: list[float]) -> list[Block]:
     best, first, last = -math.inf, 0, -1
     total, start = 0.0, 0
     for i, (b, s) in enumerate(zip(blocks, scores)):
-        step = -TAG_COST * min(b.gap, 6)
+        s, step = max(s, INSERT_COST), -TAG_COST * min(b.gap, 6)
         if total + step <= 0:
             total, start = s, i
         else:
@@ -256,13 +259,14 @@ def _word_weights(pages: list[tuple[list[Block], list[float]]], labels: list[lis
     for _, p in phrases(AROUND):
         for w in words_of(p):
             outside[w] += SEED_TIMES
-    for _, p in phrases(RESIDUE):
-        for w in words_of(p):
-            inside[w] += SEED_TIMES // 4
+    for table, times in ((RESIDUE, SEED_TIMES // 4), (UNFILLED, 4 * SEED_TIMES)):
+        for _, p in phrases(table):
+            for w in words_of(p):
+                inside[w] += times
     a, b = sum(inside.values()) + 1.0, sum(outside.values()) + 1.0
     known = inside.keys() | outside.keys()
     weights = {w: math.log((inside[w] + 0.5) / a) - math.log((outside[w] + 0.5) / b) for w in known if inside[w] + outside[w] > 1}
-    return {w: max(-8.0 if w[0] == "^" else -3.0, min(3.0, v)) for w, v in weights.items()}
+    return {w: max(-14.0 if w[0] == "^" else -3.0, min(3.0, v)) for w, v in weights.items()} | dict.fromkeys(LEADS, -14.0)  # decisive
 
 
 #: Traits to begin with, before labelled pages correct them.

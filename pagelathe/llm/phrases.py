@@ -104,6 +104,11 @@ def phrases(table: dict[str, str]) -> list[tuple[str, str]]:
     """(language, phrase) of a table."""
     return [(lang, p.strip()) for lang, text in table.items() for p in text.replace("\n", "|").split("|") if p.strip()]
 
+# How sentences with unfilled variables read once the variables are taken out.
+UNFILLED = {
+    "en": "read more about name in city|welcome to city|opening hours of company|posted by author on date|dear name, thank you for your visit|hello first name! your order title is on its way to city|from price per night|company headline|section intro summary|product price count|user first name event date|include title author|php echo name|page headline title|because reason"
+}
+
 # Words of the usual Latin filler text, and keyboard fillers.
 FILLER = """
 lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua

@@ -52,11 +52,11 @@ def test_best_run_against_all_runs():
     for _ in range(200):
         n = random.randrange(1, 9)
         blocks = [Block(i, "p", 0, 0, "", random.randrange(4) if i else 0, 0, "x") for i in range(n)]
-        scores = [random.uniform(-3, 3) for _ in range(n)]
+        scores = [random.uniform(-6, 4) for _ in range(n)]
         got = boilerplate._best_run(blocks, [0.0] * n, scores)
         if max(scores) <= 0:
             continue
-        total = lambda a, b: sum(scores[a : b + 1]) - sum(boilerplate.TAG_COST * blocks[i].gap for i in range(a + 1, b + 1))  # noqa: B023, E731
+        total = lambda a, b: sum(max(s, boilerplate.INSERT_COST) for s in scores[a : b + 1]) - sum(boilerplate.TAG_COST * blocks[i].gap for i in range(a + 1, b + 1))  # noqa: B023, E731
         a, b = max(((a, b) for a in range(n) for b in range(a, n)), key=lambda ab: total(*ab))
         assert [x.no for x in got] == [i for i in range(a, b + 1) if scores[i] > 0]
 
