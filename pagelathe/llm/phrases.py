@@ -99,6 +99,12 @@ sample page, this is where your story begins|placeholder copy, replace before la
     "zh": "页面不存在。|您访问的页面不存在。|服务器出错，请稍后再试。|拒绝访问。|网站维护中，请稍后访问。|请启用 JavaScript 后继续。|此处为示例文字。",
 }
 
+# Sentences that write about residue.
+ABOUT = {
+    "en": """a template writes {{ name }} where the value will be set|templates hold variables like {{ title }} that are filled later|the variable ${HOME} names a directory in the shell|the value undefined means that nobody set a field|designers use lorem ipsum as filler in a draft
+the message page not found should say what to do next|a missing page answers with status 404 and a short text|readers who block scripts cannot use a page that needs javascript|our log keeps the cause of an internal server error|we wrote the notice for the maintenance in plain words|if you see access denied, ask the owner|a todo left in a page is the sign of a hurried launch""",
+}
+
 
 def phrases(table: dict[str, str]) -> list[tuple[str, str]]:
     """(language, phrase) of a table."""

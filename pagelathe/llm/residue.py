@@ -3,7 +3,7 @@
 Naive Bayes from positive and unlabelled passages, by expectation-maximization.  Trusted positives are
 authored messages and placeholders (``phrases``); all else is unlabelled.  The E step gives every
 unlabelled passage its share of each class, the M step counts words with those shares; the trusted
-ones stay positive.  A passage is a block of a page's main body, or a crawl outcome's reason; a page is
+ones stay positive, and authored sentences about residue negative.  A passage is a block of a page's main body, or a crawl outcome's reason; a page is
 residue if one of its passages is, in full; text amid which residue is merely mentioned is not.
 
 The fit is on at most ``FIT_PAGES`` pages and ``FIT_REASONS`` different reasons, in the order of a hash;
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.boilerplate import _WORD, _begins, over_bodies, prepared, tokens_of
-from pagelathe.llm.phrases import FILLER, RESIDUE, phrases
+from pagelathe.llm.phrases import ABOUT, FILLER, RESIDUE, phrases
 
 FIT_PAGES, FIT_REASONS = 1_500, 10_000
 ROUNDS = 4
@@ -142,13 +142,17 @@ class Scorer(dict):
         return self.model.bias + sum(get(t, unseen) for t in found) + sum(map(self.__getitem__, words))
 
 
-def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST) -> Residue:
-    """The model of unlabelled passages with weights; none at all leaves the trusted ones alone."""
+def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, harmless: Iterable[str] = ()) -> Residue:
+    """The model of unlabelled passages with weights; none at all leaves the trusted ones alone.
+
+    ``harmless`` passages are held negative, as trusted ones are held positive.
+    """
     unlabelled = [(Counter(p), w) for p, w in passages if p]
     everything = sum(n * w for p, w in unlabelled for n in p.values())
     sure = Counter(t for p in trusted() for t in p)
     times = max(TRUST, TRUST_PART * everything / sum(sure.values()))
     sure = Counter({t: n * times for t, n in sure.items()})
+    about = Counter({t: n * TRUST for t, n in Counter(t for p in harmless for t in tokens(p)).items()})
     # to begin with, passages made of trusted words are taken for residue
     def made_of(p: Counter) -> float:
         parts = [(n * (TRAIT_WORDS if t[0] == "§" else 1), t in sure) for t, n in p.items() if t[0] != "^"]
@@ -156,7 +160,7 @@ def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST) -
 
     shares = [FIRST if made_of(p) >= MADE_OF else 0.02 for p, _ in unlabelled]
     for _ in range(ROUNDS + 1):
-        positive, negative = Counter(sure), Counter()
+        positive, negative = Counter(sure), Counter(about)
         for (p, w), share in zip(unlabelled, shares):
             for t, n in p.items():
                 if share > 0.01:
@@ -184,7 +188,7 @@ def page_passages(blocks: list) -> list[str]:
 
 def fit_bodies(bodies: list[list]) -> Residue:
     """The model of the main bodies of at most ``FIT_PAGES`` pages."""
-    return fit((tokens(p), 1.0) for body in bodies[:FIT_PAGES] for p in page_passages(body))
+    return fit(((tokens(p), 1.0) for body in bodies[:FIT_PAGES] for p in page_passages(body)), harmless=[p for _, p in phrases(ABOUT)])
 
 
 def page_scores(pages: DataFrame) -> DataFrame:
