@@ -16,7 +16,7 @@ def retry_after_s(value: Column, now: Column) -> Column:
     """Seconds a Retry-After asks for: a whole number, or until a date (0 if past); null for anything else."""
     t = F.trim(value)
     date = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(t, _DATE, 0), r"^(\d) ", "0$1 "), F.lit("dd MMM yyyy HH:mm:ss"))
-    until = F.greatest(F.unix_micros(date) / 1e6 - F.unix_micros(now) / 1e6, F.lit(0.0))
+    until = F.when(date.isNotNull(), F.greatest(F.unix_micros(date) / 1e6 - F.unix_micros(now) / 1e6, F.lit(0.0)))
     return F.when(t.rlike(r"^\d+$"), t.try_cast("double")).when(t.rlike(r"^[+-]?[\d.]+$"), F.lit(None).cast("double")).otherwise(until)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import text as T
+from pagelathe.session import spread
 
 MAIN_ROLES, FRAME_ROLES = ("main", "article"), ("navigation", "banner", "contentinfo", "complementary", "search")
 
@@ -52,13 +53,18 @@ def stopword_language(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     script = F.lit(None).cast("string")
     for lang, pattern in reversed(T.SCRIPTS):
         script = F.when(F.regexp_count(t, F.lit(pattern)) >= T.SCRIPT_HITS, lang).otherwise(script)
-    words = F.regexp_extract_all(F.lower(t), F.lit(T.WORD), F.lit(0))
+    script = F.when(t.rlike("[\u0370-\ud7af]"), script)  # most texts have no such letter and are scanned once
+    known = sorted({w for listed in T.STOPWORDS.values() for w in listed.split()})
+    words = F.filter(F.regexp_extract_all(F.lower(t), F.lit(T.WORD), F.lit(0)), lambda w: w.isin(*known))
 
-    def hits(listed: str):
-        return F.size(F.filter(words, lambda w: w.isin(*listed.split())))
+    def votes(found):
+        def hits(listed: str):
+            return F.size(F.filter(found, lambda w: w.isin(*listed.split())))
 
-    votes = F.array(*[F.struct(hits(s).alias("n"), F.lit(lang).alias("lang")) for lang, s in T.STOPWORDS.items()])
-    found = documents.select(key, script.alias("script"), F.sort_array(votes, asc=False).alias("v"))
+        return F.sort_array(F.array(*[F.struct(hits(s).alias("n"), F.lit(lang).alias("lang")) for lang, s in T.STOPWORDS.items()]), asc=False)
+
+    # bound by a lambda, so that the words of a text are found once and not once a language
+    found = spread(documents.select(key, "text")).select(key, script.alias("script"), F.transform(F.array(words), votes)[0].alias("v"))
     best, second = F.col("v")[0], F.col("v")[1]
     vote = F.when((best["n"] >= T.WORD_HITS) & (best["n"] > second["n"]), best["lang"])
     return found.select(key, F.coalesce("script", vote).alias("lang")).where(F.col("lang").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import urls
-from pagelathe.session import cut
+from pagelathe.session import cut, stored
 
 # Fixed values of pacing: milliseconds, and what stops a crawl.
 BASE_MS, MOST_MS, INTERVAL_MS = 1_000, 60_000, 1_000
@@ -134,9 +134,10 @@ def robots_verdicts(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame
 def frontier_rounds(seeds: DataFrame, edges: DataFrame, most_rounds: int = 3) -> DataFrame:
     """``url, depth``: breadth-first rounds over links (``src, dst``) from ``seeds`` (``url``).
 
-    Each round is one join and one anti-join against what is seen, distinct before the shuffle; lineage is cut
+    The links are stored once.  Each round is one join and one anti-join against what is seen, distinct before the shuffle; lineage is cut
     in the shared folder a round.  Cycles end, since a seen page never returns.
     """
+    edges = stored(edges.select("src", "dst"))
     seen = cut(seeds.select("url").where(F.col("url").isNotNull()).distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in range(1, most_rounds + 1):

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelathe.session import spread
+
 # Fixed values of HTML: elements without content, raw text elements, and tags that end an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -171,4 +173,5 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
             names = [f.split()[0] for f in SCHEMA.replace("map<string,string>", "m").split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    return spread(slim).mapInArrow(run, SCHEMA)
