@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.session import public_path
+from pagelathe.session import public_path, spread
 
 # Fixed value: the pattern that comes with the public rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -109,7 +109,7 @@ def encode_corpus(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tikto
     """``doc_id, ids`` (or ``doc_id, n_tokens``) of every document by a public rank file, without special tokens.
 
     Null and empty texts get an empty list (0 tokens); blank, very long and odd texts are encoded in
-    full; rows that repeat stay; other columns are ignored.  No shuffle: a map over the scan.
+    full; rows that repeat stay; other columns are ignored.  A map over the scan; no shuffle where its files are many.
     """
     path = public_path(vocabulary)
 
@@ -127,7 +127,7 @@ def encode_corpus(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tikto
                 yield pa.RecordBatch.from_arrays([keys, pa.array([coder.count(t) for t in texts], pa.int64())], ["doc_id", "n_tokens"])
 
     slim = documents.select(F.col(keep).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, ids array<int>" if ids else "doc_id long, n_tokens long")
+    return spread(slim).mapInArrow(run, "doc_id long, ids array<int>" if ids else "doc_id long, n_tokens long")
 
 
 def p6_ids(documents: DataFrame) -> DataFrame:

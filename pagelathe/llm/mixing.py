@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.llm.bpe import byte_pairs
-from pagelathe.session import cut, public_path
+from pagelathe.session import cut, public_path, spread
 
 #: Documents a block of the permutation holds about.
 BLOCK_DOCS = 20_000
@@ -97,7 +97,7 @@ def sized(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts], ["doc_id", "source", "n_tokens"])
 
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, source string, n_tokens long").withColumn("key", F.xxhash64("doc_id"))
+    return spread(named).mapInArrow(run, "doc_id long, source string, n_tokens long").withColumn("key", F.xxhash64("doc_id"))
 
 
 def _realise(sizes: DataFrame, targets: DataFrame, budget: float | None, block_docs: int) -> tuple[DataFrame, DataFrame]:
