@@ -37,6 +37,8 @@ FLOOR, OFTEN, SUSPECT = -0.15, 3, 0.6
 #: It must hold this share of words that documents labelled abusive have MORE_OFTEN times as often as clean ones, since
 #: many a label is wrong; where no sentence scores so, those join of whose words NOVEL are such.
 NEW, NOVEL, MORE_OFTEN = 0.2, 0.5, 4.0
+#: From this score on, a sentence in usual words is near the boundary.
+NEAR = -0.6
 DECAY, BITS = 0.55, 20
 #: Subsequence lengths and the window each lies in.
 SHAPES = ((2, 3), (3, 5), (4, 6))
@@ -228,8 +230,12 @@ def _pieces(row: str) -> list[str]:
     return [x for w in row.split() for x in ([w[i : i + 2] for i in range(len(w) - 1)] if w[0] > "⿿" else [w])]
 
 
-def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel:
-    """The model of (text, labelled abusive) documents; of none, that of the authored sentences."""
+def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7, clean_weight: float = 1.0) -> AbuseModel:
+    """The model of (text, labelled abusive) documents; of none, that of the authored sentences.
+
+    ``clean_weight`` is how many labelled clean documents a drawn one stands for, against an abusive one:
+    the threshold is set for the documents as they come.
+    """
     draw = np.random.default_rng(seed)
     authored = [x for s in sentences(ABUSIVE) for x in normal_sentences(s)]
     harmless = [x for s in sentences(CLEAN) for x in normal_sentences(s)]
@@ -250,6 +256,7 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
             return 0.0
         return sum(in_bad[w] > least * in_good[w] for w in words) / len(words)
 
+    every = sorted({r for rows in good + bad for r in rows})
     positives = list(authored)
     model = None
     for step in range(ROUNDS):
@@ -265,7 +272,7 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
         kept = values > values.max() * 1e-6
         root = vectors[:, kept] / np.sqrt(values[kept])
         x = kernel(rows, marks) @ root
-        weight = np.concatenate([np.full(len(positives), 2.0), np.full(len(harmless), 4.0), np.minimum([seen[r] for r in pool], 40) ** 0.7])
+        weight = np.concatenate([np.full(len(positives), 2.0), np.full(len(harmless), 4.0), np.clip([seen[r] for r in pool], 1, 40) ** 0.7])
         w = _svm(x, y, weight)
         model = AbuseModel(table_of(marks, root @ w[:-1]), float(w[-1]), 0.0)
         if step + 1 < ROUNDS:
@@ -279,11 +286,19 @@ def fit_abuse(texts: list[tuple[str | None, bool]], seed: int = 7) -> AbuseModel
             # a rare sentence of documents labelled clean that looks abusive is taken for a wrong label
             s = model.sentence_scores(pool)
             pool = [r for r, v in zip(pool, s) if v < SUSPECT or seen[r] >= OFTEN]
+            # sentences in usual words that come near the boundary, of any document, are learned as negatives
+            near = [r for r, v in zip(every, model.sentence_scores(every)) if v > NEAR and novelty(r) < NEW]
+            pool += [near[i] for i in draw.permutation(len(near))[: NEGATIVES // 4]]
+            pool = list(dict.fromkeys(pool))
     if bad and good:
         scores = np.array([model.sentence_scores(rows).max() for rows in bad + good])
         y = np.array([True] * len(bad) + [False] * len(good))
-        steps = np.linspace(-0.6, 0.6, 49)
-        f = [2 * (y & (scores > t)).sum() / max(1, y.sum() + (scores > t).sum()) for t in steps]
+        steps = np.linspace(-0.6, 1.2, 73)
+        f = []
+        for t in steps:
+            hit = scores > t
+            right = (y & hit).sum()
+            f.append(2 * right / max(1e-9, y.sum() + right + clean_weight * (~y & hit).sum()))
         best = max(f)
         model.threshold = float(np.mean([t for t, v in zip(steps, f) if v >= best - 0.003]))
     return model
@@ -293,10 +308,12 @@ def fit_on(documents: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, abus
     """The model fitted on bounded samples of the labelled documents; of contradicting labels the majority holds."""
     votes = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("toxic").alias("vote")).where(F.col("vote") != 0.5)
     order = (F.xxhash64("doc_id"), "doc_id")
+    counts = votes.agg(F.count_if(F.col("vote") > 0.5).alias("bad"), F.count_if(F.col("vote") < 0.5).alias("good")).first()
     drawn = votes.where(F.col("vote") > 0.5).orderBy(*order).limit(abusive).unionByName(votes.where(F.col("vote") < 0.5).orderBy(*order).limit(clean))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
     rows = drawn.join(texts, "doc_id").orderBy(*order).select("text", (F.col("vote") > 0.5).alias("y")).toPandas()  # bounded
-    return fit_abuse([(t, bool(y)) for t, y in zip(rows["text"], rows["y"])])
+    weight = (max(1.0, counts["good"] / clean)) / (max(1.0, counts["bad"] / abusive))
+    return fit_abuse([(t, bool(y)) for t, y in zip(rows["text"], rows["y"])], clean_weight=weight)
 
 
 def abuse_scores(documents: DataFrame, model: AbuseModel) -> DataFrame:
