@@ -1,4 +1,4 @@
-"""What pages say: title, language, outline and its violations, words, split (STF23-25, WIN5, WIN8, WIN14, AGG17, AGG18)."""
+"""What pages say: title, language, outline and its violations, words, split (STF23-25, WIN5, WIN14, AGG17, AGG18)."""
 
 from __future__ import annotations
 
@@ -71,9 +71,9 @@ def stopword_language(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def split_content(nodes: DataFrame) -> DataFrame:
-    """``page_id, main_chars, frame_chars, total_chars, main_share, confidence`` by landmarks, outermost first.
+    """``page_id, main_chars, frame_chars, total_chars, main_share, confidence`` by landmarks alone, outermost first.
 
-    With a main landmark the confidence is 0.75 + 0.2 * share; with frame landmarks alone, 0.25 + 0.35 * share
+    Infers no main region; ``page_tree.splits`` does.  With a main landmark the confidence is 0.75 + 0.2 * share; with frame landmarks alone, 0.25 + 0.35 * share
     of what they leave; 0.1 without any landmark, 0 without text.
     """
     prose = nodes.where(~F.col("tag").isin("script", "style", "noscript", "template", "title", "head") & (F.length("own_text") > 0) & F.array_contains("tags", "body"))

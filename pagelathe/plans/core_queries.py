@@ -221,7 +221,7 @@ def queries() -> dict:
         "css_breakpoints": lambda s, d: design.breakpoints(p(s, d)), "css_fonts": lambda s, d: design.fonts(p(s, d)), "css_grids": lambda s, d: design.grids(p(s, d)), "css_colors": lambda s, d: design.colors(p(s, d)),
         "archive_pages": lambda s, d: archive.archives(p(s, d)).select("page_id", "name", F.length("content").alias("bytes")), "flat_records": lambda s, d: nested.flatten_records(r(s, d)),
         "robots_verdicts": robots_verdicts, "frontier_rounds": frontier,
-        "content_split": lambda s, d: content.split_content(dom.dom_nodes(p(s, d))), "regions": lambda s, d: page_tree.region_rows(p(s, d)), "distill_pages": lambda s, d: page_tree.distilled(p(s, d)),
+        "content_split": lambda s, d: page_tree.splits(p(s, d)), "regions": lambda s, d: page_tree.region_rows(p(s, d)), "distill_pages": lambda s, d: page_tree.distilled(p(s, d)),
         "layout_pages": lambda s, d: page_tree.layouts(p(s, d)), "find_pages": lambda s, d: page_tree.find_regions(p(s, d), "calendar"), "scrape_fields": lambda s, d: page_tree.scrape(p(s, d), SHAPE),
         "component_inventory": lambda s, d: page_tree.components(p(s, d)), "page_declared": lambda s, d: page_tree.declared(p(s, d)), "page_media": lambda s, d: page_tree.media(p(s, d)),
     }
