@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.boilerplate import over_bodies, prepared
-from pagelathe.llm.residue import Scorer, fit_bodies
+from pagelathe.llm.page_blocks import unpack_body
+from pagelathe.llm.residue import fit_bodies, page_tokens, worst
 from pagelathe.llm.tongues import EVERYDAY, ISO_639_1, SPELLINGS, table
 from pagelathe.session import sampled, spread, stored
 
-FIT_TEXTS = 2_000
+FIT_TEXTS = 4_000
 LANGUAGES = [lang for lang, _ in table(EVERYDAY)]
 BUCKETS = 1 << 15
 #: Words whose emissions a worker remembers.
@@ -345,8 +345,7 @@ def _transitions(model: LanguageModel, texts: list[list[str]]) -> tuple[np.ndarr
     for found, confidence, _, _ in labeller.texts(texts):
         for a, b, c, d in zip(found[:-1], found[1:], confidence[:-1], confidence[1:]):
             of_lines[a, b] += c * d
-    flat = [line for lines in texts for line in lines][:20_000]
-    for line in flat:
+    for line in (line for lines in texts for line in lines):
         rows = labeller.line(line)
         if len(rows) > 1:
             e = labeller.rows[rows][:, None, :]
@@ -437,25 +436,25 @@ def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
 def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
     """The same for the main bodies of pages and their lang attribute; pages that hold residue are left out.
 
-    Segments are main blocks under their numbers.  One pass: body, residue and language of a page are found together.
+    Segments are main blocks under their numbers.  Bodies are found once and stored, residue is fitted on all of
+    them, and one pass finds residue and languages.
     """
-    shared, page_model, bodies = prepared(pages)
-    residue = fit_bodies(bodies)
+    held = page_tokens(pages)
+    residue = fit_bodies(held)
     names = [f.split()[0] for f in FOUND.split(", ")]
 
-    def make():
-        labeller, scorer = labeller_of(model), Scorer(residue)
-
-        def turn(rows: list, known: dict) -> pa.RecordBatch:
-            rows = [r for r in rows if (scorer.worst(r[2], known) or 0.0) <= 0]
-            blocks = [[b for b in body if b.text.strip()] for _, _, body in rows]
-            lists = [[b.text for b in own] for own in blocks]
-            columns = _found(labeller, [r[0] for r in rows], [r[1] for r in rows], lists, lambda i: [b.no for b in blocks[i]], lambda i: [b.tag == "pre" for b in blocks[i]], known)
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        return turn
-
-    return over_bodies(shared, page_model, make, FOUND)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = labeller_of(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                ids, langs, bodies = (c.to_pylist() for c in batch.columns[:3])
+                rows = [(i, lang, unpack_body(body)) for i, lang, body, v in zip(ids, langs, bodies, worst(residue, batch.column(3)).tolist()) if not v > 0]
+                blocks = [[b for b in body if b.text.strip()] for _, _, body in rows]
+                lists = [[b.text for b in own] for own in blocks]
+                yield pa.RecordBatch.from_arrays(_found(labeller, [r[0] for r in rows], [r[1] for r in rows], lists, lambda i, blocks=blocks: [b.no for b in blocks[i]], lambda i, blocks=blocks: [b.tag == "pre" for b in blocks[i]], {}), names)
+
+    return held.select("page_id", "lang", "body", "passages").mapInArrow(run, FOUND)
 
 
 def fit_on(documents: DataFrame, bound: int = FIT_TEXTS) -> LanguageModel:

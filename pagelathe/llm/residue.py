@@ -6,8 +6,8 @@ unlabelled passage its share of each class, the M step counts words with those s
 ones stay positive, and authored sentences about residue negative.  A passage is a block of a page's main body, or a crawl outcome's reason; a page is
 residue if one of its passages is, in full; text amid which residue is merely mentioned is not.
 
-The fit is on at most ``FIT_PAGES`` pages and ``FIT_REASONS`` different reasons, in the order of a hash;
-every page and every record is scored.
+Every page and every different reason takes part in the fit: their tokens are stored once, each round counts
+them where they lie, and a row a token goes to the driver.  Every page and every record is scored.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.boilerplate import _WORD, _begins, over_bodies, prepared, tokens_of
+from pagelathe.llm.page_blocks import pack_body
 from pagelathe.llm.phrases import ABOUT, FILLER, RESIDUE, phrases
+from pagelathe.session import stored
 
-FIT_PAGES, FIT_REASONS = 1_500, 10_000
 ROUNDS = 4
 PRIOR = 0.1
 #: Bounds of a word's weight against and for residue; for a trait, above.
@@ -123,16 +126,11 @@ class Scorer(dict):
         v = self[word] = sum(get(t, unseen) for t in (["§run"] if len(word) > 2 and _RUN.match(word) else tokens_of(word)))
         return v
 
-    def worst(self, blocks: list, known: dict[str, list[str]]) -> float | None:
-        """The highest log odds among the passages of a main body; None without one."""
-        return max((self.text(p, known.get(p)) for p in page_passages(blocks)), default=None)
-
-    def text(self, text: str, words: list[str] | None = None) -> float:
-        """``model.score(tokens(text))``; ``words`` are those of the text if they are known."""
+    def text(self, text: str) -> float:
+        """``model.score(tokens(text))``."""
         found, rest = _traits(text.strip())
         get, unseen = self.model.weights.get, self.model.unseen
-        if words is None or rest != text:
-            words = _WORD.findall(rest.lower()) if rest is not None else []
+        words = _WORD.findall(rest.lower()) if rest is not None else []
         if len(words) > 3 and len(set(words)) * 2 <= len(words) + 1:
             found.append("§repeated")
         if (begins := _begins(words)) is not None:
@@ -142,37 +140,101 @@ class Scorer(dict):
         return self.model.bias + sum(get(t, unseen) for t in found) + sum(map(self.__getitem__, words))
 
 
-def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, harmless: Iterable[str] = ()) -> Residue:
-    """The model of unlabelled passages with weights; none at all leaves the trusted ones alone.
+Counts = tuple[Counter, Counter]
+
+
+class Passages:
+    """Passages of a batch as flat tokens: the different ones, which of them each token is, and whose it is."""
+
+    def __init__(self, flat: pa.Array, sizes: np.ndarray):
+        coded = flat.dictionary_encode()
+        self.different = coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+        self.sizes = sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+
+    def sums(self, values: list[float]) -> np.ndarray:
+        """For each passage, the sum of its tokens' values."""
+        return np.bincount(self.owner, np.array(values, dtype=float)[self.codes] if self.different else None, minlength=len(self.sizes))
+
+    def scores(self, model: Residue) -> np.ndarray:
+        """``model.score`` of each."""
+        get, unseen = model.weights.get, model.unseen
+        return np.where(self.sizes > 0, model.bias + self.sums([get(t, unseen) for t in self.different]), -np.inf)
+
+    def shares(self, model: Residue | frozenset) -> np.ndarray:
+        """The E step: each passage's share of residue; to begin with, passages made of trusted words are taken for it."""
+        if isinstance(model, Residue):
+            return 1 / (1 + np.exp(-np.clip(self.scores(model), -30, 30)))
+        parts = [0.0 if t[0] == "^" else float(TRAIT_WORDS) if t[0] == "§" else 1.0 for t in self.different]
+        known = [n if t in model else 0.0 for t, n in zip(self.different, parts)]
+        return np.where(self.sums(known) / np.maximum(1, self.sums(parts)) >= MADE_OF, FIRST, 0.02)
+
+    def count(self, model: Residue | frozenset, times: np.ndarray, into: Counts) -> None:
+        """The M step's counts of tokens for and against residue, each passage ``times`` over."""
+        share = self.shares(model)
+        for counter, part in zip(into, (np.where(share > 0.01, share, 0.0), np.where(share < 0.99, 1 - share, 0.0))):
+            found = np.bincount(self.codes, (times * part)[self.owner], minlength=len(self.different))
+            for i in np.flatnonzero(found).tolist():
+                counter[self.different[i]] += float(found[i])
+
+
+def expectation_maximization(count: Callable[[Residue | frozenset], Counts], against: float, harmless: Iterable[str]) -> Residue:
+    """The model of the unlabelled passages that ``count`` counts under a model, or under the trusted words at first.
 
     ``harmless`` passages are held negative, as trusted ones are held positive.
     """
-    unlabelled = [(Counter(p), w) for p, w in passages if p]
-    everything = sum(n * w for p, w in unlabelled for n in p.values())
     sure = Counter(t for p in trusted() for t in p)
+    about = Counter({t: n * TRUST for t, n in Counter(t for p in harmless for t in tokens(p)).items()})
+    counts = count(frozenset(sure))
+    everything = sum(sum(c.values()) for c in counts)
     times = max(TRUST, TRUST_PART * everything / sum(sure.values()))
     sure = Counter({t: n * times for t, n in sure.items()})
-    about = Counter({t: n * TRUST for t, n in Counter(t for p in harmless for t in tokens(p)).items()})
-    # to begin with, passages made of trusted words are taken for residue
-    def made_of(p: Counter) -> float:
-        parts = [(n * (TRAIT_WORDS if t[0] == "§" else 1), t in sure) for t, n in p.items() if t[0] != "^"]
-        return sum(n for n, known in parts if known) / max(1, sum(n for n, _ in parts))
-
-    shares = [FIRST if made_of(p) >= MADE_OF else 0.02 for p, _ in unlabelled]
-    for _ in range(ROUNDS + 1):
-        positive, negative = Counter(sure), Counter(about)
-        for (p, w), share in zip(unlabelled, shares):
-            for t, n in p.items():
-                if share > 0.01:
-                    positive[t] += n * w * share
-                if share < 0.99:
-                    negative[t] += n * w * (1 - share)
+    for turn in range(ROUNDS + 1):
+        if turn:
+            counts = count(model)
+        positive, negative = counts
+        positive.update(sure)
+        negative.update(about)
         model = _weigh(positive, negative, against)
-        odds = [model.bias + sum(n * model.weights.get(t, model.unseen) for t, n in p.items()) for p, _ in unlabelled]
-        shares = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in odds]
     return model
 
 
+def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, harmless: Iterable[str] = ()) -> Residue:
+    """The model of unlabelled passages with weights; none at all leaves the trusted ones alone."""
+    unlabelled = [(p, w) for p, w in passages if p]
+    batch = Passages(pa.array([t for p, _ in unlabelled for t in p], pa.string()), np.array([len(p) for p, _ in unlabelled], dtype=int))
+    times = np.array([w for _, w in unlabelled], dtype=float)
+
+    def count(model: Residue | frozenset) -> Counts:
+        into = Counter(), Counter()
+        batch.count(model, times, into)
+        return into
+
+    return expectation_maximization(count, against, harmless)
+
+
+def fit_over(rows: DataFrame, against: float = AGAINST, harmless: Iterable[str] = ()) -> Residue:
+    """``fit`` on all passages (tokens) of stored rows of ``passages, times``, counted where they lie."""
+
+    def count(model: Residue | frozenset) -> Counts:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            into = Counter(), Counter()
+            for batch in batches:
+                held, times = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+                lists = held.flatten()
+                sizes, per_row = (pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (lists, held))
+                Passages(lists.flatten(), sizes).count(model, np.repeat(times, per_row), into)
+            known = list(into[0].keys() | into[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), *(pa.array([c[t] for t in known], pa.float64()) for c in into)], ["token", "positive", "negative"])
+
+        summed = rows.select("passages", "times").mapInArrow(run, "token string, positive double, negative double").groupBy("token").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+        table = summed.toPandas()  # a row a token
+        return tuple(Counter({t: float(n) for t, n in zip(table["token"], table[c]) if n > 0}) for c in ("positive", "negative"))
+
+    return expectation_maximization(count, against, harmless)
+
+
 def _weigh(positive: Counter, negative: Counter, against: float) -> Residue:
     known = positive.keys() | negative.keys()
     a, b = sum(positive.values()) + 0.2 * len(known), sum(negative.values()) + 0.2 * len(known)
@@ -186,9 +248,37 @@ def page_passages(blocks: list) -> list[str]:
     return [b.text for b in blocks if b.tag != "pre"] or [b.text for b in blocks]
 
 
-def fit_bodies(bodies: list[list]) -> Residue:
-    """The model of the main bodies of at most ``FIT_PAGES`` pages."""
-    return fit(((tokens(p), 1.0) for body in bodies[:FIT_PAGES] for p in page_passages(body)), harmless=[p for _, p in phrases(ABOUT)])
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """``page_id, lang, body, passages, times``: each page's main body, packed, and the tokens of its passages; stored."""
+    shared, page_model, _ = prepared(pages)
+
+    def make():
+        def turn(rows: list, _) -> pa.RecordBatch:
+            passages = [[tokens(p) for p in page_passages(body)] for _, _, body in rows]
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [pack_body(r[2]) for r in rows], passages, [1.0] * len(rows)]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "lang", "body", "passages", "times"])
+
+        return turn
+
+    return stored(over_bodies(shared, page_model, make, "page_id long, lang string, body string, passages array<array<string>>, times double"))
+
+
+def fit_bodies(held: DataFrame) -> Residue:
+    """The model of the main bodies of all pages of ``page_tokens``."""
+    return fit_over(held, harmless=[p for _, p in phrases(ABOUT)])
+
+
+def worst(model: Residue, held: pa.Array) -> np.ndarray:
+    """The highest log odds among the passages of each page; NaN of a page without one."""
+    lists = held.flatten()
+    sizes, per_row = (pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (lists, held))
+    out = np.full(len(held), np.nan)
+    scores = Passages(lists.flatten(), sizes).scores(model)
+    some = per_row > 0
+    if some.any():
+        out[some] = np.maximum.reduceat(scores, (np.cumsum(per_row) - per_row)[some])
+    return out
 
 
 def page_scores(pages: DataFrame) -> DataFrame:
@@ -196,20 +286,26 @@ def page_scores(pages: DataFrame) -> DataFrame:
 
     Pages without a main body have no passage and no row; rows that repeat are scored each.
     """
-    shared, page_model, bodies = prepared(pages)
-    model = fit_bodies(bodies)
+    held = page_tokens(pages)
+    model = fit_bodies(held)
 
-    def make():
-        scorer = Scorer(model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worst(model, batch.column(1)), pa.float64(), from_pandas=True)], ["row_id", "score"])
 
-        def turn(rows: list, known: dict) -> pa.RecordBatch:
-            best = [scorer.worst(body, known) for _, _, body in rows]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(best, pa.float64())], ["row_id", "score"])
+    scored = held.select("page_id", "passages").mapInArrow(run, "row_id long, score double")
+    return scored.where(F.col("score").isNotNull()).select(F.lit("page").alias("origin"), "row_id", "score")
 
-        return turn
 
-    scored = over_bodies(shared, page_model, make, "row_id long, score double")
-    return scored.where(F.col("score").isNotNull()).select(F.lit("page").alias("origin"), "row_id", "score")
+def reason_tokens(reasons: DataFrame) -> DataFrame:
+    """``passages, times``: the tokens of each different reason, numbers levelled, and how often it stands; stored."""
+    kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason")).agg(F.count("*").cast("double").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([[tokens(r)] for r in batch.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), batch.column(1)], ["passages", "times"])
+
+    return stored(kinds.mapInArrow(run, "passages array<array<string>>, times double"))
 
 
 def reason_scores(crawl_records: DataFrame) -> DataFrame:
@@ -218,9 +314,7 @@ def reason_scores(crawl_records: DataFrame) -> DataFrame:
     Null and blank reasons have no row; other columns are ignored; rows that repeat are scored each.
     """
     reasons = crawl_records.select(F.col("record_id").cast("long").alias("row_id"), F.trim(F.col("outcome.reason")).alias("reason")).where(F.length("reason") > 0)
-    kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason")).agg(F.count("*").alias("n"))
-    kinds = kinds.orderBy(F.xxhash64("reason"), "reason").limit(FIT_REASONS).toPandas()  # bounded
-    model = fit(((tokens(r), float(n)) for r, n in zip(kinds["reason"], kinds["n"])), REASON_AGAINST)
+    model = fit_over(reason_tokens(reasons), REASON_AGAINST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
