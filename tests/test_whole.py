@@ -1,5 +1,6 @@
 from pagelathe.operators import page_tree
 from pagelathe.plans import core_queries
+from pagelathe.sources.dom import parse
 
 MENU = "<div class='m'><a href='/a'>Home</a><a href='/b'>Shop</a></div>"
 TEXT = "The bridge was repaired in spring and the road opened again. " * 5
@@ -24,3 +25,20 @@ def test_main_region_is_inferred_without_a_landmark(spark, tmp_path):
     assert got[4].main_chars == 2 and 0.75 <= got[4].confidence < 0.77
     # the first paragraph is exactly 60 % of the div, so it is preferred to it
     assert (got[5].main_chars, got[5].frame_chars, got[5].total_chars, got[5].confidence) == (30, 25, 75, 0.39)
+
+
+def test_components_by_family_and_repetition():
+    page = (
+        "<body class='x'><div class='sidebar'>a</div><div class='promo'>b</div><p class='q'>1</p><p class='q'>2</p>"
+        "<a class='btn btn-primary' href='/'>go</a><input type='submit'><span class='Product-Card'>c</span><div class='tile'>t</div>"
+        "<ul><li>1</li><li>2</li></ul><h1>t</h1><h3>u</h3><a href='/'>l</a><section role='tab'>s</section></body>"
+    )
+    got = {}
+    for r in page_tree.inventory(parse(page)):
+        got.setdefault((r["kind"], r["count"]), []).append((r["signature"], r["n"], r["examples"]))
+    assert list(got) == [("button", 2), ("card", 2), ("heading", 2), ("li", 2), ("p", 2)]  # one link, one tab, one-off divs: none
+    assert [v[0] for v in got["button", 2]] == ["a.btn.btn-primary>#text", "input"]
+    assert got["p", 2] == [("p.q>#text", 2, [[2], [3]])] and got["li", 2] == [("li>#text", 2, [[8, 0], [8, 1]])]
+    many = "<body>" + "".join(f"<a class='{chr(97 + i)}' href='/'>x</a>" for i in range(12)) + "</body>"
+    rows = page_tree.inventory(parse(many))
+    assert len(rows) == 8 and {r["count"] for r in rows} == {12}
