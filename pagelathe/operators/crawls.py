@@ -1,4 +1,4 @@
-"""Crawls: summaries, robots rules, pacing, failures and stops, and the frontier (AGG13-14, JN8-9, JN14-15, TOP9, WIN10-13, WIN15)."""
+"""Crawls: summaries, robots rules, pacing, failures and stops, and the frontier (AGG13-14, JN8-9, JN14-15, TOP9, WIN10-13, WIN15, STR12)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pagelathe.session import cut, stored
 # Fixed values of pacing: milliseconds, and what stops a crawl.
 BASE_MS, MOST_MS, INTERVAL_MS = 1_000, 60_000, 1_000
 HOST_ERRORS, ALL_ERRORS = 5, 50
+FAILING_HOSTS = 3
 
 
 def summary(crawl_records: DataFrame) -> DataFrame:
@@ -78,6 +79,38 @@ def stops(outcomes: DataFrame, key: str = "host", order: str = "seq") -> DataFra
     return hit.groupBy(key).agg(F.min(order).alias("stopped_at"), F.min_by("streak", order).alias("streak"))
 
 
+def crawl_stop(outcomes: DataFrame, budget: int = ALL_ERRORS) -> DataFrame:
+    """``stopped_at, kind, host, count``: the first reason to stop a crawl; no row if there is none.
+
+    Input: ``host, seq, at_ms, ok, failed`` and perhaps ``retry_after_s`` of one crawl, each request once it is
+    answered.  A host fails ``HOST_ERRORS`` times in a row; else all hosts tried so far, ``FAILING_HOSTS`` or more,
+    are inside a live backoff; else the failures of the crawl reach ``budget``.  The budget ends any crawl at its
+    ``budget``-th failure, so no more failures, and no more hosts than one beyond them, need be compared.
+    """
+    w = Window.partitionBy("host").orderBy("seq")
+    asked = F.col("retry_after_s") if "retry_after_s" in outcomes.columns else None
+    followed = streaks(outcomes).withColumn("next", F.min(F.when(F.col("ok") | F.col("failed"), F.col("seq"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    failures = cut(
+        followed.where(F.col("failed")).select("host", "seq", "at_ms", "streak", "next", (F.col("at_ms") + backoff_ms(F.col("streak"), asked)).alias("retry_at")).orderBy("seq").limit(budget)
+    )
+    tried = outcomes.groupBy("host").agg(F.min("seq").alias("first")).orderBy("first").limit(budget + 1)
+    f, g = failures.alias("f"), failures.alias("g")
+    live = (F.col("g.seq") <= F.col("f.seq")) & (F.col("g.next").isNull() | (F.col("g.next") > F.col("f.seq"))) & (F.col("g.retry_at") > F.col("f.at_ms"))
+    failing = f.join(g, live, "left").groupBy(F.col("f.seq").alias("seq")).agg(F.countDistinct("g.host").alias("failing"))
+    attempted = f.join(tried, F.col("first") <= F.col("f.seq")).groupBy(F.col("f.seq").alias("seq")).agg(F.count("*").alias("attempted"))
+    errors = f.join(g, F.col("g.seq") <= F.col("f.seq")).groupBy(F.col("f.seq").alias("seq")).agg(F.count("*").alias("errors"))
+    every = failures.join(failing, "seq").join(attempted, "seq").join(errors, "seq")
+    nobody = F.lit(None).cast(outcomes.schema["host"].dataType)
+
+    def reason(kind: str, host: Column, count: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), host.alias("host"), F.col(count).cast("long").alias("count"))
+
+    why = F.when(F.col("streak") >= HOST_ERRORS, reason("consecutive-errors", F.col("host"), "streak"))
+    why = why.when((F.col("attempted") >= FAILING_HOSTS) & (F.col("failing") == F.col("attempted")), reason("all-hosts-failing", nobody, "attempted"))
+    why = why.when(F.col("errors") >= budget, reason("error-budget", nobody, "errors"))
+    return every.select(F.col("seq").alias("stopped_at"), why.alias("why")).where(F.col("why").isNotNull()).orderBy("stopped_at").limit(1).select("stopped_at", "why.kind", "why.host", "why.count")
+
+
 def waits(requests: DataFrame, key: str = "host", order: str = "at_ms", interval_ms: int = INTERVAL_MS) -> DataFrame:
     """``wait_ms`` a request owes since the one before it on its host; ties of the time by ``seq``."""
     w = Window.partitionBy(key).orderBy(order, "seq")

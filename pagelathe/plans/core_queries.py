@@ -156,6 +156,10 @@ def stop_hosts(s, d):
     return crawls.stops(_outcomes(s, d))
 
 
+def crawl_stop(s, d):
+    return crawls.crawl_stop(_outcomes(s, d).withColumn("at_ms", F.expr("unix_micros(cast(ts as timestamp)) div 1000")))
+
+
 def vitals(s, d):
     """Per user: the sum of views as shifts, the longest click as interaction, the last purchase as largest paint."""
     e = table(s, d, "events")
@@ -214,7 +218,7 @@ def queries() -> dict:
         "crawl_summary": lambda s, d: crawls.summary(r(s, d)), "crawl_reasons": lambda s, d: crawls.reasons(r(s, d)), "crawl_warnings": lambda s, d: crawls.warnings(r(s, d)),
         "crawl_domain_coverage": lambda s, d: crawls.domain_coverage(r(s, d)), "crawl_latest": lambda s, d: crawls.latest(r(s, d)),
         "net_host_rollup": lambda s, d: network.host_rollup(_requests(s, d)), "net_totals": net_totals, "net_status_classes": net_status_classes, "net_skip_reasons": net_skip_reasons,
-        "net_body_budget": net_body_budget, "event_ring_buffer": event_ring, "error_streaks": error_streaks, "backoff_ladder": backoff_ladder, "rate_limit_waits": rate_limit_waits, "stop_reasons": stop_hosts,
+        "net_body_budget": net_body_budget, "event_ring_buffer": event_ring, "error_streaks": error_streaks, "backoff_ladder": backoff_ladder, "rate_limit_waits": rate_limit_waits, "stop_reasons": stop_hosts, "crawl_stop": crawl_stop,
         "vitals_ratings": vitals, "events_tumbling": events_hourly, "events_session": events_sessions, "availability_summary": report_availability,
         "stack_signatures": lambda s, d: network.technologies(p(s, d)), "third_party_hosts": lambda s, d: network.third_party_hosts(p(s, d)),
         "css_declarations": lambda s, d: network.css_declarations(p(s, d)), "css_tokens_topk": lambda s, d: network.top_tokens(network.css_declarations(p(s, d))),

@@ -1,7 +1,8 @@
 """Stateful operators on streams: body budget, ring buffer, pacing of hosts, web vitals; and windows with late data.
 
 State a key is bounded: by the cap of the budget, the size of the ring, or a fixed record.  Each also has
-a batch form in ``operators``, which the tests hold it against.  STR1-7, STR11-12.
+a batch form in ``operators``, which the tests hold it against.  STR1-7, STR11.
+Stops of a whole crawl (STR12, WIN13) are in batch only: ``crawls.crawl_stop``.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
-from pagelathe.operators import page_tree
+import random
+
+from pagelathe.operators import crawls, page_tree
 from pagelathe.plans import core_queries
 from pagelathe.sources.dom import parse
 
@@ -42,3 +44,40 @@ def test_components_by_family_and_repetition():
     many = "<body>" + "".join(f"<a class='{chr(97 + i)}' href='/'>x</a>" for i in range(12)) + "</body>"
     rows = page_tree.inventory(parse(many))
     assert len(rows) == 8 and {r["count"] for r in rows} == {12}
+
+
+def replayed(rows):
+    """The first reason by replay of the outcomes one by one."""
+    state, total = {}, 0
+    for host, seq, at, ok, failed in rows:
+        held = state.setdefault(host, [0, None])
+        if ok:
+            held[:] = [0, None]
+        elif failed:
+            held[0] += 1
+            total += 1
+            held[1] = at + min(1000 * 2 ** (held[0] - 1), 60000)
+            if held[0] >= 5:
+                return seq, "consecutive-errors", host, held[0]
+            if len(state) >= 3 and all(r is not None and r > at for _, r in state.values()):
+                return seq, "all-hosts-failing", None, len(state)
+            if total >= 50:
+                return seq, "error-budget", None, total
+    return None
+
+
+def test_first_stop_of_a_crawl(spark):
+    schema = "host string, seq long, at_ms long, ok boolean, failed boolean"
+    # errors spread over hosts, no streak of five: the budget ends it
+    spread = [(f"h{i % 40}", i, i * 5000, i % 3 == 2, i % 3 != 2) for i in range(120)]
+    cases = [spread, [(h, i, i * 100, False, True) for i, h in enumerate("abc")], [("a", i, i * 100, False, True) for i in range(7)], [("a", 0, 0, True, False)]]
+    random.seed(11)
+    for step, p in ((300, 0.7), (4000, 0.5)):
+        cases.append([(random.choice("abcd"), i, i * step, (x := random.random()) > p, x < p - 0.1) for i in range(150)])
+    kinds = set()
+    for rows in cases:
+        got = [tuple(r) for r in crawls.crawl_stop(spark.createDataFrame(rows, schema)).collect()]
+        want = replayed(rows)
+        assert got == ([want] if want else []), (got, want)
+        kinds.add(want and want[1])
+    assert kinds == {None, "consecutive-errors", "all-hosts-failing", "error-budget"}
