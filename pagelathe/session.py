@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,17 @@ def sampled(df: DataFrame, key: str, bound: int, total: int) -> DataFrame:
     rank = F.xxhash64(key)
     kept = df if share >= 1.0 else df.where(rank <= int(-(2**63) + share * (2**64 - 1)))
     return kept.orderBy(rank, key).limit(bound)
+
+
+def slices(batch: pa.RecordBatch, most_rows: int = 500, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``most_rows`` rows and about ``most_bytes`` bytes of text, a single longer row apart."""
+    sizes = np.zeros(batch.num_rows)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0.0
+        end = min(at + most_rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
