@@ -20,14 +20,16 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.page_blocks import Block, blocks_of, html_lang, pack, pack_body, unpack
-from pagelathe.llm.phrases import AROUND, RESIDUE, UNFILLED, phrases
-from pagelathe.session import sampled, spread, stored
+from pagelathe.llm.phrases import AROUND, RESIDUE, phrases
+from pagelathe.llm.placeholders import without_templates
+from pagelathe.session import sampled, slices, spread, stored
 
 #: Bound of the pages drawn for fitting, in the order of a hash of their id; those with labelling markup are fitted on.
 SAMPLE_PAGES = 2_500
@@ -36,10 +38,17 @@ FRAME_SHARE, FRAME_PAGES = 0.06, 3
 #: A heading amid the main body is dropped only below this score, other blocks below 0.
 HEADING_FLOOR = -1.5
 MENU_SHARE = 0.45
+#: Parts a site's pages are spread over when frames are joined to them.
+SALTS = 8
 TAG_COST = 0.25
 #: No single block costs a run more, so that an insert below the heading does not cut the heading off.
 INSERT_COST = -4.5
+FIT_ROUNDS = 3
 SEED_TIMES = 12
+#: A paragraph up to this length that so many sites show is an insert or a notice; within this score of 0 it stays open which.
+SHORT, COMMON_SITES, OPEN = 110, 4, 1.0
+#: A lead before a colon, as in "read also:", ends within so many characters.
+LEAD = 30
 # What landmarks add to a score, since sites misuse them at times.
 MARK_SCORES = {"n": -3.0, "f": -3.0, "h": -1.0, "d": -3.0, "a": -1.0, "m": 0.7, "r": 0.7, "": 0.0}
 KINDS = ("li", "p", "h1", "h2", "pre", "blockquote", "figcaption")
@@ -71,9 +80,10 @@ def _begins(words: list[str]) -> str | None:
 
 
 def words_of(text: str) -> list[str]:
-    """The tokens of a text, last how it begins."""
+    """The tokens of a text, a token for each template variable in it, last how it begins."""
+    text, variables = without_templates(text)
     words = _WORD.findall(text.lower())
-    found = [t for w in words for t in tokens_of(w)]
+    found = ["§template"] * variables + [t for w in words for t in tokens_of(w)]
     if (begins := _begins(words)) is not None:
         found.append(begins)
     return found
@@ -85,6 +95,12 @@ def frame_key(text: str) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
+def common_keys(text: str) -> list[int]:
+    """Keys under which a text may recur over sites: its own, and that of a short lead before a colon."""
+    lead = text[:LEAD].partition(":")
+    return [frame_key(text)] + ([frame_key(lead[0].rstrip() + ":")] if lead[1] and len(text) > len(lead[0]) + 1 else [])
+
+
 class WordSums(dict):
     """Text word -> (sum of the weights of its tokens) + 1j * (number of tokens), found on first use."""
 
@@ -102,8 +118,9 @@ class WordSums(dict):
 
     def text(self, text: str) -> tuple[float, float]:
         """(sum, mean) of the weights of a text's tokens, how it begins included."""
-        words = self.memo[text] = _WORD.findall(text.lower())
-        t = sum(map(self.__getitem__, words), 0j)
+        bare, variables = without_templates(text)
+        words = self.memo[text] = _WORD.findall(bare.lower())
+        t = sum(map(self.__getitem__, words), variables * complex(self.weights.get("§template", 0.0), 1))
         begins = _begins(words)
         if begins is not None:
             t += complex(self.weights.get(begins, 0.0), 1)
@@ -182,33 +199,39 @@ def _authored() -> dict[str, float]:
         for _, p in phrases(table):
             into.update(set(words_of(p)))
     a, b = sum(around.values()), sum(residue.values())
-    return {w: math.log((around[w] + 0.3) / a) - math.log((residue[w] + 0.3) / b) for w in around.keys() | residue.keys()}
+    return {w: math.log(around[w] / a + 6e-4) - math.log(residue[w] / b + 6e-4) for w in around.keys() | residue.keys()}  # the tables differ in size
 
 
 AUTHORED = _authored()
-#: How authored inserts of three words and more begin.
-LEADS = frozenset(ws[-1] for _, p in phrases(AROUND) if len(ws := words_of(p)) > 3 and AUTHORED.get(ws[-1], 0.0) > 0)
 
 
-def page_labels(blocks: list[Block], shares) -> list[int | None]:
-    """Labels by markup; but a list whose items most of the site shows is a menu or a path wherever it stands,
-    and a short paragraph that returns on the site and speaks like a frame is an insert."""
+def page_labels(blocks: list[Block], shares, common: list[bool], sums: WordSums | None = None) -> list[int | None]:
+    """Labels by markup; but a list whose items most of the site shows is a menu or a path wherever it stands.
+
+    A short paragraph that many sites show word for word is an insert, or a notice that stands for the text.  Where
+    a page holds nothing else, it is a notice; amid a text it is left open until words learned elsewhere tell (``sums``),
+    unless authored words tell at once.
+    """
     lists: dict[int, list[float]] = {}
     for b, f in zip(blocks, shares):
         if b.items:
             lists.setdefault(b.items, []).append(f)
     menus = {k for k, v in lists.items() if sum(v) / len(v) > MENU_SHARE}
+    amid = any(markup_label(b.marks) == 1 and not c and b.tag == "p" and len(b.text) > 80 for b, c in zip(blocks, common))
     out = []
-    for b, f in zip(blocks, shares):
+    for b, f, c in zip(blocks, shares, common):
         y = markup_label(b.marks)
         if y:
             if f > MENU_SHARE or b.items in menus:
                 y = 0
-            elif b.tag == "p" and len(b.text) < 110:
+            elif b.tag == "p" and len(b.text) < SHORT:
                 words = words_of(b.text)
                 known = [AUTHORED[w] for w in words if w in AUTHORED]
-                if words and words[-1] in LEADS or sum(known) > (0.3 if f >= FRAME_SHARE / 3 else 4.0) and 2 * len(known) >= len(words):
+                if sum(known) > (0.3 if c or f >= FRAME_SHARE / 3 else 4.0) and (c or 2 * len(known) >= len(words)):
                     y = 0
+                elif c and amid:
+                    score = sums.text(b.text)[0] if sums is not None else 0.0
+                    y = 0 if score < -OPEN else 1 if score > OPEN else None
         out.append(y)
     return out
 
@@ -259,25 +282,29 @@ def _word_weights(pages: list[tuple[list[Block], list[float]]], labels: list[lis
     for _, p in phrases(AROUND):
         for w in words_of(p):
             outside[w] += SEED_TIMES
-    for table, times in ((RESIDUE, SEED_TIMES // 4), (UNFILLED, 4 * SEED_TIMES)):
-        for _, p in phrases(table):
-            for w in words_of(p):
-                inside[w] += times
+    for _, p in phrases(RESIDUE):
+        for w in words_of(p):
+            inside[w] += SEED_TIMES // 4
+    inside["§template"] += 4 * SEED_TIMES
     a, b = sum(inside.values()) + 1.0, sum(outside.values()) + 1.0
     known = inside.keys() | outside.keys()
     weights = {w: math.log((inside[w] + 0.5) / a) - math.log((outside[w] + 0.5) / b) for w in known if inside[w] + outside[w] > 1}
-    return {w: max(-14.0 if w[0] == "^" else -3.0, min(3.0, v)) for w, v in weights.items()} | dict.fromkeys(LEADS, -14.0)  # decisive
+    return {w: max(-6.0 if w[0] == "^" else -3.0, min(3.0, v)) for w, v in weights.items()}
 
 
 #: Traits to begin with, before labelled pages correct them.
 PRIOR = np.array([-0.5, 1.0, 0.8, -1.0, 0.5, -1.0, -3.0, -2.0, 0.5, -2.0, 0.5, 1.0, 1.5, -1.5, -2.0, 0.3, -0.5, -2.0, 1.5, -3.0, 1.5] + [{"pre": 3.0, "blockquote": 1.0, "figcaption": 0.5}.get(k, 0.0) for k in KINDS])
 
 
-def fit_pages(pages: list[tuple[list[Block], list[float]]]) -> PageModel:
-    """The model of labelled pages; defined (authored phrases and prior traits) for none as well."""
-    labels = [page_labels(blocks, shares) for blocks, shares in pages]
+def fit_pages(pages: list[tuple[list[Block], list[float]]], common: list[list[bool]] | None = None) -> PageModel:
+    """The model of labelled pages; defined (authored phrases and prior traits) for none as well.
+
+    ``common`` tells for each block whether at least ``COMMON_SITES`` sites show it.
+    """
+    common = common if common is not None else [[False] * len(blocks) for blocks, _ in pages]
+    labels = [page_labels(blocks, shares, c) for (blocks, shares), c in zip(pages, common)]
     model = PageModel(_word_weights(pages, labels), PRIOR, PRIOR)
-    for _ in range(2):
+    for _ in range(FIT_ROUNDS):
         both = [any(y == 1 for y in own) and any(y == 0 for y in own) for own in labels]
         y = np.array([-1 if v is None or not fit else v for own, fit in zip(labels, both) for v in own], dtype=float)
         if not (y >= 0).any():
@@ -288,8 +315,8 @@ def fit_pages(pages: list[tuple[list[Block], list[float]]]) -> PageModel:
         alone = _logistic(features([(blocks, [0.0] * len(blocks)) for blocks, _ in pages], sums)[y >= 0], y[y >= 0])
         # the markup's labels are corrected where the fit is sure of the contrary, then words are weighed anew
         raw, at, labels = x @ traits, 0, []
-        for blocks, shares in pages:
-            labels.append([0 if v == 1 and s < -2 else 1 if v == 0 and s > 4 else v for v, s in zip(page_labels(blocks, shares), raw[at : at + len(blocks)])])
+        for (blocks, shares), c in zip(pages, common):
+            labels.append([0 if v == 1 and s < -2 else 1 if v == 0 and s > 4 else v for v, s in zip(page_labels(blocks, shares, c, sums), raw[at : at + len(blocks)])])
             at += len(blocks)
         model = PageModel(_word_weights(pages, labels), traits, alone)
     return model
@@ -318,20 +345,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5.0) -> np.ndarray:
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, site_id, lang, packed, keys``: every page scanned once, written to the shared folder."""
+    """``page_id, site_id, lang, packed, keys, leads``: every page scanned once, written to the shared folder."""
+    names = ["page_id", "site_id", "lang", "packed", "keys", "leads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, packed, keys = [], [], []
-            for source in batch.column(2).to_pylist():
-                blocks = blocks_of(source)
-                langs.append(html_lang(source))
-                packed.append(pack(blocks))
-                keys.append([frame_key(b.text) for b in blocks])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(packed, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["page_id", "site_id", "lang", "packed", "keys"])
+        for whole in batches:
+            for batch in slices(whole):
+                langs, packed, keys, leads = [], [], [], []
+                for source in batch.column(2).to_pylist():
+                    blocks = blocks_of(source)
+                    langs.append(html_lang(source))
+                    packed.append(pack(blocks))
+                    found = [common_keys(b.text) for b in blocks]
+                    keys.append([k[0] for k in found])
+                    leads.append([k[1] for k in found if len(k) > 1])
+                columns = [pa.array(langs, pa.string()), pa.array(packed, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(leads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("site_id").cast("long").alias("site_id"), F.col("html").cast("string").alias("html"))
-    return stored(spread(slim).mapInArrow(run, "page_id long, site_id long, lang string, packed string, keys array<long>"))
+    return stored(spread(slim).mapInArrow(run, "page_id long, site_id long, lang string, packed string, keys array<long>, leads array<long>"))
+
+
+def common_among(parsed: DataFrame, keys: set[int]) -> set[int]:
+    """Those of ``keys``, the keys of a bounded sample, that at least ``COMMON_SITES`` sites show, of all pages."""
+    asked = parsed.sparkSession.createDataFrame(pd.DataFrame({"key": sorted(keys)}, dtype="int64"), "key long")
+    shown = parsed.select("site_id", F.explode(F.array_distinct(F.concat("keys", "leads"))).alias("key")).join(asked, "key", "left_semi")
+    counted = shown.groupBy("key", "site_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("sites")).where(F.col("sites") >= COMMON_SITES)
+    return {r["key"] for r in counted.select("key").collect()}  # at most as many as asked
 
 
 def with_frame_shares(parsed: DataFrame) -> DataFrame:
@@ -352,29 +392,35 @@ def with_frame_shares(parsed: DataFrame) -> DataFrame:
         .agg(F.map_from_entries(F.collect_list(F.struct("key", "share"))).alias("frame"))
     )
     shares = F.when(F.col("frame").isNull(), F.transform("keys", lambda k: F.lit(0.0).cast("float"))).otherwise(F.transform("keys", lambda k: F.coalesce(F.try_element_at(F.col("frame"), k), F.lit(0.0).cast("float"))))
-    return parsed.join(frames, "site_id", "left").select("page_id", "site_id", "lang", "packed", shares.alias("shares"))
+    # where the frames are too many to be sent to every task, a site's pages are spread over SALTS parts
+    copies = frames.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = parsed.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["site_id", "part"], "left").select("page_id", "site_id", "lang", "packed", shares.alias("shares"))
 
 
-def prepared(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[DataFrame, PageModel, list[list[Block]]]:
-    """(pages parsed with their frame shares, the page model, main bodies of the sample it was fitted on).
+def prepared(pages: DataFrame, bound: int = SAMPLE_PAGES) -> tuple[DataFrame, PageModel]:
+    """(pages parsed with their frame shares, the page model).
 
     The sample is at most ``bound`` pages in the order of a hash of their id; those whose markup labels
     their blocks fit the model.
     """
     parsed = parsed_pages(pages)
     shared = with_frame_shares(parsed)
-    sample = sampled(shared.where(F.length("packed") > 0), "page_id", bound, parsed.count())
+    some = F.length("packed") > 0
+    sample = sampled(shared.where(some), "page_id", bound, parsed.where(some).count())
     rows = sample.select("packed", "shares").toPandas()  # bounded
     drawn = [(unpack(p), [float(x) for x in s]) for p, s in zip(rows["packed"], rows["shares"])]
-    model = fit_pages([(blocks, s) for blocks, s in drawn if any(markup_label(b.marks) for b in blocks)])
-    return shared, model, model.main_blocks(drawn)
+    labelled = [(blocks, s) for blocks, s in drawn if any(markup_label(b.marks) for b in blocks)]
+    keys = [[common_keys(b.text) for b in blocks] for blocks, _ in labelled]
+    common = common_among(parsed, {k for own in keys for found in own for k in found}) if keys else set()
+    return shared, fit_pages(labelled, [[any(k in common for k in found) for found in own] for own in keys])
 
 
-Page = tuple[int, str | None, list[Block]]
+Page = tuple[int, str | None, list[Block], int | None]
 
 
 def over_bodies(shared: DataFrame, model: PageModel, make: Callable[[], Callable[[list[Page], dict[str, list[str]]], pa.RecordBatch]], schema: str) -> DataFrame:
-    """One pass over all pages: ``make()``, once a task, gives what turns (page_id, lang, main blocks) of some pages into rows.
+    """One pass over all pages: ``make()``, once a task, gives what turns (page_id, lang, main blocks, site_id) of some pages into rows.
 
     It is also given the words of their texts, found already.
     """
@@ -382,12 +428,12 @@ def over_bodies(shared: DataFrame, model: PageModel, make: Callable[[], Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, turn = WordSums(model.weights), make()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                ids, langs, packed, shares = (c.to_pylist() for c in whole.slice(at, 500).columns)
+            for batch in slices(whole):
+                ids, langs, packed, shares, sites = (c.to_pylist() for c in batch.columns)
                 bodies = model.main_blocks(list(zip(map(unpack, packed), shares)), sums)
-                yield turn(list(zip(ids, langs, bodies)), sums.memo)
+                yield turn(list(zip(ids, langs, bodies, sites)), sums.memo)
 
-    return shared.select("page_id", "lang", "packed", "shares").mapInArrow(run, schema)
+    return shared.select("page_id", "lang", "packed", "shares", "site_id").mapInArrow(run, schema)
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
@@ -396,7 +442,7 @@ def main_bodies(pages: DataFrame) -> DataFrame:
     Null and empty pages and pages without blocks have an empty body; a page captured twice comes out
     under each of its ids; a null site has no frame; other columns are ignored.
     """
-    shared, model, _ = prepared(pages)
+    shared, model = prepared(pages)
 
     def make():
         return lambda rows, _: pa.RecordBatch.from_arrays(
@@ -408,12 +454,12 @@ def main_bodies(pages: DataFrame) -> DataFrame:
 
 def p2_found(pages: DataFrame) -> DataFrame:
     """``page_id, block_no`` of the blocks of each main body."""
-    shared, model, _ = prepared(pages)
+    shared, model = prepared(pages)
 
     def make():
         def turn(rows: list[Page], _) -> pa.RecordBatch:
-            ids = [i for i, _, body in rows for _ in body]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b.no for _, _, body in rows for b in body], pa.int64())], ["page_id", "block_no"])
+            ids = [i for i, _, body, _ in rows for _ in body]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([b.no for _, _, body, _ in rows for b in body], pa.int64())], ["page_id", "block_no"])
 
         return turn
 

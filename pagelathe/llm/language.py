@@ -433,14 +433,14 @@ def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return texts.select("row_id", "text", "written").mapInArrow(run, FOUND)
 
 
-def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
+def page_languages(pages: DataFrame, crawl_records: DataFrame, model: LanguageModel) -> DataFrame:
     """The same for the main bodies of pages and their lang attribute; pages that hold residue are left out.
 
     Segments are main blocks under their numbers.  Bodies are found once and stored, residue is fitted on all of
     them, and one pass finds residue and languages.
     """
     held = page_tokens(pages)
-    residue = fit_bodies(held)
+    residue, _, _ = fit_bodies(held, crawl_records)
     names = [f.split()[0] for f in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,11 +474,11 @@ def coded(df: DataFrame) -> DataFrame:
     return df.select("row_id", "lang", "written").mapInArrow(run, "row_id long, lang string, code string")
 
 
-def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame) -> DataFrame:
+def p4_found(documents: DataFrame, pages: DataFrame, content_reports: DataFrame, crawl_records: DataFrame) -> DataFrame:
     """``origin, row_id, segment_no, lang``: labels that are missing or untrue, and the segments of mixed texts."""
     model = fit_on(documents)
     texts = documents.select(F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("written"))
-    of_pages = stored(page_languages(pages, model).where(F.col("lang").isNotNull()))
+    of_pages = stored(page_languages(pages, crawl_records, model).where(F.col("lang").isNotNull()))
     reports = content_reports.select(F.col("report_id").cast("long").alias("report_id"), F.col("page_id").cast("long").alias("row_id"), F.col("language").cast("string").alias("written"))
     of_reports = coded(of_pages.select("row_id", "lang").join(reports, "row_id").select(F.col("report_id").alias("row_id"), "lang", "written"))
     untrue = F.col("code").isNull() | (F.col("code") != F.col("lang"))

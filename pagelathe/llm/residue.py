@@ -1,10 +1,12 @@
 """Residue where content should stand: template variables, filler, error messages, notices to a visitor.
 
-Naive Bayes from positive and unlabelled passages, by expectation-maximization.  Trusted positives are
-authored messages and placeholders (``phrases``); all else is unlabelled.  The E step gives every
-unlabelled passage its share of each class, the M step counts words with those shares; the trusted
-ones stay positive, and authored sentences about residue negative.  A passage is a block of a page's main body, or a crawl outcome's reason; a page is
-residue if one of its passages is, in full; text amid which residue is merely mentioned is not.
+Naive Bayes from positive and unlabelled passages, by expectation-maximization.  Trusted positives come from
+records: reasons that stand on pages too or under several kinds of outcome, texts that are the whole body of
+pages of several sites, and passages that are template variables by half; beside them a short authored seed
+and the vocabulary of Latin filler.  All else is unlabelled.  The E step gives every unlabelled passage its share
+of each class, the M step counts words with those shares; the trusted ones stay positive, and authored
+sentences about residue negative.  A passage is a block of a page's main body, or a crawl outcome's reason; a
+page is residue if one of its passages is, in full; text amid which residue is merely mentioned is not.
 
 Every page and every different reason takes part in the fit: their tokens are stored once, each round counts
 them where they lie, and a row a token goes to the driver.  Every page and every record is scored.
@@ -20,12 +22,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.boilerplate import _WORD, _begins, over_bodies, prepared, tokens_of
+from pagelathe.llm.boilerplate import _DIGITS, _WORD, _begins, over_bodies, prepared, tokens_of
 from pagelathe.llm.page_blocks import pack_body
 from pagelathe.llm.phrases import ABOUT, FILLER, RESIDUE, phrases
+from pagelathe.llm.placeholders import SIGN, TEMPLATE
 from pagelathe.session import stored
 
 ROUNDS = 4
@@ -36,19 +40,19 @@ AGAINST, CLIP, TRAIT_CLIP = 4.0, 5.0, 9.0
 REASON_AGAINST = 3.0
 #: Words of trusted passages count this often at least, and together this part of all unlabelled words.
 TRUST, TRUST_PART = 3.0, 0.15
+#: Few trusted records count up to this often, to weigh as much as the seeds.
+MOST_TIMES = 10.0
 #: The first share of passages of whose words this part is trusted.
 FIRST, MADE_OF = 0.95, 0.8
 #: A trait such as a template variable counts as so many words there.
 TRAIT_WORDS = 5
+#: Bound of the trusted passages of a kind; a notice stands on so many sites as a body of so many paragraphs of less than so many characters.
+TRUSTED, NOTICE_SITES, SHORT_BODY, SHORT_TEXT = 2_000, 3, 5, 160
+#: A reason of which this part stands under other kinds of outcome than most of it is not the crawler's own.
+OTHER_KIND = 0.1
 
-_NAME = r"[$]?[A-Za-z_][A-Za-z_0-9]*(?:[.\-_][A-Za-z_0-9]+)*"
-_TEMPLATE = re.compile(
-    rf"\{{\{{[^{{}}]*\}}\}}|\{{%[^%]*%\}}|\{{!![^!]*!!\}}|<%[^%]*%>|<\?(?:php|=)[^?]*\?>|[$#]\{{[^{{}}]*\}}|%%{_NAME}%%|@@{_NAME}@@|\*\*\*{_NAME}\*\*\*|__[A-Za-z][A-Za-z_0-9]*?__"
-    rf"|\[\[\s?{_NAME}\s?\]\]|(?<![/\w])\{{\s?{_NAME}\s?\}}|(?<![/\w\]])\[[a-z]+(?:[._][a-z]+)*\](?!\()|«{_NAME}»|(?<!\w)%[A-Z_]+%|(?<!\w)%[sd](?!\w)"
-)
 _NOTHING = re.compile(r"(?:error:?\s*)?(?:undefined|null|nan|none|nil|todo|tbd|n/?a|\[object \w+\]|void 0|true|false)[.!]?\Z", re.I)
 _NO_VALUE = re.compile(r"\bundefined\b|\bNaN\b|\bnull\b|\[object |\bXXX+\b")
-_SIGN = re.compile(r"[{}\[%<«@*_$#]")
 _KEY = re.compile(r"[a-z][\w-]*(?:\.[a-z][\w-]*)+\Z")
 _MARKUP = re.compile(r"<(?:!doctype|/?[a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.I)
 _RUN = re.compile(r"(.)\1{2,}\Z")
@@ -64,8 +68,8 @@ def _traits(text: str) -> tuple[list[str], str | None]:
             return ["§key"], None
         if len(text) < 30 and _NO_VALUE.search(text):
             found.append("§nothing")
-    if _SIGN.search(text):
-        text, n = _TEMPLATE.subn(" ", text)
+    if SIGN.search(text):
+        text, n = TEMPLATE.subn(" ", text)
         found += ["§template"] * min(n, 6)
         if "<" in text:
             text, n = _MARKUP.subn(" ", text)
@@ -88,16 +92,18 @@ def tokens(text: str) -> list[str]:
     return found
 
 
-def trusted() -> list[list[str]]:
+def seeds() -> list[list[str]]:
+    """What is trusted before any record: a short authored seed, filler text, and bare signs of templates."""
     out = [tokens(p) for _, p in phrases(RESIDUE)]
-    out += [tokens(p) for line in FILLER.strip().splitlines() for p in line.split("|")]
-    lorem = " ".join(FILLER.strip().splitlines()[:7]).split()
-    out += [lorem[i : i + 6] for i in range(0, len(lorem), 3)]
-    variable = ["§template"]
-    out += [variable * n for n in (1, 1, 1, 2, 2, 3, 4)] * 20
-    out += [tokens(p) + variable * 2 for p in ("hello your order is on its way to", "dear thank you for your visit", "read more about in", "welcome to", "posted by on", "from per night", "opening hours of", "because")]
-    out += [["§nothing"]] * 40 + [["§key"]] * 20 + [["§markup"] * 3] * 6 + [["§repeated", "§run", "§run"]] * 2 + [["§markup", *tokens("bad gateway")], ["§markup", *tokens("just a moment")]]
-    return out
+    out += [FILLER.split()] * 3
+    out += [["§template"] * n for n in (1, 1, 1, 2, 2, 3, 4)] * 20
+    return out + [["§nothing"]] * 40 + [["§key"]] * 20 + [["§markup"] * 3] * 6 + [["§repeated", "§run", "§run"]] * 2
+
+
+def passage_key(text: str) -> int:
+    """A signed 64-bit key of a passage: letters and digits alone, numbers levelled."""
+    k = xxhash.xxh3_64_intdigest(" ".join(_WORD.findall(_DIGITS.sub("0", text.lower()))))
+    return k - (1 << 64) if k >> 63 else k
 
 
 class Residue:
@@ -179,12 +185,15 @@ class Passages:
                 counter[self.different[i]] += float(found[i])
 
 
-def expectation_maximization(count: Callable[[Residue | frozenset], Counts], against: float, harmless: Iterable[str]) -> Residue:
+def expectation_maximization(count: Callable[[Residue | frozenset], Counts], against: float, harmless: Iterable[str], records: Iterable[list[str]]) -> Residue:
     """The model of the unlabelled passages that ``count`` counts under a model, or under the trusted words at first.
 
-    ``harmless`` passages are held negative, as trusted ones are held positive.
+    ``harmless`` passages are held negative; the trusted ``records`` (tokens) and the seeds are held positive.
     """
-    sure = Counter(t for p in trusted() for t in p)
+    sure, found = Counter(t for p in seeds() for t in p), Counter(t for p in records for t in p)
+    more = max(1.0, min(MOST_TIMES, sum(sure.values()) / max(1, sum(found.values()))))  # as much as the seeds where they are few
+    for t, n in found.items():
+        sure[t] += n * more
     about = Counter({t: n * TRUST for t, n in Counter(t for p in harmless for t in tokens(p)).items()})
     counts = count(frozenset(sure))
     everything = sum(sum(c.values()) for c in counts)
@@ -200,7 +209,7 @@ def expectation_maximization(count: Callable[[Residue | frozenset], Counts], aga
     return model
 
 
-def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, harmless: Iterable[str] = ()) -> Residue:
+def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, harmless: Iterable[str] = (), records: Iterable[list[str]] = ()) -> Residue:
     """The model of unlabelled passages with weights; none at all leaves the trusted ones alone."""
     unlabelled = [(p, w) for p, w in passages if p]
     batch = Passages(pa.array([t for p, _ in unlabelled for t in p], pa.string()), np.array([len(p) for p, _ in unlabelled], dtype=int))
@@ -211,10 +220,10 @@ def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, h
         batch.count(model, times, into)
         return into
 
-    return expectation_maximization(count, against, harmless)
+    return expectation_maximization(count, against, harmless, records)
 
 
-def fit_over(rows: DataFrame, against: float = AGAINST, harmless: Iterable[str] = ()) -> Residue:
+def fit_over(rows: DataFrame, against: float = AGAINST, harmless: Iterable[str] = (), records: Iterable[list[str]] = ()) -> Residue:
     """``fit`` on all passages (tokens) of stored rows of ``passages, times``, counted where they lie."""
 
     def count(model: Residue | frozenset) -> Counts:
@@ -232,7 +241,7 @@ def fit_over(rows: DataFrame, against: float = AGAINST, harmless: Iterable[str]
         table = summed.toPandas()  # a row a token
         return tuple(Counter({t: float(n) for t, n in zip(table["token"], table[c]) if n > 0}) for c in ("positive", "negative"))
 
-    return expectation_maximization(count, against, harmless)
+    return expectation_maximization(count, against, harmless, records)
 
 
 def _weigh(positive: Counter, negative: Counter, against: float) -> Residue:
@@ -249,24 +258,75 @@ def page_passages(blocks: list) -> list[str]:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """``page_id, lang, body, passages, times``: each page's main body, packed, and the tokens of its passages; stored."""
-    shared, page_model, _ = prepared(pages)
+    """``page_id, site_id, lang, body, passages, keys, short, times``: each page's main body, packed, and the tokens and keys of its passages; stored.
+
+    ``short`` tells bodies of at most ``SHORT_BODY`` paragraphs and nothing else but a heading.
+    """
+    shared, page_model = prepared(pages)
+    fields = {"page_id": pa.int64(), "site_id": pa.int64(), "lang": pa.string(), "body": pa.string(), "passages": pa.list_(pa.list_(pa.string())), "keys": pa.list_(pa.int64()), "short": pa.bool_(), "times": pa.float64()}
 
     def make():
         def turn(rows: list, _) -> pa.RecordBatch:
-            passages = [[tokens(p) for p in page_passages(body)] for _, _, body in rows]
-            columns = [[r[0] for r in rows], [r[1] for r in rows], [pack_body(r[2]) for r in rows], passages, [1.0] * len(rows)]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "lang", "body", "passages", "times"])
+            texts = [page_passages(body) for _, _, body, _ in rows]
+            short = [0 < len(t) <= SHORT_BODY and all(b.tag in ("p", "h1") for b in r[2]) and max(map(len, t)) < SHORT_TEXT and any(b.tag == "p" for b in r[2]) for t, r in zip(texts, rows)]
+            columns = [
+                [r[0] for r in rows], [r[3] for r in rows], [r[1] for r in rows], [pack_body(r[2]) for r in rows],
+                [[tokens(p) for p in t] for t in texts], [[passage_key(p) for p in t] for t in texts], short, [1.0] * len(rows),
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, fields.values())], list(fields))
 
         return turn
 
-    return stored(over_bodies(shared, page_model, make, "page_id long, lang string, body string, passages array<array<string>>, times double"))
+    schema = "page_id long, site_id long, lang string, body string, passages array<array<string>>, keys array<long>, short boolean, times double"
+    return stored(over_bodies(shared, page_model, make, schema))
+
 
+def is_placeholder(passage: Column) -> Column:
+    """Whether template variables and the like, each of ``TRAIT_WORDS`` words, make up half of a passage, and words the rest."""
+    traits = F.size(F.filter(passage, lambda t: t.startswith("§")))
+    words = F.size(F.filter(passage, lambda t: ~t.rlike("^[§^]")))
+    return (traits > 0) & (words > 0) & (traits * TRAIT_WORDS >= words)
 
-def fit_bodies(held: DataFrame) -> Residue:
-    """The model of the main bodies of all pages of ``page_tokens``."""
-    return fit_over(held, harmless=[p for _, p in phrases(ABOUT)])
+
+def _drawn(rows: DataFrame) -> list[list[str]]:
+    """At most ``TRUSTED`` different passages, those of the lowest keys."""
+    found = rows.groupBy("key").agg(F.first("passage").alias("passage")).orderBy("key").limit(TRUSTED)
+    return [list(p) for p in found.toPandas()["passage"]]  # bounded
+
+
+def trusted_notices(held: DataFrame) -> tuple[list[list[str]], DataFrame]:
+    """(trusted passages of pages, ``key`` of every passage of pages, stored).
+
+    Trusted is a text that ``NOTICE_SITES`` sites and more show as a page's whole short body, or part of one, and that
+    stands there in half of the cases at least: pages of different sites have no content in common, only notices.  So
+    is a passage that is template variables by half.
+    """
+    seen = held.select("site_id", "short", F.explode(F.array_distinct("keys")).alias("key"))
+    of_site = seen.groupBy("key", "site_id").agg(F.count("*").alias("n"), F.count_if("short").alias("n_short"))
+    counted = stored(of_site.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_short").alias("n_short"), F.count_if((F.col("n_short") > 0) & F.col("site_id").isNotNull()).alias("sites")))
+    notices = counted.where((F.col("sites") >= NOTICE_SITES) & (2 * F.col("n_short") >= F.col("n"))).select("key")
+    each = held.select("short", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("passages").alias("passage"))).alias("e")).select("short", "e.key", "e.passage")
+    shown = each.where("short").select("key", "passage").join(notices, "key", "left_semi")
+    return _drawn(shown) + _drawn(each.where(is_placeholder(F.col("passage")))), counted.select("key")
+
+
+def trusted_reasons(kinds: DataFrame, on_pages: DataFrame) -> list[list[str]]:
+    """Trusted passages of ``reason_tokens``: texts that stand on pages as well, since a crawler's own reason does not.
+
+    So are texts that stand under more than one kind of outcome, as the crawler states each reason under one; and
+    placeholders, as for pages.
+    """
+    shared = kinds.join(on_pages, "key", "left_semi").where(F.size(F.col("passages")[0]) > 0)
+    apart = kinds.where((F.col("times") - F.col("of_kind") >= OTHER_KIND * F.col("times")) | is_placeholder(F.col("passages")[0]))
+    return _drawn(shared.unionByName(apart).select("key", F.col("passages")[0].alias("passage")))
+
+
+def fit_bodies(held: DataFrame, crawl_records: DataFrame) -> tuple[Residue, DataFrame, list[list[str]]]:
+    """(the model of the main bodies of all pages of ``page_tokens``, the tokens of all reasons, those trusted)."""
+    notices, on_pages = trusted_notices(held)
+    kinds = reason_tokens(reasons_of(crawl_records))
+    messages = trusted_reasons(kinds, on_pages)
+    return fit_over(held, harmless=[p for _, p in phrases(ABOUT)], records=messages + notices), kinds, messages
 
 
 def worst(model: Residue, held: pa.Array) -> np.ndarray:
@@ -281,13 +341,11 @@ def worst(model: Residue, held: pa.Array) -> np.ndarray:
     return out
 
 
-def page_scores(pages: DataFrame) -> DataFrame:
+def page_scores(held: DataFrame, model: Residue) -> DataFrame:
     """``origin, row_id, score``: the highest log odds among a page's passages.
 
     Pages without a main body have no passage and no row; rows that repeat are scored each.
     """
-    held = page_tokens(pages)
-    model = fit_bodies(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,24 +355,29 @@ def page_scores(pages: DataFrame) -> DataFrame:
     return scored.where(F.col("score").isNotNull()).select(F.lit("page").alias("origin"), "row_id", "score")
 
 
+def reasons_of(crawl_records: DataFrame) -> DataFrame:
+    """``row_id, reason, kind`` of records whose reason is not blank."""
+    return crawl_records.select(F.col("record_id").cast("long").alias("row_id"), F.trim(F.col("outcome.reason")).alias("reason"), F.col("outcome.kind").alias("kind")).where(F.length("reason") > 0)
+
+
 def reason_tokens(reasons: DataFrame) -> DataFrame:
-    """``passages, times``: the tokens of each different reason, numbers levelled, and how often it stands; stored."""
-    kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason")).agg(F.count("*").cast("double").alias("n"))
+    """``passages, key, times, of_kind``: the tokens of each different reason, numbers levelled, how often it stands, and under its main kind; stored."""
+    kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason"), "kind").agg(F.count("*").cast("double").alias("n")).groupBy("reason").agg(F.sum("n").alias("times"), F.max("n").alias("of_kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([[tokens(r)] for r in batch.column(0).to_pylist()], pa.list_(pa.list_(pa.string()))), batch.column(1)], ["passages", "times"])
+            texts = batch.column(0).to_pylist()
+            passages, keys = pa.array([[tokens(r)] for r in texts], pa.list_(pa.list_(pa.string()))), pa.array([passage_key(r) for r in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([passages, keys, batch.column(1), batch.column(2)], ["passages", "key", "times", "of_kind"])
 
-    return stored(kinds.mapInArrow(run, "passages array<array<string>>, times double"))
+    return stored(kinds.mapInArrow(run, "passages array<array<string>>, key long, times double, of_kind double"))
 
 
-def reason_scores(crawl_records: DataFrame) -> DataFrame:
+def reason_scores(crawl_records: DataFrame, model: Residue) -> DataFrame:
     """``origin, row_id, score``: the log odds of each record's reason.
 
     Null and blank reasons have no row; other columns are ignored; rows that repeat are scored each.
     """
-    reasons = crawl_records.select(F.col("record_id").cast("long").alias("row_id"), F.trim(F.col("outcome.reason")).alias("reason")).where(F.length("reason") > 0)
-    model = fit_over(reason_tokens(reasons), REASON_AGAINST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -323,10 +386,14 @@ def reason_scores(crawl_records: DataFrame) -> DataFrame:
             scores = pa.array([scorer.text(r) for r in different.dictionary.to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores.take(different.indices)], ["row_id", "score"])
 
-    return reasons.mapInArrow(run, "row_id long, score double").select(F.lit("record").alias("origin"), "row_id", "score")
+    scored = reasons_of(crawl_records).select("row_id", "reason").mapInArrow(run, "row_id long, score double")
+    return scored.select(F.lit("record").alias("origin"), "row_id", "score")
 
 
 def p3_found(pages: DataFrame, crawl_records: DataFrame) -> DataFrame:
     """``origin, row_id`` of pages and records that hold residue in place of content."""
-    scores = page_scores(pages).unionByName(reason_scores(crawl_records))
+    held = page_tokens(pages)
+    of_pages, kinds, messages = fit_bodies(held, crawl_records)
+    of_reasons = fit_over(kinds, REASON_AGAINST, records=messages)
+    scores = page_scores(held, of_pages).unionByName(reason_scores(crawl_records, of_reasons))
     return scores.where(F.col("score") > 0).select("origin", "row_id")

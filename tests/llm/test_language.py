@@ -88,8 +88,9 @@ def test_found(spark):
     pages = spark.createDataFrame([(1, page("fr", TEXTS["nl"]), 1, "x"), (2, page("nl", TEXTS["nl"]), 1, "x"), (3, None, 1, "x"), (4, "<html lang=en><body><p>Please enable scripts and reload this page.</p></body></html>", 1, "x")], "page_id long, html string, site_id int, lang string")
     reports = spark.createDataFrame([(50, 1, "nl"), (51, 2, "Dutch"), (52, 2, None), (53, 3, None), (54, 4, None), (55, None, "x")], "report_id long, page_id long, language string")
     documents = spark.createDataFrame(docs, "doc_id long, text string, lang string, code string")
-    got = {tuple(r) for r in language.p4_found(documents, pages, reports).collect()}
+    records = spark.createDataFrame([(1, ("error", "Please enable scripts and reload this page."))], "record_id long, outcome struct<kind:string,reason:string>")
+    got = {tuple(r) for r in language.p4_found(documents, pages, reports, records).collect()}
     assert got == {
         ("document", 100, -1, "en"), ("document", 101, -1, "fr"), ("document", 104, 0, "en"), ("document", 104, 1, "es"), ("document", 104, 2, "es"), ("page", 1, -1, "nl"), ("report", 52, -1, "nl"),
     }
-    assert language.p4_found(documents.limit(0), pages.limit(0), reports.limit(0)).count() == 0
+    assert language.p4_found(documents.limit(0), pages.limit(0), reports.limit(0), records).count() == 0

@@ -25,7 +25,7 @@ def corpus(spark, n=80):
     r = random.Random(5)
     rows = [(i, page(r, i % 4, semantic=i % 4 < 2), i % 4, "x") for i in range(n)]
     rows += [(1000, None, 0, "x"), (1001, "", 0, "x"), (1002, "just text", None, "x"), (1003, page(r, 2, semantic=False), 2, "x"), (1003, page(random.Random(1), 2, semantic=False), 2, "x")]
-    rows.append((1004, page(r, 3, semantic=False, body="<p>Please enable scripts and reload this page.</p>", insert=False), 3, "x"))
+    rows += [(i, page(r, site, semantic=False, body="<p>Kindly wake the hamster behind this window.</p>", insert=False), site, "x") for i, site in ((1004, 3), (1014, 2), (1024, 1), (1034, 0))]
     rows.append((1005, page(r, 1, body="<h1>{{ page.title }}</h1><p>[[author]] ${name}", insert=False), 1, "x"))
     rows.append((1006, page(r, 1, body=f"<h1>Templates</h1><p>{sentence(r)} A template writes {{{{ title }}}} where the old bridge near the market was repaired before.</p><p>{sentence(r)}</p><pre>&lt;h1&gt;{{{{ x }}}}&lt;/h1&gt;</pre>", insert=False), 1, "x"))
     return spark.createDataFrame(rows, "page_id long, html string, site_id int, body string")
@@ -71,18 +71,19 @@ def test_main_bodies(spark):
             assert texts[0].startswith("About the") and any(t.startswith("for x in") for t in texts), i
             assert not any("newsletter" in t or "©" in t or t.endswith((" 0", " 1", " 2", " 3")) for t in texts), (i, texts)
     assert rows[1000] == rows[1001] == rows[1002] == [[]]
-    assert rows[1004] == [["Please enable scripts and reload this page."]] and len(rows[1003]) == 2
+    assert rows[1004] == [["Kindly wake the hamster behind this window."]] and len(rows[1003]) == 2
     assert boilerplate.p2_found(df.limit(0)).count() == 0
     assert {r.block_no for r in boilerplate.p2_found(df).where("page_id = 1004").collect()} == {5}
 
 
 def test_residue_of_pages_and_records(spark):
     reasons = ["timeout after 3 ms"] * 40 + ["robots: disallowed (/u/{id}/*)"] * 40 + ["HTTP 404"] * 30 + ["blocked: the page needs JavaScript and the static driver cannot render"] * 20
-    odd = ["{{ reason }}", "undefined", "Oops! We could not find that page", "robots: {{verdict.reason}}", "lorem ipsum dolor sit amet", None, "  "]
-    rows = [(i, (r,), "x") for i, r in enumerate(reasons)] + [(900 + i, (r,), "x") for i, r in enumerate(odd)] + [(999, None, "x")]
-    records = spark.createDataFrame(rows, "record_id long, outcome struct<reason:string>, score string")
+    odd = ["{{ reason }}", "undefined", "The gnome that keeps our shelves has left", "robots: {{verdict.reason}}", "lorem ipsum dolor sit amet", "kindly wake the hamster behind this window", None, "  "]
+    rows = [(i, ("error", r), "x") for i, r in enumerate(reasons)] + [(900 + i, ("error", r), "x") for i, r in enumerate(odd)]
+    rows += [(950, ("skipped", odd[2]), "x"), (999, None, "x")]  # a message under two kinds is no reason of the crawler's own
+    records = spark.createDataFrame(rows, "record_id long, outcome struct<kind:string,reason:string>, score string")
     found = {(r.origin, r.row_id) for r in residue.p3_found(corpus(spark), records).collect()}
-    assert found == {("page", 1004), ("page", 1005)} | {("record", 900 + i) for i in range(5)}
+    assert found == {("page", i) for i in (1004, 1014, 1024, 1034, 1005)} | {("record", 900 + i) for i in range(6)} | {("record", 950)}
     assert residue.p3_found(corpus(spark).limit(0), records.limit(0)).count() == 0
 
 
