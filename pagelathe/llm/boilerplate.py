@@ -46,7 +46,7 @@ INSERT_COST = -4.5
 FIT_ROUNDS = 3
 SEED_TIMES = 12
 #: A paragraph up to this length that so many sites show is an insert or a notice; within this score of 0 it stays open which.
-SHORT, COMMON_SITES, OPEN = 110, 4, 1.0
+SHORT, COMMON_SITES, OPEN = 110, 3, 1.0
 #: A lead before a colon, as in "read also:", ends within so many characters.
 LEAD = 30
 # What landmarks add to a score, since sites misuse them at times.
