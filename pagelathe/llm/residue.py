@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.boilerplate import _DIGITS, _WORD, _begins, over_bodies, prepared, tokens_of
+from pagelathe.llm.boilerplate import _WORD, _begins, over_bodies, prepared, tokens_of
 from pagelathe.llm.page_blocks import pack_body
 from pagelathe.llm.phrases import ABOUT, FILLER, RESIDUE, phrases
 from pagelathe.llm.placeholders import SIGN, TEMPLATE
@@ -77,16 +77,23 @@ def _traits(text: str) -> tuple[list[str], str | None]:
     return found, text
 
 
-def tokens(text: str) -> list[str]:
-    """Words of a passage, with template variables and other traits of residue as tokens of their own."""
+def tokens(text: str, known: list[str] | None = None) -> list[str]:
+    """Words of a passage, with template variables and other traits of residue as tokens of their own.
+
+    ``known`` are its words without template variables, if they have been found already.
+    """
     found, rest = _traits(text.strip())
     if rest is None:
         return found
-    words = _WORD.findall(rest.lower())
+    words = known if known is not None and "<" not in text else _WORD.findall(rest.lower())
     if len(words) > 3 and len(set(words)) * 2 <= len(words) + 1:
         found.append("§repeated")
     for w in words:
-        found += ["§run"] if len(w) > 2 and _RUN.match(w) else tokens_of(w)
+        c = w[0]
+        if c > "⿿" or c.isdigit() or (len(w) > 2 and c == w[1] == w[2]):
+            found += ["§run"] if len(w) > 2 and _RUN.match(w) else tokens_of(w)
+        else:
+            found.append(w)
     if (begins := _begins(words)) is not None:
         found.append(begins)
     return found
@@ -100,12 +107,19 @@ def seeds() -> list[list[str]]:
     return out + [["§nothing"]] * 40 + [["§key"]] * 20 + [["§markup"] * 3] * 6 + [["§repeated", "§run", "§run"]] * 2
 
 
-def passage_key(text: str) -> int:
-    """A signed 64-bit key of a passage: letters and digits alone, numbers levelled."""
-    k = xxhash.xxh3_64_intdigest(" ".join(_WORD.findall(_DIGITS.sub("0", text.lower()))))
+def passage_key(passage: list[str]) -> int:
+    """A signed 64-bit key of a passage's tokens, so that numbers, variables, case and punctuation do not count."""
+    k = xxhash.xxh3_64_intdigest(" ".join(passage))
     return k - (1 << 64) if k >> 63 else k
 
 
+def placeholder(passage: list[str]) -> bool:
+    """Whether template variables and the like, each of ``TRAIT_WORDS`` words, make up half of a passage, and words the rest."""
+    traits = sum(t[0] == "§" for t in passage)
+    words = sum(t[0] not in "§^" for t in passage)
+    return traits > 0 and words > 0 and traits * TRAIT_WORDS >= words
+
+
 class Residue:
     def __init__(self, weights: dict[str, float], bias: float, unseen: float):
         self.weights, self.bias, self.unseen = weights, bias, unseen
@@ -185,28 +199,28 @@ class Passages:
                 counter[self.different[i]] += float(found[i])
 
 
-def expectation_maximization(count: Callable[[Residue | frozenset], Counts], against: float, harmless: Iterable[str], records: Iterable[list[str]]) -> Residue:
-    """The model of the unlabelled passages that ``count`` counts under a model, or under the trusted words at first.
+class Fit:
+    """One model under way: what is held positive and negative, and the model of the last round."""
 
-    ``harmless`` passages are held negative; the trusted ``records`` (tokens) and the seeds are held positive.
-    """
-    sure, found = Counter(t for p in seeds() for t in p), Counter(t for p in records for t in p)
-    more = max(1.0, min(MOST_TIMES, sum(sure.values()) / max(1, sum(found.values()))))  # as much as the seeds where they are few
-    for t, n in found.items():
-        sure[t] += n * more
-    about = Counter({t: n * TRUST for t, n in Counter(t for p in harmless for t in tokens(p)).items()})
-    counts = count(frozenset(sure))
-    everything = sum(sum(c.values()) for c in counts)
-    times = max(TRUST, TRUST_PART * everything / sum(sure.values()))
-    sure = Counter({t: n * times for t, n in sure.items()})
-    for turn in range(ROUNDS + 1):
-        if turn:
-            counts = count(model)
+    def __init__(self, against: float = AGAINST, harmless: Iterable[str] = (), records: Iterable[list[str]] = ()):
+        self.against = against
+        self.sure, found = Counter(t for p in seeds() for t in p), Counter(t for p in records for t in p)
+        more = max(1.0, min(MOST_TIMES, sum(self.sure.values()) / max(1, sum(found.values()))))  # as much as the seeds where they are few
+        for t, n in found.items():
+            self.sure[t] += n * more
+        self.about = Counter({t: n * TRUST for t, n in Counter(t for p in harmless for t in tokens(p)).items()})
+        self.model: Residue | frozenset = frozenset(self.sure)
+        self.first = True
+
+    def learn(self, counts: Counts) -> None:
+        """The M step: counts of tokens for and against residue, with those that are held."""
         positive, negative = counts
-        positive.update(sure)
-        negative.update(about)
-        model = _weigh(positive, negative, against)
-    return model
+        if self.first:
+            times = max(TRUST, TRUST_PART * (sum(positive.values()) + sum(negative.values())) / sum(self.sure.values()))
+            self.sure, self.first = Counter({t: n * times for t, n in self.sure.items()}), False
+        positive.update(self.sure)
+        negative.update(self.about)
+        self.model = _weigh(positive, negative, self.against)
 
 
 def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, harmless: Iterable[str] = (), records: Iterable[list[str]] = ()) -> Residue:
@@ -214,34 +228,51 @@ def fit(passages: Iterable[tuple[list[str], float]], against: float = AGAINST, h
     unlabelled = [(p, w) for p, w in passages if p]
     batch = Passages(pa.array([t for p, _ in unlabelled for t in p], pa.string()), np.array([len(p) for p, _ in unlabelled], dtype=int))
     times = np.array([w for _, w in unlabelled], dtype=float)
-
-    def count(model: Residue | frozenset) -> Counts:
+    under_way = Fit(against, harmless, records)
+    for _ in range(ROUNDS + 1):
         into = Counter(), Counter()
-        batch.count(model, times, into)
-        return into
+        batch.count(under_way.model, times, into)
+        under_way.learn(into)
+    return under_way.model
 
-    return expectation_maximization(count, against, harmless, records)
 
+def fit_over(*parts: tuple[DataFrame, Fit]) -> list[Residue]:
+    """``fit`` on all passages (tokens) of stored rows of ``passages, times``, counted where they lie; several fits take their rounds together."""
+    rows = [df.select(F.lit(i).alias("part"), "passages", "times") for i, (df, _) in enumerate(parts)]
+    fits = [f for _, f in parts]
+    together = rows[0]
+    for df in rows[1:]:
+        together = together.unionByName(df)
 
-def fit_over(rows: DataFrame, against: float = AGAINST, harmless: Iterable[str] = (), records: Iterable[list[str]] = ()) -> Residue:
-    """``fit`` on all passages (tokens) of stored rows of ``passages, times``, counted where they lie."""
+    def counted() -> list[Counts]:
+        models = [f.model for f in fits]
 
-    def count(model: Residue | frozenset) -> Counts:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            into = Counter(), Counter()
-            for batch in batches:
-                held, times = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-                lists = held.flatten()
-                sizes, per_row = (pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (lists, held))
-                Passages(lists.flatten(), sizes).count(model, np.repeat(times, per_row), into)
-            known = list(into[0].keys() | into[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), *(pa.array([c[t] for t in known], pa.float64()) for c in into)], ["token", "positive", "negative"])
-
-        summed = rows.select("passages", "times").mapInArrow(run, "token string, positive double, negative double").groupBy("token").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+            into: dict[int, Counts] = {}
+            for whole in batches:
+                part = whole.column(0).to_numpy()
+                for i in np.unique(part).tolist():
+                    batch = whole.filter(pa.array(part == i)) if (part != i).any() else whole
+                    held, times = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+                    lists = held.flatten()
+                    sizes, per_row = (pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (lists, held))
+                    Passages(lists.flatten(), sizes).count(models[i], np.repeat(times, per_row), into.setdefault(i, (Counter(), Counter())))
+            out = [(i, t, c[0][t], c[1][t]) for i, c in into.items() for t in c[0].keys() | c[1].keys()]
+            kinds = [pa.int32(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["part", "token", "positive", "negative"])
+
+        summed = together.mapInArrow(run, "part int, token string, positive double, negative double").groupBy("part", "token").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
         table = summed.toPandas()  # a row a token
-        return tuple(Counter({t: float(n) for t, n in zip(table["token"], table[c]) if n > 0}) for c in ("positive", "negative"))
+        out = []
+        for i in range(len(fits)):
+            own = table[table["part"] == i]
+            out.append(tuple(Counter({t: float(n) for t, n in zip(own["token"], own[c]) if n > 0}) for c in ("positive", "negative")))
+        return out
 
-    return expectation_maximization(count, against, harmless, records)
+    for _ in range(ROUNDS + 1):
+        for f, counts in zip(fits, counted()):
+            f.learn(counts)
+    return [f.model for f in fits]
 
 
 def _weigh(positive: Counter, negative: Counter, against: float) -> Residue:
@@ -266,12 +297,13 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     fields = {"page_id": pa.int64(), "site_id": pa.int64(), "lang": pa.string(), "body": pa.string(), "passages": pa.list_(pa.list_(pa.string())), "keys": pa.list_(pa.int64()), "short": pa.bool_(), "times": pa.float64()}
 
     def make():
-        def turn(rows: list, _) -> pa.RecordBatch:
+        def turn(rows: list, known: dict[str, list[str]]) -> pa.RecordBatch:
             texts = [page_passages(body) for _, _, body, _ in rows]
+            passages = [[tokens(p, known.get(p)) for p in t] for t in texts]
             short = [0 < len(t) <= SHORT_BODY and all(b.tag in ("p", "h1") for b in r[2]) and max(map(len, t)) < SHORT_TEXT and any(b.tag == "p" for b in r[2]) for t, r in zip(texts, rows)]
             columns = [
                 [r[0] for r in rows], [r[3] for r in rows], [r[1] for r in rows], [pack_body(r[2]) for r in rows],
-                [[tokens(p) for p in t] for t in texts], [[passage_key(p) for p in t] for t in texts], short, [1.0] * len(rows),
+                passages, [[passage_key(p) for p in own] for own in passages], short, [1.0] * len(rows),
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, fields.values())], list(fields))
 
@@ -281,52 +313,81 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return stored(over_bodies(shared, page_model, make, schema))
 
 
-def is_placeholder(passage: Column) -> Column:
-    """Whether template variables and the like, each of ``TRAIT_WORDS`` words, make up half of a passage, and words the rest."""
-    traits = F.size(F.filter(passage, lambda t: t.startswith("§")))
-    words = F.size(F.filter(passage, lambda t: ~t.rlike("^[§^]")))
-    return (traits > 0) & (words > 0) & (traits * TRAIT_WORDS >= words)
+def _drawn(rows: DataFrame, bound: int) -> list[list[str]]:
+    """At most ``bound`` different passages of ``key, passage``, those of the lowest keys."""
+    found = rows.groupBy("key").agg(F.first("passage").alias("passage")).orderBy("key").limit(bound)
+    return [list(p) for p in found.toPandas()["passage"]]  # bounded
 
 
-def _drawn(rows: DataFrame) -> list[list[str]]:
-    """At most ``TRUSTED`` different passages, those of the lowest keys."""
-    found = rows.groupBy("key").agg(F.first("passage").alias("passage")).orderBy("key").limit(TRUSTED)
-    return [list(p) for p in found.toPandas()["passage"]]  # bounded
+def passage_counts(held: DataFrame) -> DataFrame:
+    """``key, n, n_short, sites`` of every passage of pages: pages that show it, short bodies among them, and 64 bits in which sites of those leave a mark; stored.
 
+    Counts are summed in each batch before they are shuffled.
+    """
 
-def trusted_notices(held: DataFrame) -> tuple[list[list[str]], DataFrame]:
-    """(trusted passages of pages, ``key`` of every passage of pages, stored).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sites, short = batch.column(0), batch.column(1), pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False))
+            pairs = np.unique(np.stack([keys.flatten().to_numpy(zero_copy_only=False), owner], axis=1), axis=0) if len(owner) else np.zeros((0, 2), dtype=np.int64)
+            known = pc.is_valid(sites).to_numpy(zero_copy_only=False)
+            bit = np.array([xxhash.xxh3_64_intdigest(str(x)) % 63 if x is not None else 0 for x in sites.to_pylist()], dtype=np.int64)
+            mark = np.where(short & known, np.int64(1) << bit, np.int64(0))
+            different, at = np.unique(pairs[:, 0], return_inverse=True)
+            marks = np.zeros(len(different), dtype=np.int64)
+            np.bitwise_or.at(marks, at, mark[pairs[:, 1]])
+            n, n_short = np.bincount(at, minlength=len(different)), np.bincount(at, short[pairs[:, 1]].astype(float), minlength=len(different)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(different, pa.int64()), pa.array(n, pa.int64()), pa.array(n_short, pa.int64()), pa.array(marks, pa.int64())], ["key", "n", "n_short", "sites"])
+
+    each = held.select("keys", "site_id", "short").mapInArrow(run, "key long, n long, n_short long, sites long")
+    return stored(each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_short").alias("n_short"), F.bit_or("sites").alias("sites")))
+
+
+def trusted_notices(held: DataFrame, counts: DataFrame) -> list[list[str]]:
+    """Trusted passages of pages, at most ``TRUSTED`` notices and as many placeholders.
 
     Trusted is a text that ``NOTICE_SITES`` sites and more show as a page's whole short body, or part of one, and that
     stands there in half of the cases at least: pages of different sites have no content in common, only notices.  So
     is a passage that is template variables by half.
     """
-    seen = held.select("site_id", "short", F.explode(F.array_distinct("keys")).alias("key"))
-    of_site = seen.groupBy("key", "site_id").agg(F.count("*").alias("n"), F.count_if("short").alias("n_short"))
-    counted = stored(of_site.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_short").alias("n_short"), F.count_if((F.col("n_short") > 0) & F.col("site_id").isNotNull()).alias("sites")))
-    notices = counted.where((F.col("sites") >= NOTICE_SITES) & (2 * F.col("n_short") >= F.col("n"))).select("key")
-    each = held.select("short", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("passages").alias("passage"))).alias("e")).select("short", "e.key", "e.passage")
-    shown = each.where("short").select("key", "passage").join(notices, "key", "left_semi")
-    return _drawn(shown) + _drawn(each.where(is_placeholder(F.col("passage")))), counted.select("key")
+    notices = counts.where((F.bit_count("sites") >= NOTICE_SITES) & (2 * F.col("n_short") >= F.col("n")))
+    wanted = frozenset(r["key"] for r in notices.select("key").orderBy("key").limit(TRUSTED).collect())  # bounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).flatten()
+            keys = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            _, first = np.unique(keys, return_index=True)
+            passages = lists.take(pa.array(first)).to_pylist()
+            out = [(int(keys[i]), p) for i, p in zip(first, passages) if int(keys[i]) in wanted or placeholder(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([p for _, p in out], pa.list_(pa.string()))], ["key", "passage"])
+
+    return _drawn(held.select("keys", "passages").mapInArrow(run, "key long, passage array<string>"), 2 * TRUSTED)
 
 
-def trusted_reasons(kinds: DataFrame, on_pages: DataFrame) -> list[list[str]]:
+def trusted_reasons(kinds: DataFrame, counts: DataFrame) -> list[list[str]]:
     """Trusted passages of ``reason_tokens``: texts that stand on pages as well, since a crawler's own reason does not.
 
     So are texts that stand under more than one kind of outcome, as the crawler states each reason under one; and
     placeholders, as for pages.
     """
-    shared = kinds.join(on_pages, "key", "left_semi").where(F.size(F.col("passages")[0]) > 0)
-    apart = kinds.where((F.col("times") - F.col("of_kind") >= OTHER_KIND * F.col("times")) | is_placeholder(F.col("passages")[0]))
-    return _drawn(shared.unionByName(apart).select("key", F.col("passages")[0].alias("passage")))
+    shared = kinds.join(counts.select("key"), "key", "left_semi").where(F.size(F.col("passages")[0]) > 0)
+    apart = kinds.where((F.col("times") - F.col("of_kind") >= OTHER_KIND * F.col("times")) | F.col("placeholder"))
+    return _drawn(shared.unionByName(apart, allowMissingColumns=True).select("key", F.col("passages")[0].alias("passage")), TRUSTED)
 
 
-def fit_bodies(held: DataFrame, crawl_records: DataFrame) -> tuple[Residue, DataFrame, list[list[str]]]:
-    """(the model of the main bodies of all pages of ``page_tokens``, the tokens of all reasons, those trusted)."""
-    notices, on_pages = trusted_notices(held)
+def begun(held: DataFrame, crawl_records: DataFrame) -> tuple[Fit, DataFrame, Fit]:
+    """(the fit of main bodies of ``page_tokens``, the tokens of all reasons, the fit of those)."""
+    counts = passage_counts(held)
     kinds = reason_tokens(reasons_of(crawl_records))
-    messages = trusted_reasons(kinds, on_pages)
-    return fit_over(held, harmless=[p for _, p in phrases(ABOUT)], records=messages + notices), kinds, messages
+    messages = trusted_reasons(kinds, counts)
+    of_pages = Fit(harmless=[p for _, p in phrases(ABOUT)], records=messages + trusted_notices(held, counts))
+    return of_pages, kinds, Fit(REASON_AGAINST, records=messages)
+
+
+def fit_bodies(held: DataFrame, crawl_records: DataFrame) -> Residue:
+    """The model of the main bodies of all pages of ``page_tokens``."""
+    return fit_over((held, begun(held, crawl_records)[0]))[0]
 
 
 def worst(model: Residue, held: pa.Array) -> np.ndarray:
@@ -361,16 +422,16 @@ def reasons_of(crawl_records: DataFrame) -> DataFrame:
 
 
 def reason_tokens(reasons: DataFrame) -> DataFrame:
-    """``passages, key, times, of_kind``: the tokens of each different reason, numbers levelled, how often it stands, and under its main kind; stored."""
+    """``passages, key, placeholder, times, of_kind``: the tokens of each different reason, numbers levelled, how often it stands, and under its main kind; stored."""
     kinds = reasons.groupBy(F.regexp_replace("reason", r"\d+", "0").alias("reason"), "kind").agg(F.count("*").cast("double").alias("n")).groupBy("reason").agg(F.sum("n").alias("times"), F.max("n").alias("of_kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            passages, keys = pa.array([[tokens(r)] for r in texts], pa.list_(pa.list_(pa.string()))), pa.array([passage_key(r) for r in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([passages, keys, batch.column(1), batch.column(2)], ["passages", "key", "times", "of_kind"])
+            own = [tokens(r) for r in batch.column(0).to_pylist()]
+            columns = [pa.array([[p] for p in own], pa.list_(pa.list_(pa.string()))), pa.array(map(passage_key, own), pa.int64()), pa.array(map(placeholder, own), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1), batch.column(2)], ["passages", "key", "placeholder", "times", "of_kind"])
 
-    return stored(kinds.mapInArrow(run, "passages array<array<string>>, key long, times double, of_kind double"))
+    return stored(kinds.mapInArrow(run, "passages array<array<string>>, key long, placeholder boolean, times double, of_kind double"))
 
 
 def reason_scores(crawl_records: DataFrame, model: Residue) -> DataFrame:
@@ -393,7 +454,7 @@ def reason_scores(crawl_records: DataFrame, model: Residue) -> DataFrame:
 def p3_found(pages: DataFrame, crawl_records: DataFrame) -> DataFrame:
     """``origin, row_id`` of pages and records that hold residue in place of content."""
     held = page_tokens(pages)
-    of_pages, kinds, messages = fit_bodies(held, crawl_records)
-    of_reasons = fit_over(kinds, REASON_AGAINST, records=messages)
+    bodies, kinds, reasons = begun(held, crawl_records)
+    of_pages, of_reasons = fit_over((held, bodies), (kinds, reasons))
     scores = page_scores(held, of_pages).unionByName(reason_scores(crawl_records, of_reasons))
     return scores.where(F.col("score") > 0).select("origin", "row_id")

@@ -21,8 +21,7 @@ def test_every_page_takes_part_in_the_fit(spark):
     pages = spark.createDataFrame([(i, i % 900, h) for i, h in enumerate(html)], "page_id long, site_id long, html string")
     held = residue.page_tokens(pages)
     no_records = spark.createDataFrame([], "record_id long, outcome struct<kind:string,reason:string>")
-    model, _, messages = residue.fit_bodies(held, no_records)
-    assert messages == []
+    model = residue.fit_bodies(held, no_records)
     bodies = [unpack_body(r.body) for r in held.select("body").collect()]
     close(model, residue.fit(((residue.tokens(p), 1.0) for body in bodies for p in residue.page_passages(body)), harmless=[p for _, p in phrases(ABOUT)]))
     assert sum(t.startswith("word") and len(t) == 7 for t in model.weights) == n
@@ -31,7 +30,7 @@ def test_every_page_takes_part_in_the_fit(spark):
 def test_every_reason_takes_part_in_the_fit(spark):
     reasons = [f"timeout of host {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + ["undefined", "{{ x }}"] * 5
     held = residue.reason_tokens(spark.createDataFrame([(r, "error") for r in reasons], "reason string, kind string"))
-    close(residue.fit_over(held, residue.REASON_AGAINST), residue.fit(((residue.tokens(r), float(reasons.count(r))) for r in set(reasons)), residue.REASON_AGAINST))
+    close(residue.fit_over((held, residue.Fit(residue.REASON_AGAINST)))[0], residue.fit(((residue.tokens(r), float(reasons.count(r))) for r in set(reasons)), residue.REASON_AGAINST))
 
 
 def test_worst_passage_of_a_page(spark):
