@@ -1,14 +1,19 @@
 """Languages of texts and of their segments, where labels are missing or untrue.
 
 A linear-chain conditional random field labels the words of a line: emissions from the word itself,
-its affixes and its character n-grams, transitions learned by expected counts; forward-backward gives
-each word a distribution over languages.  A second chain of the same kind runs over the lines of a text
+its affixes and its character n-grams, and transitions between words.  Both are trained together by the
+gradient of the conditional log-likelihood, found by forward-backward; at prediction forward-backward gives
+each word a distribution over languages.  A second chain runs over the lines of a text
 (the main blocks of a page) with the words' expected characters as evidence, so that a line of code or
 names takes its neighbours' language; its posterior is the confidence.
 
-The emissions are fitted on at most ``FIT_TEXTS`` texts that carry the label of a supported language,
-in the order of a hash, twice: the second time only those texts count whose label the first fit
-confirms, so that untrue labels drop out.  Everyday words anchor each language.
+The field is trained on at most ``FIT_TEXTS`` texts that carry the label of a supported language,
+in the order of a hash: a regression by word gives first weights, texts whose label it does not confirm drop out,
+and the field is trained on ``CRF_LINES`` drawn runs of the words that are left, some of them joined across
+languages.  Everyday words anchor each language.
+
+A text mostly in the script of one other language is in that language; one whose words are made of n-grams the
+fit never saw in the language found is in none that is known, and has no row.
 """
 
 from __future__ import annotations
@@ -28,13 +33,21 @@ from pyspark.sql import functions as F
 from pagelathe.llm.page_blocks import unpack_body
 from pagelathe.llm.residue import fit_bodies, page_tokens, worst
 from pagelathe.llm.tongues import EVERYDAY, ISO_639_1, SPELLINGS, table
-from pagelathe.session import sampled, spread, stored
+from pagelathe.session import sampled, slices, spread, stored
 
 FIT_TEXTS = 4_000
 LANGUAGES = [lang for lang, _ in table(EVERYDAY)]
 BUCKETS = 1 << 15
 #: Words whose emissions a worker remembers.
 CACHE = 300_000
+#: Characters of a word that are looked at together.
+WINDOW = 40
+#: Runs of words the field is trained on, their longest, the share of them that changes language, steps of the gradient.
+CRF_LINES, CRF_WORDS, CRF_SWITCH, CRF_STEPS = 6_000, 16, 0.15, 20
+#: Below this share of n-grams the fit has seen in the language found, of so many words and more, a text is in none that is known.
+SEEN, SEEN_WORDS = 0.5, 5
+# Scripts that name a language by themselves.
+SCRIPTS = (("ko", r"[가-힯]"), ("ar", r"[؀-ۿ]"), ("hi", r"[ऀ-ॿ]"), ("he", r"[֐-׿]"), ("el", r"[Ͱ-Ͽ]"), ("th", r"[฀-๿]"))
 #: What a line must hold to make a text mixed: words of its language, and confidence.
 OWN_WORDS, OWN_PART, SURE = 4, 0.6, 0.8
 # Labels that name no single language.
@@ -42,6 +55,8 @@ NO_LANGUAGE = frozenset("mul und zxx mis xx x default unknown none null other mu
 
 _ALIASES = {alias: code for code, aliases in table(SPELLINGS) for alias in aliases}
 _WORD = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[\u3000-\uffff]+|[^\u3000-\uffff]+")
+_OTHER_SCRIPT = re.compile("|".join(p for _, p in SCRIPTS))
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _CODE = re.compile(r"^(?:\s{4,}|\t)\S|[{};]\s*$|^\s*(?:at \w+ \(|\$ |>>> |<[a-z!/])|\w+\(\)|\w=\S+ \w+=")
 
@@ -63,10 +78,14 @@ def label_of(written: str | None) -> str | None:
 
 
 def parts_of(word: str) -> list[str]:
-    """The parts of one lower-case word: text without spaces in pairs of characters, endless words by their beginning."""
-    if word[0] > "⿿":
-        return [word[i : i + 2] for i in range(0, len(word), 2)]
-    return [word[:40]]
+    """The parts of one lower-case word: runs of one script, text without spaces in pairs of characters, endless words in windows."""
+    if len(word) <= WINDOW and word.isascii():
+        return [word]
+    out = []
+    for run in _RUNS.findall(word):
+        size = 2 if run[0] > "⿿" else WINDOW
+        out += [run[i : i + size] for i in range(0, len(run), size)]
+    return out
 
 
 @lru_cache(maxsize=10_000)
@@ -99,15 +118,25 @@ def _bucket(trait: str) -> int:
 class LanguageModel:
     """Emission weights by hashed trait, transitions of words within a line and of lines within a text."""
 
-    def __init__(self, weights: np.ndarray, words: np.ndarray, lines: np.ndarray):
+    def __init__(self, weights: np.ndarray, words: np.ndarray, lines: np.ndarray, seen: np.ndarray | None = None, told: np.ndarray | None = None):
         self.weights, self.words, self.lines = weights, words, lines
+        self.seen = seen if seen is not None else np.zeros(weights.shape, dtype=bool)
+        self.told = told if told is not None else np.zeros(weights.shape[1], dtype=bool)  # languages of which enough was seen to tell strange n-grams
         self.key = zlib.crc32(weights.tobytes() + words.tobytes() + lines.tobytes())
 
     def emissions(self, word: str) -> np.ndarray:
         """Log scores of a word, one a language; none of them certain."""
-        s = self.weights[[_bucket(t) for t in _traits(word)]].sum(axis=0)
+        return self.scored(word)[0]
+
+    def scored(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """(``emissions``, by language the share of its n-grams that the fit has seen there)."""
+        traits = _traits(word)
+        buckets = [_bucket(t) for t in traits]
+        s = self.weights[buckets].sum(axis=0)
         s = s - s.max()
-        return np.maximum(s - math.log(np.exp(s).sum()), -7.0)
+        grams = [b for b, t in zip(buckets, traits) if t[0] in "nc"]
+        seen = self.seen[grams].mean(axis=0) if grams else np.ones(len(LANGUAGES))
+        return np.maximum(s - math.log(np.exp(s).sum()), -7.0), seen
 
 
 class Labeller(dict):
@@ -123,19 +152,24 @@ class Labeller(dict):
         self.lists: list[list[int]] = []
         self.rows = np.zeros((4096, len(LANGUAGES)), dtype=np.float32)
         self.lengths = np.zeros(4096, dtype=np.float32)
+        self.seen = np.zeros((4096, len(LANGUAGES)), dtype=np.float32)
         self.used = 0
-        self.parts: dict[str, int] = {}
+        self.parts: dict[tuple[str, bool], int] = {}
 
-    def _row(self, part: str) -> int:
-        k = self.parts.get(part)
+    def _row(self, part: str, endless: bool = False) -> int:
+        """The row of a part; one of an endless word counts only as far as its n-grams are known in some language."""
+        k = self.parts.get((part, endless))
         if k is None:
-            k = self.parts[part] = self.used
+            k = self.parts[part, endless] = self.used
             self.used += 1
             if k >= len(self.rows):
                 self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
                 self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.rows[k] = np.exp(self.model.emissions(part))
-            self.lengths[k] = len(part)
+                self.seen = np.vstack([self.seen, np.zeros_like(self.seen)])
+            emissions, seen = self.model.scored(part)
+            self.rows[k] = np.exp(emissions)
+            self.seen[k] = np.where(self.model.told, seen, 1.0)
+            self.lengths[k] = len(part) * (seen.max() if endless else 1.0)
         return k
 
     def __missing__(self, word: str) -> int:
@@ -146,7 +180,8 @@ class Labeller(dict):
         if len(parts) == 1:
             v = self._row(parts[0])
         else:
-            self.lists.append([self._row(p) for p in parts])
+            endless = len(word) > WINDOW and word[0] < "\u3000"
+            self.lists.append([self._row(p, endless) for p in parts])
             v = -1 - len(self.lists)
         self[word] = v
         return v
@@ -161,8 +196,8 @@ class Labeller(dict):
             return [k for f in found if f != -1 for k in ((f,) if f >= 0 else self.lists[-2 - f])]
         return found
 
-    def texts(self, texts: list[list[str]], known: dict[str, list[str]] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text, given as its segments: (language index, confidence, expected characters by language, words) a segment."""
+    def texts(self, texts: list[list[str]], known: dict[str, list[str]] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text, given as its segments: (language index, confidence, expected characters by language, words, share of seen n-grams) a segment."""
         known = known or {}
         if len(self) > CACHE:
             self.forget()
@@ -182,9 +217,13 @@ class Labeller(dict):
         evidence = np.exp(strength * np.log((chars + 0.02 * total + 1e-3) / (total * (1 + 0.02 * len(LANGUAGES)) + 1e-3 * len(LANGUAGES)))).astype(np.float32)
         posterior = chain_posteriors(evidence, np.array(flat, dtype=np.int64), self.model.lines)
         best, sure = (posterior.argmax(axis=1), posterior.max(axis=1)) if len(posterior) else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        seen = np.zeros(len(sizes_a))
+        if ids:
+            owner = np.repeat(np.arange(len(sizes_a)), sizes_a)
+            seen = np.bincount(owner, self.seen[ids_a, best[owner]], minlength=len(sizes_a))
         out, at = [], 0
         for n in flat:
-            out.append((best[at : at + n], sure[at : at + n], chars[at : at + n], sizes_a[at : at + n]))
+            out.append((best[at : at + n], sure[at : at + n], chars[at : at + n], sizes_a[at : at + n], seen[at : at + n]))
             at += n
         return out
 
@@ -275,29 +314,39 @@ def _sticky(stay: float) -> np.ndarray:
     return np.full((k, k), (1 - stay) / (k - 1)) + np.eye(k) * (stay - (1 - stay) / (k - 1))
 
 
-def _fit_emissions(counts: dict[str, np.ndarray], rounds: int = 60) -> np.ndarray:
+def _trait_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of a word, of its trait among those used) of every trait of every word, and the buckets used."""
+    rows, cols = [], []
+    for i, w in enumerate(words):
+        b = [_bucket(t) for t in _traits(w)]
+        rows += [i] * len(b)
+        cols += b
+    used, cols = np.unique(np.array(cols, dtype=np.int64), return_inverse=True)
+    return np.array(rows, dtype=np.int64), cols, used
+
+
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` summed by ``index``."""
+    return np.stack([np.bincount(index, values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
+
+
+def _fit_emissions(counts: dict[str, np.ndarray], rounds: int = 40) -> np.ndarray:
     """Multinomial regression of the language on a word's traits, by adaptive gradient steps."""
     words = list(counts)
     y = np.array([counts[w] for w in words])
     n = y.sum(axis=1)
     y = y / n[:, None]
     weight = np.minimum(n, 30.0) ** 0.5
-    rows, cols = [], []
-    for i, w in enumerate(words):
-        b = [_bucket(t) for t in _traits(w)]
-        rows += [i] * len(b)
-        cols += b
-    rows, cols = np.array(rows), np.array(cols)
-    used, cols = np.unique(cols, return_inverse=True)
+    rows, cols, used = _trait_rows(words)
     k = y.shape[1]
     w, g2 = np.zeros((len(used), k)), np.full((len(used), k), 1e-2)
     for _ in range(rounds):
-        z = np.stack([np.bincount(rows, w[cols, j], minlength=len(words)) for j in range(k)], axis=1)
+        z = _sums(rows, w[cols], len(words))
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
         d = (p - y) * weight[:, None]
-        g = np.stack([np.bincount(cols, d[rows, j], minlength=len(used)) for j in range(k)], axis=1) + 0.02 * w
+        g = _sums(cols, d[rows], len(used)) + 0.02 * w
         g2 += g * g
         w -= 0.6 * g / np.sqrt(g2)
     full = np.zeros((BUCKETS, k))
@@ -305,12 +354,101 @@ def _fit_emissions(counts: dict[str, np.ndarray], rounds: int = 60) -> np.ndarra
     return full
 
 
+def log_likelihood(z: np.ndarray, t: np.ndarray, ids: np.ndarray, gold: np.ndarray, sizes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The conditional log-likelihood of labelled runs of words, with its gradients by emission score and by transition.
+
+    ``z`` are scores by word and label, ``t`` by label and next; ``ids`` and ``gold`` the words and labels of all runs
+    one after another, ``sizes`` the lengths of the runs.
+    """
+    k = z.shape[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    gz, gt, total = np.zeros_like(z), np.zeros_like(t), 0.0
+    a = np.exp(t)
+    for runs, longest in _by_length(sizes):
+        n, steps = sizes[runs], np.arange(longest)[:, None]
+        where = np.minimum(starts[runs][None, :] + steps, len(ids) - 1)
+        live = steps < n[None, :]
+        word, label = ids[where], gold[where]
+        e = z[word]
+        top = e.max(axis=2, keepdims=True)
+        e = np.exp(e - top)
+        alpha, norm = np.empty_like(e), np.ones(live.shape)
+        for s in range(longest):
+            f = e[s] if s == 0 else (alpha[s - 1] @ a) * e[s]
+            norm[s] = np.where(live[s], f.sum(axis=1), 1.0)
+            alpha[s] = f / f.sum(axis=1, keepdims=True)
+        total -= (np.log(norm)[live].sum() + top[:, :, 0][live].sum())
+        total += z[word[live], label[live]].sum()
+        beta = np.ones((len(runs), k))
+        for s in range(longest - 1, -1, -1):
+            on = live[s]
+            p = alpha[s] * beta
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(runs)), label[s]] -= 1.0
+            gz -= _sums(word[s][on], p[on], len(z))
+            if s:
+                right = (e[s] * beta)[on]
+                pair = alpha[s - 1][on].T @ (right / ((alpha[s - 1][on] @ a) * right).sum(axis=1, keepdims=True)) * a
+                before, after = label[s - 1][on], label[s][on]
+                total += t[before, after].sum()
+                gt -= pair
+                np.add.at(gt, (before, after), 1.0)
+                b = (e[s] * beta) @ a.T
+                beta = np.where(on[:, None], b / b.sum(axis=1, keepdims=True), 1.0)
+    return total, gz, gt
+
+
+def _fit_field(weights: np.ndarray, runs: list[tuple[list[str], list[int]]], steps: int = CRF_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(emission weights, transition scores) that raise the likelihood of labelled runs, from weights to begin with."""
+    place: dict[str, int] = {}
+    ids = np.array([place.setdefault(w, len(place)) for ws, _ in runs for w in ws], dtype=np.int64)
+    gold = np.array([y for _, ys in runs for y in ys], dtype=np.int64)
+    sizes = np.array([len(ws) for ws, _ in runs], dtype=np.int64)
+    rows, cols, used = _trait_rows(list(place))
+    w, first = weights[used].copy(), weights[used]
+    t = np.log(_sticky(0.9))
+    begin = t.copy()
+    gw2, gt2 = np.full(w.shape, 1e-2), np.full(t.shape, 1.0)
+    for _ in range(steps):
+        _, gz, gt = log_likelihood(_sums(rows, w[cols], len(place)), t, ids, gold, sizes)
+        gw = _sums(cols, gz[rows], len(used)) - 0.05 * (w - first)
+        gt = gt - 0.5 * (t - begin)
+        gw2 += gw * gw
+        gt2 += gt * gt
+        w += 0.2 * gw / np.sqrt(gw2)
+        t += 0.2 * gt / np.sqrt(gt2)
+    out = weights.copy()
+    out[used] = w
+    return out, t
+
+
+def _training_runs(texts: list[tuple[list[str], int]], seed: int = 11) -> list[tuple[list[str], list[int]]]:
+    """At most ``CRF_LINES`` runs of words with their labels, drawn over all lines and all of each line; some join two languages."""
+    draw = np.random.default_rng(seed)
+    pieces = []
+    for lines, y in texts:
+        for line in lines:
+            words = words_in(line)
+            pieces += [(words[i : i + CRF_WORDS], y) for i in range(0, len(words), CRF_WORDS)]
+    if not pieces:
+        return []
+    out = []
+    for i in draw.permutation(len(pieces))[:CRF_LINES].tolist():
+        words, y = pieces[i]
+        labels = [y] * len(words)
+        if draw.random() < CRF_SWITCH:
+            more, other = pieces[int(draw.integers(len(pieces)))]
+            words, labels = words[: CRF_WORDS // 2] + more[: CRF_WORDS // 2], labels[: CRF_WORDS // 2] + [other] * len(more[: CRF_WORDS // 2])
+        out.append((words, labels))
+    return out
+
+
 def fit_languages(texts: list[tuple[str, str | None]]) -> LanguageModel:
     """The model of (text, label as written); everyday words alone make one of no texts at all."""
     place = {lang: i for i, lang in enumerate(LANGUAGES)}
     k = len(LANGUAGES)
     labelled = [(t.split("\n"), place[c]) for t, written in texts if t and (c := label_of(written)) in place]
-    model = None
+    model, confirmed = None, labelled
     for _ in range(2):
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.full(k, 1e-3))
         for lang, ws in table(EVERYDAY):
@@ -318,52 +456,68 @@ def fit_languages(texts: list[tuple[str, str | None]]) -> LanguageModel:
                 for x in words_in(w):
                     counts[x][place[lang]] += 25.0
         held = [0.0] * k
-        agreed = Labeller(model).texts([lines for lines, _ in labelled]) if model and labelled else None
-        for i, (lines, y) in enumerate(labelled):
-            if agreed is not None:
-                seen = agreed[i][2].sum(axis=0)
-                if seen.sum() <= 0 or seen[y] < 0.9 * seen.sum():
-                    continue
+        if model and labelled:
+            agreed = Labeller(model).texts([lines for lines, _ in labelled])
+            shares = [(found[2].sum(axis=0), y) for found, (_, y) in zip(agreed, labelled)]
+            confirmed = [own for own, (seen, y) in zip(labelled, shares) if seen.sum() > 0 and seen[y] >= 0.9 * seen.sum()]
+        for lines, y in confirmed:
             for line in lines:
                 for w, n in Counter(words_in(line)).items():
                     counts[w][y] += n
                     held[y] += n
         # a language with many texts must not outweigh the others in words they share
         scale = np.array([1.0 / max(h, 2000.0) for h in held]) * 2000.0
-        counts = {w: c * np.maximum(scale, 0.02) for w, c in counts.items()}
-        model = LanguageModel(_fit_emissions(counts), _sticky(0.97), _sticky(0.8))
+        scaled = {w: c * np.maximum(scale, 0.02) for w, c in counts.items()}
+        model = LanguageModel(_fit_emissions(scaled), _sticky(0.97), _sticky(0.8))
+    seen = np.zeros((BUCKETS, k), dtype=bool)
+    for w, c in counts.items():
+        seen[np.ix_([_bucket(x) for x in _traits(w) if x[0] in "nc"], np.flatnonzero(c >= 1.0))] = True
+    told = np.array(held) >= 2000.0
+    model = LanguageModel(model.weights, model.words, model.lines, seen, told)
+    runs = _training_runs(confirmed)
+    if runs:
+        weights, t = _fit_field(model.weights, runs)
+        model = LanguageModel(weights, np.exp(t - t.max()), model.lines, seen, told)
     if labelled:
-        model = LanguageModel(model.weights, *_transitions(model, [lines for lines, _ in labelled]))
+        model = LanguageModel(model.weights, model.words, _line_transitions(model, [lines for lines, _ in labelled]), seen, told)
     return model
 
 
-def _transitions(model: LanguageModel, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Transitions by expected counts: between neighbouring words of a line, and neighbouring lines of a text."""
+def _line_transitions(model: LanguageModel, texts: list[list[str]]) -> np.ndarray:
+    """Transitions between neighbouring lines of a text, by expected counts."""
     k = len(LANGUAGES)
-    labeller = Labeller(model)
-    of_lines, of_words = np.full((k, k), 0.2) + np.eye(k) * 20, np.full((k, k), 0.2) + np.eye(k) * 40
-    for found, confidence, _, _ in labeller.texts(texts):
+    of_lines = np.full((k, k), 0.2) + np.eye(k) * 20
+    for found, confidence, *_ in Labeller(model).texts(texts):
         for a, b, c, d in zip(found[:-1], found[1:], confidence[:-1], confidence[1:]):
             of_lines[a, b] += c * d
-    for line in (line for lines in texts for line in lines):
-        rows = labeller.line(line)
-        if len(rows) > 1:
-            e = labeller.rows[rows][:, None, :]
-            p = _forward_backward(e, np.array([len(rows)]), model.words.astype(np.float32))[:, 0, :]
-            of_words += p[:-1].T @ p[1:]
-    return of_words / of_words.sum(axis=1, keepdims=True), of_lines / of_lines.sum(axis=1, keepdims=True)
+    return of_lines / of_lines.sum(axis=1, keepdims=True)
+
+
+def foreign(segments: list[str]) -> tuple[str, float] | None:
+    """(language, share of the letters) of a text that is mostly in the script of one other language."""
+    text = "".join(segments)
+    if not _OTHER_SCRIPT.search(text):
+        return None
+    letters = sum(map(len, _WORD.findall(text)))
+    n, lang = max((len(re.findall(p, text)), lang) for lang, p in SCRIPTS)
+    return (lang, n / letters) if 2 * n > letters else None
 
 
-def verdicts(segments: list[str], code, found, confidence, chars, words) -> tuple[str | None, float, list[str] | None]:
+def verdicts(segments: list[str], code, quoted, found, confidence, chars, words, seen) -> tuple[str | None, float, list[str] | None]:
     """(main language, its confidence, languages of the segments if the text is mixed) of one text.
 
-    None without words.  ``code`` tells which segments are code; it is asked only where languages differ.
-    A segment makes a text mixed only with enough prose of its own language.
+    None without words, or in no language that is known.  ``code`` and ``quoted`` tell which segments are code and
+    quotations; they are asked only where languages differ.
+    A segment makes a text mixed only with enough prose of its own language that is no quotation.
     """
     n = chars.sum(axis=1)
     spoken = n > 0
     if not spoken.any():
         return None, 0.0, None
+    if (other := foreign(segments)) is not None:
+        return *other, None
+    if words.sum() >= SEEN_WORDS and seen.sum() < SEEN * words.sum():
+        return None, 0.0, None
     first = found[spoken][0]
     if (found[spoken] == first).all():
         return LANGUAGES[first], float((n * confidence)[spoken].sum() / n[spoken].sum()), None
@@ -371,7 +525,7 @@ def verdicts(segments: list[str], code, found, confidence, chars, words) -> tupl
     sizes = np.array([len(line) for line in segments], dtype=float)
     total = np.bincount(found, np.where(prose, sizes, np.where(spoken, 0.05 * n, 0.0)), minlength=len(LANGUAGES))
     main = int(total.argmax())
-    own = prose & (confidence >= SURE) & (chars[np.arange(len(found)), found] >= OWN_PART * n) & (words >= OWN_WORDS)
+    own = prose & ~np.array(quoted(), dtype=bool) & (confidence >= SURE) & (chars[np.arange(len(found)), found] >= OWN_PART * n) & (words >= OWN_WORDS)
     mixed = len(set(found[own].tolist())) > 1
     if not mixed:
         return LANGUAGES[main], float(total[main] / total.sum()), None
@@ -396,11 +550,11 @@ def _code_lines(text: str) -> list[bool]:
 FOUND = "row_id long, code string, lang string, confidence double, mixed boolean, segment_nos array<long>, segment_langs array<string>, segment_confidences array<double>"
 
 
-def _found(labeller: Labeller, ids: list, written: list, lists: list[list[str]], numbers: Callable[[int], list[int]], code: Callable[[int], list[bool]], known: dict[str, list[str]]) -> list[pa.Array]:
-    """The columns of ``FOUND`` for texts given as segments with their labels as written; numbers and code of a text are asked only where they matter."""
+def _found(labeller: Labeller, ids: list, written: list, lists: list[list[str]], numbers: Callable[[int], list[int]], code: Callable[[int], list[bool]], quoted: Callable[[int], list[bool]], known: dict[str, list[str]]) -> list[pa.Array]:
+    """The columns of ``FOUND`` for texts given as segments with their labels as written; numbers, code and quotations of a text are asked only where they matter."""
     langs, sure, mixed, nos, seg_langs, seg_sure = [], [], [], [], [], []
     for i, (segments, found) in enumerate(zip(lists, labeller.texts(lists, known))):
-        lang, c, parts = verdicts(segments, lambda i=i: code(i), *found)
+        lang, c, parts = verdicts(segments, lambda i=i: code(i), lambda i=i: quoted(i), *found)
         langs.append(lang)
         sure.append(c)
         mixed.append(parts is not None)
@@ -424,11 +578,11 @@ def segment_languages(texts: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = labeller_of(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                ids, given, written = (c.to_pylist() for c in whole.slice(at, 2000).columns)
+            for batch in slices(whole, 2000):
+                ids, given, written = (c.to_pylist() for c in batch.columns)
                 lists = [[line for line in (text or "").split("\n") if line.strip()] for text in given]
                 numbers = lambda i, given=given: [k for k, line in enumerate(given[i].split("\n")) if line.strip()]
-                yield pa.RecordBatch.from_arrays(_found(labeller, ids, written, lists, numbers, lambda i, given=given: _code_lines(given[i]), {}), names)
+                yield pa.RecordBatch.from_arrays(_found(labeller, ids, written, lists, numbers, lambda i, given=given: _code_lines(given[i]), lambda i, lists=lists: [line.lstrip().startswith(">") for line in lists[i]], {}), names)
 
     return texts.select("row_id", "text", "written").mapInArrow(run, FOUND)
 
@@ -440,26 +594,26 @@ def page_languages(pages: DataFrame, crawl_records: DataFrame, model: LanguageMo
     them, and one pass finds residue and languages.
     """
     held = page_tokens(pages)
-    residue, _, _ = fit_bodies(held, crawl_records)
+    residue = fit_bodies(held, crawl_records)
     names = [f.split()[0] for f in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = labeller_of(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole):
                 ids, langs, bodies = (c.to_pylist() for c in batch.columns[:3])
                 rows = [(i, lang, unpack_body(body)) for i, lang, body, v in zip(ids, langs, bodies, worst(residue, batch.column(3)).tolist()) if not v > 0]
                 blocks = [[b for b in body if b.text.strip()] for _, _, body in rows]
                 lists = [[b.text for b in own] for own in blocks]
-                yield pa.RecordBatch.from_arrays(_found(labeller, [r[0] for r in rows], [r[1] for r in rows], lists, lambda i, blocks=blocks: [b.no for b in blocks[i]], lambda i, blocks=blocks: [b.tag == "pre" for b in blocks[i]], {}), names)
+                yield pa.RecordBatch.from_arrays(_found(labeller, [r[0] for r in rows], [r[1] for r in rows], lists, lambda i, blocks=blocks: [b.no for b in blocks[i]], lambda i, blocks=blocks: [b.tag == "pre" for b in blocks[i]], lambda i, blocks=blocks: [b.tag == "blockquote" for b in blocks[i]], {}), names)
 
     return held.select("page_id", "lang", "body", "passages").mapInArrow(run, FOUND)
 
 
 def fit_on(documents: DataFrame, bound: int = FIT_TEXTS) -> LanguageModel:
     """The model fitted on at most ``bound`` labelled documents, in the order of a hash of their id."""
-    labelled = sampled(documents.where(F.col("lang").isNotNull() & (F.length("text") > 0)), "doc_id", bound, documents.count())
+    some = documents.where((F.length(F.trim("lang")) > 0) & (F.length("text") > 0))
+    labelled = sampled(some, "doc_id", bound, some.count())
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).toPandas()  # bounded
     return fit_languages(list(zip(rows["text"], rows["lang"])))
 

@@ -27,7 +27,7 @@ def model():
 
 def test_everyday_words_alone():
     labeller = language.Labeller(language.fit_languages([]))
-    for (found, _, _, _), lang in zip(labeller.texts([[t] for t in TEXTS.values()]), TEXTS):
+    for (found, *_), lang in zip(labeller.texts([[t] for t in TEXTS.values()]), TEXTS):
         assert language.LANGUAGES[found[0]] == lang
 
 
@@ -58,11 +58,54 @@ def test_padding_changes_nothing(model):
     texts = [["\n".join([t] * k)] for k, t in enumerate(TEXTS.values(), 1)] + [["x", "", "…"], []]
     labeller = language.Labeller(model)
     together = labeller.texts(texts)
-    for t, (found, sure, chars, words) in zip(texts, together):
-        f, s, c, w = labeller.texts([t])[0]
+    for t, (found, sure, chars, words, _) in zip(texts, together):
+        f, s, c, w, _ = labeller.texts([t])[0]
         assert (f == found).all() and np.allclose(s, sure, atol=1e-4) and np.allclose(c, chars, atol=1e-2) and (w == words).all()
 
 
+def test_gradient_of_the_field_against_differences():
+    draw = np.random.default_rng(4)
+    z, t = draw.normal(size=(5, 3)), draw.normal(size=(3, 3))
+    sizes = np.array([1, 4, 3])
+    ids, gold = draw.integers(5, size=8), draw.integers(3, size=8)
+
+    def brute(z, t):
+        total, at = 0.0, 0
+        for n in sizes:
+            score = lambda path: sum(z[w, y] for w, y in zip(ids[at : at + n], path)) + sum(t[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+            total += score(gold[at : at + n]) - np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=int(n))))
+            at += n
+        return total
+
+    value, gz, gt = language.log_likelihood(z, t, ids, gold, sizes)
+    assert value == pytest.approx(brute(z, t))
+    for m, g in ((z, gz), (t, gt)):
+        for i, j in itertools.product(range(m.shape[0]), range(3)):
+            d = np.zeros_like(m)
+            d[i, j] = 1e-5
+            change = brute(z + d, t) - brute(z - d, t) if m is z else brute(z, t + d) - brute(z, t - d)
+            assert g[i, j] == pytest.approx(change / 2e-5, abs=1e-6)
+
+
+def test_words_are_looked_at_whole():
+    assert language.parts_of("cssを使います") == ["css", "を使", "いま", "す"]
+    assert "".join(language.parts_of("a" * 95)) == "a" * 95 and language.parts_of("straße") == ["straße"]
+
+
+def test_languages_that_are_not_known(model):
+    labeller = language.Labeller(model)
+    for text, want in (("오래된 다리는 겨울 전에 수리되었습니다", "ko"), ("إصلاح الجسر القديم قبل الشتاء", "ar"), (TEXTS["ja"], "ja")):
+        assert language.verdicts([text], lambda: [False], lambda: [False], *labeller.texts([[text]])[0])[0] == want
+    taught = language.LanguageModel(model.weights, model.words, model.lines, model.seen, np.ones(len(language.LANGUAGES), dtype=bool))
+    for text, want in (("Robotnicy naprawili stary most przed zimą, gdyż nikt nie chciał czekać wiosny", None), (TEXTS["de"], "de")):
+        assert language.verdicts([text], lambda: [False], lambda: [False], *language.Labeller(taught).texts([[text]])[0])[0] == want
+
+
+def test_quotations_make_no_text_mixed(spark, model):
+    rows = [(1, f"{TEXTS['en']}\n{TEXTS['en']}\n> {TEXTS['es']}"), (2, f"{TEXTS['en']}\n{TEXTS['en']}\n{TEXTS['es']}")]
+    assert [r.mixed for r in language.segment_languages(frame(spark, rows), model).orderBy("row_id").collect()] == [False, True]
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "de-AT") for r in rows], "row_id long, text string, written string")
 
