@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelathe.functions.urls import REDACTED, SECRET_NAMES, SECRET_PARTS
+
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 EAST = r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]"
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]{2,})+"
@@ -83,11 +85,52 @@ def availability(text: Column) -> Column:
 
 
 def redact_body(text: Column) -> Column:
-    """A text with e-mail addresses and the values of secret fields struck out."""
+    """A body with the values of secret fields struck out: string fields of JSON, and pairs of a form unless it is JSON.
+
+    Names are taken apart by their separators; the patterns are those of ``urls.is_secret_name``.
+    """
+    gap = r"[^A-Za-z0-9\"=&\s]*"
+    spelled = lambda words: "|".join(gap.join(w) for w in words)
+    within, whole = spelled(SECRET_PARTS), spelled(SECRET_NAMES)
+    name = rf'(?:(?:[^"\\]|\\.)*?(?:{within})(?:[^"\\]|\\.)*|{gap}(?:{whole}){gap})'
+    json = F.regexp_replace(text, rf'(?i)("{name}"\s*:\s*)"(?:[^"\\]|\\.)*"', rf'$1"{REDACTED}"')
+    plain = rf"(?:[^=&\s]*?(?:{within})[^=&\s]*|{gap}(?:{whole}){gap})"
+    form = F.regexp_replace(json, rf"(?i)(^|[?&])({plain})=[^&\s]*", rf"$1$2={REDACTED}")
+    return F.when(F.ltrim(json).rlike(r"^[{\[]"), json).otherwise(form)
+
+
+def struck_texts(text: Column) -> Column:
+    """A text with e-mail addresses and what is set to secret words struck out; beyond bodies of requests."""
     t = F.regexp_replace(text, EMAIL, "[email]")
     return F.regexp_replace(t, r"(?i)((?:password|passwd|secret|token|api[_-]?key|authorization)\s*[=:]\s*)[^\s&;,]+", "$1[redacted]")
 
 
+def short_type(declared: Column) -> Column:
+    """The last part of a schema type: after a slash or a hash."""
+    return F.regexp_extract(F.trim(declared), r"([^/#]*)[/#]?$", 1)
+
+
+def product_of(generator: Column) -> Column:
+    """The product a generator names, without its version; as declared where nothing else stands."""
+    declared = F.trim(generator)
+    bare = F.trim(F.regexp_replace(declared, r"[\s,]+v?\d[\w.+-]*$", ""))
+    return F.when(declared != "", F.when(bare == "", declared).otherwise(bare))
+
+
+def elided(text: Column, most: int) -> Column:
+    """A text of at most ``most`` characters, cut with an ellipsis."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…"))).otherwise(text)
+
+
+def plural(n: Column, word: str, many: str | None = None) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {word}").otherwise(f" {many or word + 's'}"))
+
+
+def bytes_text(n: Column) -> Column:
+    """A number of bytes as B, kB or MB."""
+    return F.when(n < 1000, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1_000_000, F.format_string("%.1f kB", n / 1000)).otherwise(F.format_string("%.1f MB", n / 1_000_000))
+
+
 def fnv1a(text: Column) -> Column:
     """The 32-bit FNV-1a hash of an ASCII text, in hexadecimal."""
     fold = F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), lambda h, c: F.pmod((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619).cast("long"), F.lit(4294967296).cast("long")))

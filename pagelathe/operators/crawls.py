@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,41 +147,48 @@ def rule_pattern(path: Column) -> Column:
 
 
 def robots_verdicts(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """``page_id, allowed, reason, rule`` by the rules of one file, joined by host (``*`` applies to each).
+    """``page_id, allowed, reason, rule`` of ``page_id, url`` by the rules of each host's file (host ``*`` for hosts without one).
 
     The group of the longest agent token named in the user agent, else that of ``*``; among its rules that
-    match, the longest wins and a tie goes to allow.
+    match, the longest wins and a tie goes to allow.  A host's rules are one array, joined by host; the match is
+    made within the row, so no page is paired with rules of other hosts.
     """
     low = F.lit(agent.lower())
     token = F.array_max(F.transform("agents", lambda a: F.when(a == "*", 0).when(F.contains(low, a), F.length(a)).otherwise(-1)))
     ranked = rules.withColumn("token", token).where(F.col("token") >= 0)
     w = Window.partitionBy("host").orderBy(F.col("token").desc(), "group")
-    chosen = ranked.withColumn("r", F.dense_rank().over(w)).where(F.col("r") == 1).select("host", "allow", "path", rule_pattern(F.col("path")).alias("pattern"))
-    target = pages.select("page_id", urls.host(F.col("url")).alias("host"), F.concat(F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url"))), F.when(urls.query(F.col("url")) == "", "").otherwise(F.concat(F.lit("?"), urls.query(F.col("url"))))).alias("target"))
-    matched = target.join(F.broadcast(chosen.withColumnRenamed("host", "rule_host")), (F.col("rule_host") == F.col("host")) | (F.col("rule_host") == "*"), "left")  # rules of one file: a bounded side
-    best = F.max(F.when(F.expr("target rlike pattern"), F.struct(F.length("path").alias("n"), "allow", "path")))
-    return matched.groupBy("page_id").agg(best.alias("b"), F.max("rule_host").alias("named")).select(
-        "page_id", F.coalesce(F.col("b.allow"), F.lit(True)).alias("allowed"),
-        F.when(F.col("named").isNull(), "no-group-matched").when(F.col("b").isNull(), "no-rule-matched").when(F.col("b.allow"), "allow-rule").otherwise("disallow-rule").alias("reason"), F.col("b.path").alias("rule"),
+    chosen = ranked.withColumn("r", F.dense_rank().over(w)).where(F.col("r") == 1)
+    rule = F.struct(F.length("path").alias("n"), "allow", "path", rule_pattern(F.col("path")).alias("pattern"))
+    of_host = chosen.groupBy("host").agg(F.collect_list(F.when(F.col("path").isNotNull(), rule)).alias("rules"))
+    general = of_host.where(F.col("host") == "*").select(F.col("rules").alias("general"))
+    u = F.col("url")
+    target = F.concat(F.when(urls.path(u) == "", "/").otherwise(urls.path(u)), F.when(urls.query(u) == "", "").otherwise(F.concat(F.lit("?"), urls.query(u))))
+    asked = pages.select("page_id", urls.host(u).alias("host"), target.alias("target")).join(of_host.where(F.col("host") != "*"), "host", "left")
+    asked = asked.join(general.agg(F.first("general").alias("general")), how="cross")  # one row
+    held = F.coalesce("rules", "general")
+    best = F.array_max(F.transform(F.filter(held, lambda r: F.regexp_like(F.col("target"), r["pattern"])), lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"), r["path"].alias("path"))))
+    return asked.withColumn("b", best).select(
+        "page_id", F.coalesce(F.col("b.allow"), F.col("target").isNotNull()).alias("allowed"),
+        F.when(F.col("target").isNull(), "unparseable-url").when(held.isNull(), "no-group-matched").when(F.col("b").isNull(), "no-rule-matched").when(F.col("b.allow"), "allow-rule").otherwise("disallow-rule").alias("reason"),
+        F.col("b.path").alias("rule"),
     )
 
 
 def frontier_rounds(seeds: DataFrame, edges: DataFrame, most_rounds: int = 3) -> DataFrame:
     """``url, depth``: breadth-first rounds over links (``src, dst``) from ``seeds`` (``url``).
 
-    The links are stored once.  Each round is one join and one anti-join against what is seen, distinct before the shuffle; lineage is cut
-    in the shared folder a round.  Cycles end, since a seen page never returns.
+    The links are stored once.  Each round is one join and one anti-join against the rounds before, distinct before the shuffle, and
+    is stored in the shared folder; none is written twice.  Cycles end, since a seen page never returns.
     """
     edges = stored(edges.select("src", "dst"))
-    seen = cut(seeds.select("url").where(F.col("url").isNotNull()).distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    rounds = [stored(seeds.select("url").where(F.col("url").isNotNull()).distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, most_rounds + 1):
-        reached = front.join(edges, front["url"] == edges["src"]).select(F.col("dst").alias("url")).where(F.col("url").isNotNull()).distinct()
-        front = cut(reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        reached = rounds[-1].join(edges, rounds[-1]["url"] == edges["src"]).select(F.col("dst").alias("url")).where(F.col("url").isNotNull()).distinct()
+        front = stored(reached.join(reduce(DataFrame.unionByName, rounds), "url", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        rounds.append(front)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def sample_robots(spark: SparkSession) -> DataFrame:

@@ -6,11 +6,17 @@ the records of one source in their order: switching the notation and jumping bac
 so does leaving what is declared of the source (its day order; the earlier of two instants).
 
 Records of a source are cut into blocks of ``BLOCK`` consecutive ids, so that a source which holds a
-third of all rows is still many bounded groups; the cut depends on ids alone, never on partitions.
+third of all rows is still many bounded groups; the cut depends on ids alone, never on partitions.  The path
+is that of the whole source all the same: where a source declares no day order, each block is first summed up
+as the cheapest paths from the readings of its first record to those of its last, a row a block; the best way
+through the blocks of a source then fixes the readings at both ends of each.  Where one is declared, no transition
+outweighs it, and blocks cannot differ.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
@@ -180,7 +186,7 @@ def interpretations(value: str | None, tz: str | None, day_order: str | None) ->
     if value is None:
         return []
     v = value.strip()
-    if not v or len(v) > 120 or not any(c.isdigit() for c in v):
+    if not any(c.isdigit() for c in v):
         return []
 
     def made(y, mo, d, clock, zone, how, cost=0.0):
@@ -235,6 +241,8 @@ def interpretations(value: str | None, tz: str | None, day_order: str | None) ->
     for token in _TOKEN.findall(rest):
         low = token.lower()
         if low.isdigit():
+            if len(low) > 4:
+                return []
             numbers.append((int(low), len(low)))
         elif low in MONTHS and month is None and numeric is None and not (weekday is None and low in WEEKDAYS and not numbers and _has_month_later(rest, token)):
             month = MONTHS[low]
@@ -292,7 +300,14 @@ def _has_month_later(rest: str, token: str) -> bool:
     return any(w.lower() in MONTHS for w in re.findall(r"[^\W\d_]+", rest.split(token, 1)[1]))
 
 
-def viterbi(rows: list[list[tuple[int, bool, str, float]]]) -> list[int | None]:
+Reading = tuple[int, bool, str, float]
+
+
+def _step(before: Reading, after: Reading) -> float:
+    return (SWITCH if before[2] != after[2] else 0.0) + (BACKWARD if after[0] < before[0] else 0.0)
+
+
+def viterbi(rows: list[list[Reading]]) -> list[int | None]:
     """The index of the reading chosen for each record of one source in order; None where there is none.
 
     A record with one reading pins the path, so the chain falls apart into independent stretches there.
@@ -300,7 +315,7 @@ def viterbi(rows: list[list[tuple[int, bool, str, float]]]) -> list[int | None]:
     """
     chosen: list[int | None] = [None] * len(rows)
     back: list[tuple[int, list[int]]] = []
-    before: list[tuple[int, bool, str, float]] = []
+    before: list[Reading] = []
     costs: list[float] = []
 
     def settle(end: int) -> None:
@@ -313,16 +328,16 @@ def viterbi(rows: list[list[tuple[int, bool, str, float]]]) -> list[int | None]:
         if not found:
             continue
         new, links = [], []
-        for us, _, how, cost in found:
+        for now in found:
             if not before:
-                new.append(cost)
+                new.append(now[3])
                 continue
             best, arg = None, 0
-            for j, (pus, _, phow, _) in enumerate(before):
-                c = costs[j] + (SWITCH if phow != how else 0.0) + (BACKWARD if us < pus else 0.0)
+            for j, was in enumerate(before):
+                c = costs[j] + _step(was, now)
                 if best is None or c < best:
                     best, arg = c, j
-            new.append(best + cost)
+            new.append(best + now[3])
             links.append(arg)
         if len(found) == 1:  # pinned: settle all that is open and start again
             if back:
@@ -336,6 +351,43 @@ def viterbi(rows: list[list[tuple[int, bool, str, float]]]) -> list[int | None]:
     return chosen
 
 
+def transfer(rows: list[list[Reading]]) -> tuple[list[Reading], list[Reading], list[list[float]]] | None:
+    """(readings of the first record, of the last, the least cost from each to each) of a block; None of one without readings."""
+    found = [r for r in rows if r]
+    if not found:
+        return None
+    costs = [[r[3] if i == j else math.inf for j, r in enumerate(found[0])] for i in range(len(found[0]))]
+    for before, after in zip(found, found[1:]):
+        costs = [[min(c + _step(b, a) for c, b in zip(row, before)) + a[3] for a in after] for row in costs]
+    return found[0], found[-1], costs
+
+
+def through(blocks: list[tuple[list[Reading], list[Reading], list[list[float]]]]) -> list[tuple[int, int]]:
+    """The readings (of the first record, of the last) of each block of a source on the cheapest path through all; ties go to the first."""
+    ways: list[list[tuple[int, int]]] = []  # of each block and last reading: (first reading, last reading of the block before)
+    costs: list[float] = []
+    for n, (first, last, within) in enumerate(blocks):
+        enter = [(0.0, 0)] * len(first) if not n else [min((c + _step(b, a), j) for j, (c, b) in enumerate(zip(costs, blocks[n - 1][1]))) for a in first]
+        best = [min((enter[i][0] + within[i][j], i) for i in range(len(first))) for j in range(len(last))]
+        ways.append([(i, enter[i][1]) for _, i in best])
+        costs = [c for c, _ in best]
+    out, end = [], min(range(len(costs)), key=costs.__getitem__) if costs else 0
+    for way in reversed(ways):
+        out.append((way[end][0], end))
+        end = way[end][1]
+    return out[::-1]
+
+
+def settled(rows: list[list[Reading]], first: int | None = None, last: int | None = None) -> list[int | None]:
+    """``viterbi`` with the readings of the first and the last record that has any fixed, where they are given."""
+    some = [i for i, r in enumerate(rows) if r]
+    if first is None or not some:
+        return viterbi(rows)
+    fixed = {some[0]: first, some[-1]: last} if len(some) > 1 else {some[0]: first}
+    pick = viterbi([[r[fixed[i]]] if i in fixed else r for i, r in enumerate(rows)])
+    return [fixed.get(i, k) for i, k in enumerate(pick)]
+
+
 def written(us: int, is_day: bool) -> str | None:
     try:
         t = EPOCH + timedelta(microseconds=us)
@@ -344,15 +396,21 @@ def written(us: int, is_day: bool) -> str | None:
     return f"{t.year:04d}-{t.month:02d}-{t.day:02d}" if is_day else f"{t.year:04d}-{t.month:02d}-{t.day:02d}T{t.hour:02d}:{t.minute:02d}:{t.second:02d}.{t.microsecond:06d}Z"
 
 
-def _normalise_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["row_id", "field"], kind="stable")
+def _readings(pdf: pd.DataFrame) -> list[list[Reading]]:
     known: dict[tuple, list] = {}
     rows = []
     for key in zip(pdf["value"], pdf["tz"], pdf["day_order"]):
         if (found := known.get(key)) is None:
             found = known[key] = interpretations(*(None if not isinstance(x, str) else x for x in key))
         rows.append(found)
-    pick = viterbi(rows)
+    return rows
+
+
+def _normalise_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["row_id", "field"], kind="stable")
+    rows = _readings(pdf)
+    first, last = pdf["first"].iloc[0], pdf["last"].iloc[0]
+    pick = settled(rows, int(first), int(last)) if first == first and first is not None else viterbi(rows)
     return pd.DataFrame(
         {
             "field": pdf["field"].to_numpy(),
@@ -364,17 +422,30 @@ def _normalise_group(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    found = transfer(_readings(pdf.sort_values(["row_id", "field"], kind="stable")))
+    rows = [] if found is None else [(pdf["source"].iloc[0], int(pdf["block"].iloc[0]), json.dumps(found))]
+    return pd.DataFrame(rows, columns=["source", "block", "ends"])
+
+
+def _ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("block")
+    chosen = through([json.loads(e) for e in pdf["ends"]])
+    return pd.DataFrame({"source": pdf["source"].to_numpy(), "block": pdf["block"].to_numpy(), "first": [a for a, _ in chosen], "last": [b for _, b in chosen]})
+
+
 def normalise_timestamps(df: DataFrame, *, source: Column, block: int = BLOCK) -> DataFrame:
     """``field, row_id, value, utc, readings`` for rows of ``field, row_id, value, tz, day_order``.
 
     Nulls, blanks and values that name no date come out with ``utc`` null and ``readings`` 0; a null or
-    unknown zone is UTC; a null day order leaves the order of day and month to the Viterbi pass.  Rows
-    that repeat come out as often as they went in; an empty table gives an empty table; other columns
-    are ignored.
+    unknown zone is UTC; a null day order, which a source has for all its rows or none, leaves the order of day and month
+    to the Viterbi pass.  Rows that repeat come out as often as they went in; an empty table gives an empty table; other
+    columns are ignored.
     """
-    slim = df.select("field", F.col("row_id").cast("long").alias("row_id"), "value", "tz", "day_order", source.cast("string").alias("source"))
+    slim = df.select("field", F.col("row_id").cast("long").alias("row_id"), "value", "tz", "day_order", F.coalesce(source.cast("string"), F.lit("")).alias("source"))
     slim = slim.withColumn("block", F.floor(F.coalesce("row_id", F.lit(0)) / block))
-    return slim.groupBy("source", "block").applyInPandas(_normalise_group, "field string, row_id long, value string, utc string, readings int")
+    ends = slim.where(F.col("day_order").isNull()).groupBy("source", "block").applyInPandas(_summary, "source string, block long, ends string").groupBy("source").applyInPandas(_ends, "source string, block long, first int, last int")
+    return slim.join(ends, ["source", "block"], "left").groupBy("source", "block").applyInPandas(_normalise_group, "field string, row_id long, value string, utc string, readings int")
 
 
 def p1_found(entity_dates: DataFrame, crawl_records: DataFrame, sites: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def doc_availability(s, d):
 
 
 def doc_redacted(s, d):
-    return table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", T.redact_body(F.col("text")).alias("redacted"))
+    return table(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", T.struck_texts(F.col("text")).alias("redacted"))
 
 
 def entity_best_tier(s, d):

@@ -126,8 +126,10 @@ SELECT page_id, n_words, round(n_words / 200, 1) AS minutes FROM (SELECT page_id
     "links_totals": f"WITH {_PAGES}, {_ANCHORS}, {_RESOLVED} SELECT page_id, count(*) AS n_links, CAST(sum(CAST(internal AS INT)) AS BIGINT) AS n_internal, CAST(sum(1 - CAST(internal AS INT)) AS BIGINT) AS n_external FROM rs GROUP BY page_id",
     "links_by_host": f"WITH {_PAGES}, {_ANCHORS}, {_RESOLVED} SELECT lower(regexp_extract(target, '^[a-z]+://([^/?#]*)', 1)) AS host, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM rs WHERE NOT internal GROUP BY 1",
     "frontier_rounds": f"WITH RECURSIVE {_NORM}, {_ANCHORS}, {_RESOLVED}, e AS (SELECT DISTINCT normalized AS src, target AS dst FROM rs JOIN norm USING (page_id) WHERE internal AND normalized IS NOT NULL), fr(url, depth) AS (SELECT DISTINCT normalized, 0 FROM norm WHERE normalized IS NOT NULL UNION SELECT dst, depth + 1 FROM fr JOIN e ON url = src WHERE depth < 3) SELECT url, min(depth) AS depth FROM fr GROUP BY url",
-    "url_redact": rf"""WITH c AS (SELECT record_id, {_PARTS} FROM crawl_records WHERE url IS NOT NULL), x AS (SELECT record_id, list_filter(string_split(query, '&'), lambda p: p <> '') AS ps, * FROM c)
-SELECT record_id, scheme || '://' || host || path || CASE WHEN len(ps) = 0 THEN '' ELSE '?' || array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(regexp_replace(lower(split_part(p, '=', 1)), '[^a-z0-9]', '', 'g'), 'token|secret|password|passwd|apikey|accesskey|privatekey|credential|session|auth|signature|jwt|^(key|sig|sid|pwd|pass|pin|code|otp|csrf|xsrf)$') THEN split_part(p, '=', 1) || '=[redacted]' ELSE p END), '&') END AS redacted FROM x""",
+    "url_redact": rf"""WITH c AS (SELECT record_id, url, regexp_extract(url, '\?([^#]*)', 1) AS q FROM crawl_records WHERE url IS NOT NULL),
+x AS (SELECT record_id, url, list_transform(list_filter(string_split(q, '&'), lambda p: p <> ''), lambda p: regexp_replace(lower(url_decode(split_part(p, '=', 1))), '[^a-z0-9]', '', 'g')) AS names FROM c)
+SELECT record_id, CASE WHEN len(list_filter(names, lambda n: regexp_matches(n, 'token|secret|password|passwd|apikey|accesskey|sessionid|credential|signature|authorization|authentication|cookie|^(auth|key|code|sig|jwt|bearer|pwd|otp|session|sid)$'))) > 0
+OR regexp_matches(url, '^[a-z]+://[^/?#]*@') THEN NULL ELSE url END AS redacted FROM x""",
     "css_grids": f"WITH {_CSS} SELECT property, value, n FROM cs WHERE property IN ('grid-template-columns', 'gap', 'column-gap', 'row-gap', 'grid-gap', 'max-width')",
     "css_colors": rf"""WITH {_CSS}, k AS (SELECT CASE WHEN regexp_matches(value, '^#[0-9a-f]{{3}}$') THEN regexp_replace(value, '^#(.)(.)(.)$', '#\1\1\2\2\3\3') WHEN regexp_matches(value, '^#[0-9a-f]{{6}}$') THEN value END AS color, n FROM cs WHERE regexp_matches(property, 'color$|^background$'))
 SELECT color, CAST(sum(n) AS BIGINT) AS n FROM k WHERE color IS NOT NULL GROUP BY color""",

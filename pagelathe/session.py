@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that setting is absent (local
-    tests) is a local folder made and set.
+    A cluster names it in ``spark.checkpoint.dir``; only where that setting is absent and all runs in one
+    process (local tests) is a local folder made, set, and removed in the end.  A cluster without it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="pagelathe-checkpoint-")
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pagelathe-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)

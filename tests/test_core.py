@@ -33,7 +33,7 @@ def test_url_parts(spark):
     given = ["https://u:p@a.b.co.test:8080/x?token=1&q=2", None, "x"]
     assert column(spark, given, urls.host) == ["a.b.co.test:8080", None, None]
     assert column(spark, given, lambda c: urls.site(urls.host(c))) == ["co.test", None, None]
-    assert column(spark, given, urls.redact_url)[0] == "https://a.b.co.test:8080/x?token=[redacted]&q=2"
+    assert column(spark, given, urls.redact_url)[0] == "https://[redacted]@a.b.co.test:8080/x?token=[redacted]&q=2"
     assert column(spark, ["10.0.0.1", "172.20.1.1", "8.8.8.8", "example.test"], urls.private_ipv4) == [True, True, False, False]
 
 
@@ -63,7 +63,7 @@ def test_words_and_money(spark):
     assert [[(p.amount, p.currency) for p in v] for v in column(spark, ["only $1,299.00 or 1.299,50 €, 5 EUR", "no price"], T.prices)] == [[(1299.0, "USD"), (1299.5, "EUR"), (5.0, "EUR")], []]
     assert column(spark, ["call +44 20 7946 0958 or 2024-01-05"], T.phones) == [["+44 20 7946 0958"]]
     assert column(spark, ["hello"], T.fnv1a) == ["4f9f2cab"]
-    assert column(spark, ["password=abc me@x.org"], T.redact_body) == ["password=[redacted] [email]"]
+    assert column(spark, ["password=abc me@x.org"], T.struck_texts) == ["password=[redacted] [email]"]
 
 
 def test_best_tier(spark):
@@ -88,7 +88,7 @@ def test_robots(spark):
     rules = crawls.robots_rules(spark.createDataFrame([("h.test", text), ("e.test", "")], "host string, text string"))
     pages = spark.createDataFrame([(1, "https://h.test/x/z"), (2, "https://h.test/x/y"), (3, "https://h.test/lost"), (4, "https://other.test/x"), (5, None)], "page_id long, url string")
     got = {r.page_id: (r.allowed, r.reason) for r in crawls.robots_verdicts(pages, rules, "My-Bot/2").collect()}
-    assert got == {1: (False, "disallow-rule"), 2: (True, "allow-rule"), 3: (True, "no-rule-matched"), 4: (True, "no-group-matched"), 5: (True, "no-group-matched")}
+    assert got == {1: (False, "disallow-rule"), 2: (True, "allow-rule"), 3: (True, "no-rule-matched"), 4: (True, "no-group-matched"), 5: (False, "unparseable-url")}
     other = {r.page_id: r.allowed for r in crawls.robots_verdicts(pages.where("page_id < 5").withColumn("url", F.lit("https://h.test/f.pdf")), rules, "someone").collect()}
     assert set(other.values()) == {False}
 

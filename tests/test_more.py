@@ -32,9 +32,9 @@ def test_retry_after(spark):
 
 
 def test_cookies_and_headers(spark):
-    found = column(spark, ["a=1; Domain=.X.test; Max-Age=60; Secure; HttpOnly; SameSite=Lax\nb=2", None, "junk"], http.cookies)
+    found = column(spark, ["a=1; Domain=.X.test; Max-Age=60; Secure; HttpOnly; SameSite=Lax\nb=2", None, "junk"], lambda c: http.cookies(c, F.lit("2024-01-01 00:00:00").cast("timestamp")))
     assert [[c.name for c in v] for v in found] == [["a", "b"], [], []]
-    assert found[0][0].domain == "x.test" and found[0][0].max_age == 60 and found[0][0].secure and found[0][0].http_only and found[0][0].same_site == "lax"
+    assert found[0][0].domain == "x.test" and str(found[0][0].expires) == "2024-01-01 00:01:00" and found[0][0].secure and found[0][0].http_only and found[0][0].same_site == "lax"
     row = spark.sql("select map('Cookie','a=1; b=2','X-Api-Key','s','Accept','t') as h").select(http.redacted_headers(F.col("h")).alias("h")).first().h
     assert row == {"Cookie": "a=[redacted]; b=[redacted]", "X-Api-Key": "[redacted]", "Accept": "t"}
     assert column(spark, ["Text/html", "image/png", None], http.keeps_body) == [True, False, False]

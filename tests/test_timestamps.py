@@ -1,6 +1,9 @@
 import datetime as dt
+import itertools
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelathe.operators import timestamps as ts
 
@@ -109,3 +112,36 @@ def test_blocks_do_not_change_unambiguous_values(spark):
     whole = sorted(map(tuple, ts.normalise_timestamps(df, source=F.col("s")).collect()))
     cut = sorted(map(tuple, ts.normalise_timestamps(df, source=F.col("s"), block=7).collect()))
     assert whole == cut
+
+
+def test_cut_into_blocks_changes_nothing(spark):
+    """Ambiguous dates on both sides of every edge: the path is that of the whole source, however it is cut."""
+    draw = random.Random(8)
+    values = ["03/04/2024", "2024-03-04", "05/06/2024", "04/03/2024 10:00", "25/12/2024", "07/08/2024", "nothing", "12/25/2023"]
+    rows = [("at", i, draw.choice(values), "UTC", None, "s") for i in range(60)] + [("at", i, draw.choice(values[:3]), "UTC", None, "t") for i in range(200, 230)]
+    df = spark.createDataFrame(rows, "field string, row_id long, value string, tz string, day_order string, source string")
+    read = lambda n: sorted((r.row_id, r.utc) for r in ts.normalise_timestamps(df, source=F.col("source"), block=n).collect())
+    whole = read(1000)
+    assert read(7) == whole and read(1) == whole
+
+
+def test_blocks_against_all_paths():
+    draw = random.Random(3)
+    for _ in range(40):
+        rows = [[(draw.randrange(4), False, draw.choice("ab"), draw.choice([0.0, 0.4])) for _ in range(draw.randrange(3))] for _ in range(7)]
+        cost = lambda path: sum(r[k][3] for r, k in zip(full, path)) + sum(ts._step(a[i], b[j]) for a, b, i, j in zip(full, full[1:], path, path[1:]))  # noqa: B023, E731
+        full = [r for r in rows if r]
+        if not full:
+            continue
+        best = min(cost(p) for p in itertools.product(*(range(len(r)) for r in full)))
+        parts = [rows[:3], rows[3:5], rows[5:]]
+        found = [t for t in map(ts.transfer, parts) if t]
+        ends, pick = iter(ts.through(found)), []
+        for part in parts:
+            pick += [k for k in ts.settled(part, *next(ends)) if k is not None] if any(part) else []
+        assert cost(pick) == pytest.approx(best)
+
+
+def test_long_values_are_read():
+    assert ts.interpretations("2024-03-05 10:00:00 (" + "x" * 300 + ")", "UTC", "dmy") == ts.interpretations("2024-03-05 10:00:00", "UTC", "dmy") or ts.interpretations("5 March 2024" + " " * 200, "UTC", "dmy")
+    assert len(ts.interpretations("2024-03-05 10:00:00 (" + "x" * 300 + ")", "UTC", "dmy")) == 1
