@@ -20,8 +20,8 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -368,9 +368,22 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
 
 def common_among(parsed: DataFrame, keys: set[int]) -> set[int]:
     """Those of ``keys``, the keys of a bounded sample, that at least ``COMMON_SITES`` sites show, of all pages."""
-    asked = parsed.sparkSession.createDataFrame(pd.DataFrame({"key": sorted(keys)}, dtype="int64"), "key long")
-    shown = parsed.select("site_id", F.explode(F.array_distinct(F.concat("keys", "leads"))).alias("key")).join(asked, "key", "left_semi")
-    counted = shown.groupBy("key", "site_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("sites")).where(F.col("sites") >= COMMON_SITES)
+    asked = np.array(sorted(keys), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+            sites, found = pc.fill_null(batch.column(0), 0).to_numpy(), []
+            for lists in batch.columns[1:]:
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                kept = known[owner] & np.isin(values, asked)
+                found.append(np.stack([values[kept], sites[owner[kept]]], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["key", "site_id"])
+
+    shown = parsed.select("site_id", "keys", "leads").mapInArrow(run, "key long, site_id long").distinct()
+    counted = shown.groupBy("key").agg(F.count("*").alias("sites")).where(F.col("sites") >= COMMON_SITES)
     return {r["key"] for r in counted.select("key").collect()}  # at most as many as asked
 
 

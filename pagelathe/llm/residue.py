@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.boilerplate import _WORD, _begins, over_bodies, prepared, tokens_of
-from pagelathe.llm.page_blocks import pack_body
+from pagelathe.llm.page_blocks import FIELD, RECORD, pack_body
 from pagelathe.llm.phrases import ABOUT, FILLER, RESIDUE, phrases
 from pagelathe.llm.placeholders import SIGN, TEMPLATE
 from pagelathe.session import stored
@@ -113,11 +113,30 @@ def passage_key(passage: list[str]) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
-def placeholder(passage: list[str]) -> bool:
-    """Whether template variables and the like, each of ``TRAIT_WORDS`` words, make up half of a passage, and words the rest."""
-    traits = sum(t[0] == "§" for t in passage)
-    words = sum(t[0] not in "§^" for t in passage)
-    return traits > 0 and words > 0 and traits * TRAIT_WORDS >= words
+def packed(passages: list[list[str]]) -> str | None:
+    """The passages of a row as one string, which passes between Python and Spark as a plain column; None without any."""
+    return RECORD.join(FIELD.join(p) for p in passages) if passages else None
+
+
+def taken_apart(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """(all tokens, tokens a passage, passages a row, the passages as they are) of packed rows."""
+    rows = pc.split_pattern(column, RECORD)
+    texts, per_row = rows.flatten(), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts, FIELD)
+    sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False).copy(), lists.flatten()
+    empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    if empty.any():
+        sizes[empty] = 0
+        flat = flat.filter(pc.not_equal(flat, ""))
+    return flat, sizes.astype(np.int64), per_row.astype(np.int64), texts
+
+
+def placeholders(flat: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """Whether template variables and the like, each of ``TRAIT_WORDS`` words, make up half of each passage, and words the rest."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    traits, begins = (np.bincount(owner, pc.starts_with(flat, sign).to_numpy(zero_copy_only=False), minlength=len(sizes)) for sign in "§^")
+    words = sizes - traits - begins
+    return (traits > 0) & (words > 0) & (traits * TRAIT_WORDS >= words)
 
 
 class Residue:
@@ -253,13 +272,13 @@ def fit_over(*parts: tuple[DataFrame, Fit]) -> list[Residue]:
                 part = whole.column(0).to_numpy()
                 for i in np.unique(part).tolist():
                     batch = whole.filter(pa.array(part == i)) if (part != i).any() else whole
-                    held, times = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
-                    lists = held.flatten()
-                    sizes, per_row = (pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (lists, held))
-                    Passages(lists.flatten(), sizes).count(models[i], np.repeat(times, per_row), into.setdefault(i, (Counter(), Counter())))
-            out = [(i, t, c[0][t], c[1][t]) for i, c in into.items() for t in c[0].keys() | c[1].keys()]
-            kinds = [pa.int32(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["part", "token", "positive", "negative"])
+                    flat, sizes, per_row, _ = taken_apart(batch.column(1))
+                    times = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), per_row)
+                    Passages(flat, sizes).count(models[i], times, into.setdefault(i, (Counter(), Counter())))
+            for i, (positive, negative) in into.items():
+                known = list(positive.keys() | negative.keys())
+                counts = [pa.array(map(c.__getitem__, known), pa.float64()) for c in (positive, negative)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), i, dtype=np.int32)), pa.array(known, pa.string()), *counts], ["part", "token", "positive", "negative"])
 
         summed = together.mapInArrow(run, "part int, token string, positive double, negative double").groupBy("part", "token").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
         table = summed.toPandas()  # a row a token
@@ -288,13 +307,13 @@ def page_passages(blocks: list) -> list[str]:
     return [b.text for b in blocks if b.tag != "pre"] or [b.text for b in blocks]
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
+def page_tokens(pages: DataFrame, bodies: bool = True) -> DataFrame:
     """``page_id, site_id, lang, body, passages, keys, short, times``: each page's main body, packed, and the tokens and keys of its passages; stored.
 
-    ``short`` tells bodies of at most ``SHORT_BODY`` paragraphs and nothing else but a heading.
+    ``short`` tells bodies of at most ``SHORT_BODY`` paragraphs and nothing else but a heading.  ``bodies`` tells whether they are asked for.
     """
     shared, page_model = prepared(pages)
-    fields = {"page_id": pa.int64(), "site_id": pa.int64(), "lang": pa.string(), "body": pa.string(), "passages": pa.list_(pa.list_(pa.string())), "keys": pa.list_(pa.int64()), "short": pa.bool_(), "times": pa.float64()}
+    fields = {"page_id": pa.int64(), "site_id": pa.int64(), "lang": pa.string(), "body": pa.string(), "passages": pa.string(), "keys": pa.list_(pa.int64()), "short": pa.bool_(), "times": pa.float64()}
 
     def make():
         def turn(rows: list, known: dict[str, list[str]]) -> pa.RecordBatch:
@@ -302,21 +321,21 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             passages = [[tokens(p, known.get(p)) for p in t] for t in texts]
             short = [0 < len(t) <= SHORT_BODY and all(b.tag in ("p", "h1") for b in r[2]) and max(map(len, t)) < SHORT_TEXT and any(b.tag == "p" for b in r[2]) for t, r in zip(texts, rows)]
             columns = [
-                [r[0] for r in rows], [r[3] for r in rows], [r[1] for r in rows], [pack_body(r[2]) for r in rows],
-                passages, [[passage_key(p) for p in own] for own in passages], short, [1.0] * len(rows),
+                [r[0] for r in rows], [r[3] for r in rows], [r[1] for r in rows], [pack_body(r[2]) if bodies else None for r in rows],
+                [packed(own) for own in passages], [[passage_key(p) for p in own] for own in passages], short, [1.0] * len(rows),
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, fields.values())], list(fields))
 
         return turn
 
-    schema = "page_id long, site_id long, lang string, body string, passages array<array<string>>, keys array<long>, short boolean, times double"
+    schema = "page_id long, site_id long, lang string, body string, passages string, keys array<long>, short boolean, times double"
     return stored(over_bodies(shared, page_model, make, schema))
 
 
 def _drawn(rows: DataFrame, bound: int) -> list[list[str]]:
     """At most ``bound`` different passages of ``key, passage``, those of the lowest keys."""
-    found = rows.groupBy("key").agg(F.first("passage").alias("passage")).orderBy("key").limit(bound)
-    return [list(p) for p in found.toPandas()["passage"]]  # bounded
+    found = rows.dropDuplicates(["key"]).orderBy("key").limit(bound)
+    return [p.split(FIELD) for p in found.toPandas()["passage"]]  # bounded
 
 
 def passage_counts(held: DataFrame) -> DataFrame:
@@ -351,18 +370,18 @@ def trusted_notices(held: DataFrame, counts: DataFrame) -> list[list[str]]:
     is a passage that is template variables by half.
     """
     notices = counts.where((F.bit_count("sites") >= NOTICE_SITES) & (2 * F.col("n_short") >= F.col("n")))
-    wanted = frozenset(r["key"] for r in notices.select("key").orderBy("key").limit(TRUSTED).collect())  # bounded
+    wanted = np.array([r["key"] for r in notices.select("key").orderBy("key").limit(TRUSTED).collect()], dtype=np.int64)  # bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1).flatten()
+            flat, sizes, _, texts = taken_apart(batch.column(1))
             keys = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            _, first = np.unique(keys, return_index=True)
-            passages = lists.take(pa.array(first)).to_pylist()
-            out = [(int(keys[i]), p) for i, p in zip(first, passages) if int(keys[i]) in wanted or placeholder(p)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([p for _, p in out], pa.list_(pa.string()))], ["key", "passage"])
+            kept = np.flatnonzero(np.isin(keys, wanted) | placeholders(flat, sizes))
+            _, first = np.unique(keys[kept], return_index=True)
+            kept = kept[first]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[kept], pa.int64()), texts.take(pa.array(kept)).cast(pa.string())], ["key", "passage"])
 
-    return _drawn(held.select("keys", "passages").mapInArrow(run, "key long, passage array<string>"), 2 * TRUSTED)
+    return _drawn(held.select("keys", "passages").mapInArrow(run, "key long, passage string"), 2 * TRUSTED)
 
 
 def trusted_reasons(kinds: DataFrame, counts: DataFrame) -> list[list[str]]:
@@ -371,9 +390,9 @@ def trusted_reasons(kinds: DataFrame, counts: DataFrame) -> list[list[str]]:
     So are texts that stand under more than one kind of outcome, as the crawler states each reason under one; and
     placeholders, as for pages.
     """
-    shared = kinds.join(counts.select("key"), "key", "left_semi").where(F.size(F.col("passages")[0]) > 0)
+    shared = kinds.join(counts.select("key"), "key", "left_semi").where(F.length("passages") > 0)
     apart = kinds.where((F.col("times") - F.col("of_kind") >= OTHER_KIND * F.col("times")) | F.col("placeholder"))
-    return _drawn(shared.unionByName(apart, allowMissingColumns=True).select("key", F.col("passages")[0].alias("passage")), TRUSTED)
+    return _drawn(shared.unionByName(apart, allowMissingColumns=True).select("key", F.col("passages").alias("passage")), TRUSTED)
 
 
 def begun(held: DataFrame, crawl_records: DataFrame) -> tuple[Fit, DataFrame, Fit]:
@@ -392,10 +411,9 @@ def fit_bodies(held: DataFrame, crawl_records: DataFrame) -> Residue:
 
 def worst(model: Residue, held: pa.Array) -> np.ndarray:
     """The highest log odds among the passages of each page; NaN of a page without one."""
-    lists = held.flatten()
-    sizes, per_row = (pc.list_value_length(a).to_numpy(zero_copy_only=False) for a in (lists, held))
+    flat, sizes, per_row, _ = taken_apart(held)
     out = np.full(len(held), np.nan)
-    scores = Passages(lists.flatten(), sizes).scores(model)
+    scores = Passages(flat, sizes).scores(model)
     some = per_row > 0
     if some.any():
         out[some] = np.maximum.reduceat(scores, (np.cumsum(per_row) - per_row)[some])
@@ -428,10 +446,11 @@ def reason_tokens(reasons: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [tokens(r) for r in batch.column(0).to_pylist()]
-            columns = [pa.array([[p] for p in own], pa.list_(pa.list_(pa.string()))), pa.array(map(passage_key, own), pa.int64()), pa.array(map(placeholder, own), pa.bool_())]
+            texts = pa.array([packed([p]) for p in own], pa.string())
+            columns = [texts, pa.array(map(passage_key, own), pa.int64()), pa.array(placeholders(*taken_apart(texts)[:2]))]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1), batch.column(2)], ["passages", "key", "placeholder", "times", "of_kind"])
 
-    return stored(kinds.mapInArrow(run, "passages array<array<string>>, key long, placeholder boolean, times double, of_kind double"))
+    return stored(kinds.mapInArrow(run, "passages string, key long, placeholder boolean, times double, of_kind double"))
 
 
 def reason_scores(crawl_records: DataFrame, model: Residue) -> DataFrame:
@@ -453,7 +472,7 @@ def reason_scores(crawl_records: DataFrame, model: Residue) -> DataFrame:
 
 def p3_found(pages: DataFrame, crawl_records: DataFrame) -> DataFrame:
     """``origin, row_id`` of pages and records that hold residue in place of content."""
-    held = page_tokens(pages)
+    held = page_tokens(pages, bodies=False)
     bodies, kinds, reasons = begun(held, crawl_records)
     of_pages, of_reasons = fit_over((held, bodies), (kinds, reasons))
     scores = page_scores(held, of_pages).unionByName(reason_scores(crawl_records, of_reasons))

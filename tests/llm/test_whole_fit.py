@@ -38,10 +38,19 @@ def test_worst_passage_of_a_page(spark):
 
     model = residue.fit((residue.tokens(t), 1.0) for t in ["the old bridge was repaired", "{{ x }}"])
     pages = [["the old bridge", "{{ x }}"], [], ["bridge"], [""]]
-    got = residue.worst(model, pa.array([[residue.tokens(p) for p in page] for page in pages], pa.list_(pa.list_(pa.string()))))
+    got = residue.worst(model, pa.array([residue.packed([residue.tokens(p) for p in page]) for page in pages], pa.string()))
     assert got[0] == pytest.approx(max(model.score(residue.tokens(p)) for p in pages[0])) and got[1] != got[1]
     assert got[2] == pytest.approx(model.score(["bridge"])) and got[3] == float("-inf")
 
 
 def test_labelled_texts_of_the_language_fit():
     assert language.FIT_TEXTS == inspect.signature(language.fit_on).parameters["bound"].default == 4_000
+
+
+def test_passages_packed_and_taken_apart():
+    import pyarrow as pa
+
+    rows = [[["a", "^a b"], [], ["§template", "c"]], [], [[]], [["d"] * 9 + ["§nothing"]]]
+    flat, sizes, per_row, texts = residue.taken_apart(pa.array([residue.packed(r) for r in rows], pa.string()))
+    assert flat.to_pylist() == [t for r in rows for p in r for t in p] and sizes.tolist() == [2, 0, 2, 0, 10] and per_row.tolist() == [3, 0, 1, 1]
+    assert residue.placeholders(flat, sizes).tolist() == [False, False, True, False, False] and len(texts) == 5
