@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.llm.abuse_sentences import ABUSIVE, CLEAN, sentences
 from pagelathe.llm.mixing import source_name
-from pagelathe.session import spread
+from pagelathe.session import slices, spread
 
 FIT_CLEAN, FIT_ABUSIVE = 3_000, 2_000
 NEGATIVES, LANDMARKS, ROUNDS = 8_000, 320, 4
@@ -43,43 +44,73 @@ DECAY, BITS = 0.55, 20
 #: Subsequence lengths and the window each lies in.
 SHAPES = ((2, 3), (3, 5), (4, 6))
 PAD, LONG, WINDOW, STRIDE = 6, 76, 64, 16
+#: Positions scored together.
+PIECE = 1 << 14
 
 _SPLIT = re.compile(r"[.!?。！？\n\r]+(?=\s|$|[^\x00-⿿])|\n+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ ]){2,}\w(?!\w)")
-_LEET = re.compile(r"(?<=[^\W\d_])[013457@$]|[013457@$](?=[^\W\d_])|(?<=[@$013457])[@$013457](?=[@$013457]*[^\W\d_])")
+_MAYBE_SPACED = re.compile(r" \w \w(?!\w)")
+_LEET = re.compile(r"[013457@$]+")
 _STARS = re.compile(r"(?<=\w)\*+(?=\w)")
-_REPEAT = re.compile(r"([^\W\d_])\1+")
-_OTHER = re.compile(r"[\W_]+")
-_NUMBER = re.compile(r"\d+")
+RECORD = "\x1e"
 # Digits and signs in place of letters, and letters of other scripts that look like Latin ones.
 LEET = str.maketrans("013457@$", "oieastas")
 ALIKE = str.maketrans("аеорсхукмтнвіјѕԁɡαοενικρτυχ", "aeopcxykmthbijsdgaoevikptux")
 
 
-def normal_sentences(text: str | None) -> list[str]:
-    """The sentences of a text with disguises undone: look-alikes, leet, stars, repeats, spaced-out letters."""
-    if not text:
-        return []
+def _letters(m: re.Match) -> str:
+    """A run of digits and signs as the letters they stand for, as far as letters are beside it."""
+    run, text = m.group(), m.string
+    left, right = m.start() > 0 and text[m.start() - 1].isalpha(), m.end() < len(text) and text[m.end()].isalpha()
+    if not (left or right):
+        return run
+    read = run.translate(LEET)
+    return (read[0] if left or len(run) == 1 else run[0]) + (read[1:] if right else run[1:])
+
+
+def _undisguised(text: str) -> str:
+    """A text in lower case, a line a sentence, with look-alikes, leet, stars and spaced-out letters undone."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
         text = "".join(c for c in text if c < "­" or unicodedata.category(c) != "Cf") if not text.isascii() else text
-    out = []
-    for s in _SPLIT.split(text):
-        s = s.strip()
-        if not s:
-            continue
-        if " " in s and _SPACED.search(s):
-            s = _SPACED.sub(lambda m: m.group().replace(" ", ""), s)
-        s = s.lower()
-        if not s.isascii():
-            s = s.translate(ALIKE)
-        if "*" in s:
-            s = _STARS.sub("", s)
-        s = _LEET.sub(lambda m: m.group().translate(LEET), s)
-        s = _OTHER.sub(" ", _NUMBER.sub("0", _REPEAT.sub(r"\1", s))).strip()
-        if s:
-            out.append(s)
-    return out
+    if RECORD in text:
+        text = text.replace(RECORD, " ")
+    text = _SPLIT.sub("\n", text)
+    if _MAYBE_SPACED.search(text):
+        text = _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
+    text = text.lower()
+    if not text.isascii():
+        text = text.translate(ALIKE)
+    if "*" in text:
+        text = _STARS.sub("", text)
+    return _LEET.sub(_letters, text)
+
+
+def _plain_code(c: str) -> int:
+    return ord(c) if c in "\n\x1e" else ord("0") if c.isdecimal() else ord(c) if c.isalnum() else ord(" ")
+
+
+@lru_cache(maxsize=1)
+def _plain_codes() -> np.ndarray:
+    return np.array([_plain_code(chr(i)) if not 0xD800 <= i < 0xE000 else 32 for i in range(1 << 16)], dtype=np.uint32)
+
+
+def sentences_of(texts: list[str | None]) -> list[list[str]]:
+    """The sentences of texts, letters and single spaces alone: numbers are one 0, repeated letters one."""
+    joined = RECORD.join(_undisguised(t) if t else "" for t in texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
+    plain = _plain_codes()[np.minimum(codes, (1 << 16) - 1)]
+    for i in np.flatnonzero(codes >= 1 << 16).tolist():
+        plain[i] = _plain_code(chr(int(codes[i])))
+    same = np.zeros(len(plain), dtype=bool)
+    same[1:] = (plain[1:] == plain[:-1]) & (plain[1:] != ord(RECORD))
+    bare = plain[~same].tobytes().decode("utf-32-le")
+    return [[x for s in text.split("\n") if (x := s.strip())] for text in bare.split(RECORD)]
+
+
+def normal_sentences(text: str | None) -> list[str]:
+    """The sentences of one text."""
+    return sentences_of([text])[0]
 
 
 _COMBOS = [(p, c, DECAY ** (c[-1] - (p - 1)) if c else 1.0) for p, w in SHAPES for c in combinations(range(1, w), p - 1)]
@@ -110,10 +141,12 @@ def _hashes(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
 
 def position_scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The weights of all subsequences that begin at each position."""
+    """The weights of all subsequences that begin at each position; in pieces that stay in the processor's cache."""
     out = np.zeros(max(0, len(codes) - PAD), dtype=np.float32)
-    for h, decay in _hashes(codes):
-        out += table[h] * np.float32(decay)
+    for at in range(0, len(out), PIECE):
+        part = out[at : at + PIECE]
+        for h, decay in _hashes(codes[at : at + PIECE + PAD]):
+            part += table.take(h) * np.float32(decay)
     return out
 
 
@@ -142,28 +175,35 @@ def _entries(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.tile(row, len(shapes)), np.concatenate([h for h, _ in shapes]), np.concatenate([norm * np.float32(d) for _, d in shapes])
 
 
+class Postings:
+    """The subsequences of landmark sentences: for each the landmarks that hold it, and their weights."""
+
+    def __init__(self, landmarks: list[str]):
+        owner, hashes, weights = _entries(landmarks)
+        pairs, place = np.unique(hashes.astype(np.int64) * len(landmarks) + owner, return_inverse=True)
+        self.size = len(landmarks)
+        self.weights = np.bincount(place, weights, minlength=len(pairs)).astype(np.float32)
+        self.owner = (pairs % self.size).astype(np.int32)
+        self.begin = np.searchsorted(pairs // self.size, np.arange((1 << BITS) + 1)).astype(np.int32)
+
+    def kernels(self, rows: list[str]) -> np.ndarray:
+        """The kernel of each row with each landmark: only landmarks that share a subsequence are touched."""
+        row, h, w = _entries(rows)
+        first, count = self.begin[h], self.begin[h + 1] - self.begin[h]
+        kept = np.flatnonzero(count)
+        first, count = first[kept], count[kept]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) - np.repeat(ends - count - first, count).astype(np.int32)
+        where = np.repeat(row[kept] * np.int32(self.size), count) + self.owner[at]
+        return np.bincount(where, np.repeat(w[kept], count) * self.weights[at], minlength=len(rows) * self.size).reshape(len(rows), self.size)
+
+
 def kernel(rows: list[str], landmarks: list[str], chunk: int = 40) -> np.ndarray:
     """The length-normalised subsequence kernel of each row with each landmark, a chunk of rows at a time."""
-    out = np.zeros((len(rows), len(landmarks)))
     if not rows or not landmarks:
-        return out
-    owner, hashes, weights = _entries(landmarks)
-    used, place = np.unique(hashes, return_inverse=True)
-    of = np.zeros((len(used), len(landmarks)), dtype=np.float32)
-    np.add.at(of, (place, owner), weights)
-    index = np.full(1 << BITS, -1, dtype=np.int32)
-    index[used] = np.arange(len(used))
-    for at in range(0, len(rows), chunk):
-        row, h, w = _entries(rows[at : at + chunk])
-        i = index[h]
-        kept = np.flatnonzero(i >= 0)
-        if not len(kept):
-            continue
-        kept = kept[np.argsort(row[kept], kind="stable")]
-        shares = of[i[kept]] * w[kept][:, None]
-        own, first = np.unique(row[kept], return_index=True)
-        out[at + own] = np.add.reduceat(shares, first, axis=0)
-    return out
+        return np.zeros((len(rows), len(landmarks)))
+    held = Postings(landmarks)
+    return np.concatenate([held.kernels(rows[at : at + chunk]) for at in range(0, len(rows), chunk)])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -211,7 +251,7 @@ class AbuseModel:
 
     def texts(self, texts: list[str | None]) -> list[float | None]:
         """The score of each text, that of its worst sentence; None of a text without words."""
-        lists = [normal_sentences(t) for t in texts]
+        lists = sentences_of(texts)
         scores = self.sentence_scores([s for rows in lists for s in rows])
         out, at = [], 0
         for rows in lists:
@@ -326,8 +366,7 @@ def abuse_scores(documents: DataFrame, model: AbuseModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in slices(whole):
                 scores = model.texts(batch.column(2).to_pylist())
                 found = [s is not None and s > model.threshold for s in scores]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(found, pa.bool_())], ["doc_id", "source", "score", "abusive"])
