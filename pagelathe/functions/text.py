@@ -25,7 +25,17 @@ STOPWORDS = {
     "it": "il la di che e per con non una del",
 }
 # Scripts that give a language away, in this order.
-SCRIPTS = (("ja", r"[぀-ヿ]"), ("ko", r"[가-힯]"), ("zh", r"[一-鿿]"), ("ru", r"[Ѐ-ӿ]"), ("ar", r"[؀-ۿ]"), ("hi", r"[ऀ-ॿ]"), ("he", r"[֐-׿]"), ("el", r"[Ͱ-Ͽ]"), ("th", r"[฀-๿]"))
+SCRIPTS = (
+    ("ja", r"[\u3040-\u309f\u30a0-\u30ff]"),
+    ("ko", r"[\uac00-\ud7af]"),
+    ("zh", r"[\u4e00-\u9fff]"),
+    ("ru", r"[\u0400-\u04ff]"),
+    ("ar", r"[\u0600-\u06ff]"),
+    ("hi", r"[\u0900-\u097f]"),
+    ("he", r"[\u0590-\u05ff]"),
+    ("el", r"[\u0370-\u03ff]"),
+    ("th", r"[\u0e00-\u0e7f]"),
+)
 SCRIPT_HITS, WORD_HITS, WORDS_A_MINUTE = 4, 3, 200
 
 
@@ -126,6 +136,22 @@ def plural(n: Column, word: str, many: str | None = None) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, f" {word}").otherwise(f" {many or word + 's'}"))
 
 
+def size_text(n: Column) -> Column:
+    """A number of bytes as KB, from one MB on as MB, in powers of 1,024."""
+    return F.when(n >= 1 << 20, F.format_string("%.1f MB", n / (1 << 20))).otherwise(F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB")))
+
+
+def data_url(content: Column, mime: str) -> Column:
+    """Bytes as a data URL."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+
+
+def crawl_name(host: Column) -> Column:
+    """The name of a crawl by the host of its first page: what is safe in a file name, "crawl" where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(host), "[^a-z0-9.-]", "-"), r"^[.-]+|[.-]+$", "")
+    return F.when(F.coalesce(bare, F.lit("")) == "", "crawl").otherwise(bare)
+
+
 def bytes_text(n: Column) -> Column:
     """A number of bytes as B, kB or MB."""
     return F.when(n < 1000, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1_000_000, F.format_string("%.1f kB", n / 1000)).otherwise(F.format_string("%.1f MB", n / 1_000_000))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelathe.functions import design
@@ -19,11 +19,18 @@ def sheets(pages: DataFrame) -> DataFrame:
 
 
 def breakpoints(pages: DataFrame) -> DataFrame:
-    """``query, first_written, n, min_px``: media queries, one whatever its spaces and case; bounded ones first."""
-    media = sheets(pages).select(F.explode(F.regexp_extract_all("css", F.lit(r"(?i)@media([^{]+)\{"), F.lit(1))).alias("written")).select(F.trim("written").alias("written"))
+    """``pos, query, first_written, n, n_rules, px``: media queries, one whatever its spaces and case, with the rules in them.
+
+    Those bounded by a width come first, the narrowest at the head; a query is shown as the first of its spellings by name.
+    """
+    block = r"(?i)@media([^{]+)\{((?:[^{}]*\{[^{}]*\})*)"
+    found = sheets(pages).select(F.explode(F.arrays_zip(*[F.regexp_extract_all("css", F.lit(block), F.lit(i)).alias(n) for i, n in ((1, "written"), (2, "rules"))])).alias("m"))
+    media = found.select(F.trim("m.written").alias("written"), F.regexp_count("m.rules", F.lit(r"\{")).alias("rules"))
     key = F.lower(F.regexp_replace("written", r"\s+", ""))
-    px = F.nullif(F.regexp_extract(key, r"(?:min|max)-width:(\d+(?:\.\d+)?(?:px|rem|em))", 1), F.lit(""))
-    return media.groupBy(key.alias("query")).agg(F.min("written").alias("first_written"), F.count("*").alias("n"), F.first(design.pixels(px)).alias("px"))
+    counts = media.groupBy(key.alias("query")).agg(F.min("written").alias("first_written"), F.count("*").alias("n"), F.sum("rules").alias("n_rules"))
+    px = design.pixels(F.nullif(F.regexp_extract("query", r"(?:min|max)-width:(\d+(?:\.\d+)?(?:px|rem|em))", 1), F.lit("")))
+    each = counts.withColumn("px", px)
+    return each.select(F.row_number().over(Window.orderBy(F.col("px").asc_nulls_last(), "query")).alias("pos"), "query", "first_written", "n", "n_rules", "px")  # a row a query
 
 
 def fonts(pages: DataFrame) -> DataFrame:

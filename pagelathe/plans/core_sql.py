@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from pagelathe.functions.text import CODES, SCRIPTS, STOPWORDS
+
 _ABS = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
 _PARTS = rf"""lower(nullif(regexp_extract(url, {_ABS}, 1), '')) AS scheme, lower(nullif(regexp_replace(regexp_extract(url, {_ABS}, 2), '^[^@]*@', ''), '')) AS host,
 regexp_extract(url, {_ABS}, 3) AS path, regexp_extract(url, {_ABS}, 4) AS query"""
@@ -34,19 +38,15 @@ def _words(column: str) -> str:
     return f"len(regexp_extract_all(coalesce({column}, ''), '{_EAST}')) + len(regexp_extract_all(regexp_replace(coalesce({column}, ''), '{_EAST}', ' ', 'g'), '{_WORD}'))"
 
 
-_STOP = {
-    "en": "the and of to is in that for with it", "es": "el la los las de que y en con se", "fr": "le la les des et est pour dans avec que",
-    "de": "der die das und ist mit nicht den ein zu", "pt": "o a de que e em para com uma no", "it": "il la di che e per con non una del",
-}
-_SCRIPTS = (("ja", r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}]"), ("ko", r"[\x{AC00}-\x{D7AF}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"), ("ru", r"[\x{0400}-\x{04FF}]"), ("ar", r"[\x{0600}-\x{06FF}]"), ("hi", r"[\x{0900}-\x{097F}]"), ("he", r"[\x{0590}-\x{05FF}]"), ("el", r"[\x{0370}-\x{03FF}]"), ("th", r"[\x{0E00}-\x{0E7F}]"))
-_STOPVALUES = ", ".join(f"('{lang}', '{w}')" for lang, ws in _STOP.items() for w in ws.split())
+_SCRIPTS = tuple((lang, re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)) for lang, pattern in SCRIPTS)  # the same table in the other engine's writing
+_STOPVALUES = ", ".join(f"('{lang}', '{w}')" for lang, ws in STOPWORDS.items() for w in ws.split())
 _LANGUAGE = f"""WITH sc AS (SELECT doc_id, CASE {' '.join(f"WHEN len(regexp_extract_all(coalesce(text, ''), '{p}')) >= 4 THEN '{lang}'" for lang, p in _SCRIPTS)} END AS script FROM documents),
 tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORD}')) AS w FROM documents), sw(lang, w) AS (VALUES {_STOPVALUES}),
 vt AS (SELECT doc_id, lang, count(*) AS n FROM tk JOIN sw USING (w) GROUP BY ALL), rk AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS m, count(*) OVER (PARTITION BY doc_id, n) AS ties FROM vt),
 win AS (SELECT doc_id, lang FROM rk WHERE n = m AND ties = 1 AND n >= 3) SELECT doc_id, coalesce(script, lang) AS lang FROM sc LEFT JOIN win USING (doc_id) WHERE coalesce(script, lang) IS NOT NULL"""
 
 _EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]{2,})+"
-_CODES = "USD|EUR|GBP|JPY|INR|CAD|AUD|CHF|CNY|SEK|NOK|DKK|NZD|BRL|MXN|ZAR|SGD|HKD|PLN|TRY|AED|KRW"
+_CODES = "|".join(CODES)
 _PRICE = rf"(?:[$€£¥₹₽₩]|\b(?:{_CODES})\b)\s?(?:\d[\d.,'']*\d|\d)|(?:\d[\d.,'']*\d|\d)\s?(?:[$€£¥₹₽₩]|\b(?:{_CODES})\b)"
 _PHONE = r"(?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]\d{2,4}){1,4}"
 _FACTS = rf"""WITH f AS (SELECT doc_id, 'email' AS kind, regexp_extract_all(coalesce(text, ''), '{_EMAIL}') AS a FROM documents

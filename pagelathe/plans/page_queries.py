@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.functions import urls
-from pagelathe.operators import facts, frontier, page_tree, reports, stack
+from pagelathe.operators import facts, frontier, page_tree, reports, stack, subtrees
 from pagelathe.plans.core_queries import _links, _pages, _requests
 from pagelathe.session import table
+from pagelathe.sources import dom
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
@@ -56,6 +57,9 @@ def queries() -> dict:
         "crawl_resources": lambda s, d: reports.resource_rollup(_records(s, d).select("crawl_name", F.col("outcome.driver").alias("kind"), F.length("data").cast("double").alias("bytes")), "crawl_name"),
         "net_host_order": lambda s, d: reports.host_order(_requests(s, d)),
         "media_inventory": lambda s, d: reports.media_inventory(page_tree.media(_pages(s, d))),
+        "pages_without_frame": lambda s, d: subtrees.without(dom.dom_nodes(_pages(s, d)), subtrees.matching(_pages(s, d), "nav, footer, aside")).groupBy("page_id").agg(F.count("*").alias("n_elements")),
+        "element_names": lambda s, d: subtrees.element_names(_pages(s, d), "h1, nav a"),
+        "page_handles": lambda s, d: subtrees.read_handles(_pages(s, d), 3),
         "page_shells": lambda s, d: reports.shells(page_tree.region_rows(_pages(s, d)), _pages(s, d)),
     }
 

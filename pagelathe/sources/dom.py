@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.session import spread
+from pagelathe.session import slices, spread
 
 # Fixed values of HTML: elements without content, raw text elements, and tags that end an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,11 +35,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "id", "last", "parent", "tag", "texts")
+    __slots__ = ("at", "attrs", "children", "id", "last", "parent", "tag", "texts")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, ident: int):
         self.tag, self.attrs, self.parent, self.id, self.last = tag, attrs, parent, ident, ident
         self.children: list[Node] = []
+        self.at = len(parent.children) if parent is not None else 0  # its place among the children of its parent
         self.texts: list[tuple[int, str]] = []  # (number of children before it, text)
 
     @property
@@ -74,7 +75,7 @@ class Node:
         """Child indexes from the body down."""
         out, node = [], self
         while node.parent is not None and node.tag not in ("body", "html"):
-            out.append(node.parent.children.index(node))
+            out.append(node.at)
             node = node.parent
         return out[::-1]
 
@@ -89,6 +90,7 @@ def parse(source: str | None) -> Node:
     if not source:
         return root
     count, here, at, end = 0, root, 0, len(source)
+    nodes: list[Node] = []
     while at < end:
         m = _TAG.search(source, at)
         stop = m.start() if m else end
@@ -128,10 +130,7 @@ def parse(source: str | None) -> Node:
                 attrs.setdefault(a.group(1).lower(), entities.unescape(next((g for g in a.groups()[1:] if g is not None), "")))
         node = Node(tag, attrs, here, count)
         here.children.append(node)
-        up = here
-        while up is not None:
-            up.last = count
-            up = up.parent
+        nodes.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             stop = close.start() if close else end
@@ -139,6 +138,8 @@ def parse(source: str | None) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not raw.endswith("/"):
             here = node
+    for node in reversed(nodes):  # what is below a node comes after it
+        node.parent.last = max(node.parent.last, node.last)
     return root
 
 
@@ -157,7 +158,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             columns: list[list] = [[] for _ in range(13)]
             for page, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chains: dict[int, tuple[list[str], list[str]]] = {0: ([], [])}
@@ -166,7 +167,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
                         continue
                     tags, roles = chains[n.parent.id]
                     chains[n.id] = ([*tags, n.tag], [*roles, n.role or ""])
-                    row = (page, n.id, n.parent.id, n.last, len(tags) + 1, n.parent.children.index(n), n.tag, n.role, list(n.attrs.items()), n.own_text(), collapse(n.text()) if n.tag in TEXT_TAGS else None, tags, roles)
+                    row = (page, n.id, n.parent.id, n.last, len(tags) + 1, n.at, n.tag, n.role, list(n.attrs.items()), n.own_text(), collapse(n.text()) if n.tag in TEXT_TAGS else None, tags, roles)
                     for c, v in zip(columns, row):
                         c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]

@@ -110,3 +110,25 @@ def test_reports(spark):
     assert column(spark, [1.5, 2.4999, None, float("nan"), float("inf"), -1.5], reports.rounded, "double") == [2, 2, None, None, None, -1]
     assert column(spark, [999, 1500, 2_500_000], text.bytes_text, "long") == ["999 B", "1.5 kB", "2.5 MB"] and column(spark, ["https://schema.org/Person", "a#B", "C/"], text.short_type) == ["Person", "B", "C"]
     assert column(spark, ["Hugo 0.121", "v2", " Ghost ", "", None], text.product_of) == ["Hugo", "v2", "Ghost", None, None]
+
+
+PAGE = "<body><nav class='a b'><a href=1>n</a><p>m</p></nav><div><h1 id='x y'>t</h1><p>c<b>d</b></p></div><footer><p>f</p></footer></body>"
+
+
+def test_subtrees(spark):
+    from pagelathe.operators import subtrees
+    from pagelathe.sources import dom
+
+    pages = spark.createDataFrame([(1, PAGE, "z"), (2, None, "z"), (3, "<p>only</p>", "z")], "page_id long, html string, tag string")
+    nodes = dom.dom_nodes(pages)
+    left = subtrees.without(nodes, subtrees.matching(pages, "nav, footer")).orderBy("page_id", "node_id").collect()
+    assert [(r.page_id, r.tag) for r in left] == [(1, "body"), (1, "div"), (1, "h1"), (1, "p"), (1, "b"), (3, "p")]
+    assert subtrees.without(nodes, subtrees.matching(pages, "table")).count() == nodes.count()
+    assert [r.tag for r in subtrees.around(nodes, subtrees.matching(pages, "div > p")).orderBy("node_id").collect()] == ["body", "div", "p", "b"]
+    named = {r.description: (r.css, r.path) for r in subtrees.element_names(pages, "nav, h1, b").collect()}
+    assert named == {"nav.a": ("nav:nth-child(1)", [0]), "h1#x y": ("#x\\ y", [1, 0]), "b": ("div:nth-child(2) > p:nth-child(2) > b:nth-child(1)", [1, 1, 0])}
+    root = dom.parse(PAGE)
+    assert subtrees.by_path(root, [1, 1, 0]).tag == "b" and subtrees.by_path(root, [9]) is None and subtrees.handle_text(root, 999) is None
+    got = {r.text for h in range(1, 9) for r in subtrees.read_handles(pages.where("page_id = 1"), h).collect()}
+    assert "n" in got and subtrees.read_handles(pages, 999).count() == 0
+    assert column(spark, ["Shop.Ex_A.test:8080", "--", None], text.crawl_name) == ["shop.ex-a.test-8080", "crawl", "crawl"] and column(spark, [1536, 3 << 20], text.size_text, "long") == ["2 KB", "3.0 MB"]
