@@ -1,7 +1,7 @@
 """Authored labelled phrases the page models start from.
 
-The models take single words from them, and how they begin.  None of three words and more, and none of the
-seed of residue but the standard status texts, stands in the test tables as it is here.
+The models take single words from them, and how they begin.  No phrase of three words and more, and none of the
+seed of residue, stands in the test tables as it is here; single words and pairs of what stands around pages do.
 """
 
 # What stands around the main body of pages.
@@ -20,7 +20,7 @@ Wir verwenden Cookies, um die Seite zu verbessern|Mit der weiteren Nutzung stimm
 © 2021 Alle Rechte vorbehalten.|Impressum|Datenschutz|AGB|Folgen Sie uns
 Newsletter abonnieren und nichts verpassen|Mitglied werden|Teilen Sie diese Seite mit Freunden|Laden Sie unsere App herunter
 Anzeige|Anzeige – weiter lesen|Werbung|Lesen Sie auch: ein Beitrag|Ähnliche Beiträge|Meistgelesen|Das könnte Sie auch interessieren
-Rundbrief|abonnieren|Newsletter|Werbung|teilen|Freunde|App|herunterladen|Mitglied|Mitgliedschaft|spenden|Lesen Sie auch
+Rundbrief|abonnieren|Newsletter|Werbung|teilen|Freunde|App|herunterladen|Mitglied|Mitgliedschaft|spenden
 """,
     "fr": """
 Accueil|Actualités|Contact|À propos|Boutique|Panier (0)|Connexion|Aide|Agenda|Presse|Recherche|Mon compte|Archives|Mots-clés
@@ -28,7 +28,7 @@ Nous utilisons des cookies pour mesurer les visites|Tout accepter|Gérer mes cho
 © 2021 Tous droits réservés.|Mentions légales|Confidentialité|Suivez-nous
 Inscrivez-vous à la newsletter|Devenez membre|Partagez cette page avec vos amis|Téléchargez notre application
 Publicité|À lire aussi : un article|Articles liés|Les plus lus|Vous aimerez aussi
-infolettre|abonnement|abonnez|inscription|publicité|partager|amis|application|télécharger|membre|don|à lire aussi
+infolettre|abonnement|abonnez|inscription|publicité|partager|amis|application|télécharger|membre|don
 """,
     "es": """
 Inicio|Noticias|Contacto|Quiénes somos|Tienda|Carrito (0)|Entrar|Ayuda|Agenda|Prensa|Buscar|Mi cuenta|Archivo|Etiquetas
